@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,8 +24,14 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (range(33, 127), range(161, 173), range(174, 256))
 
-#: Pre-tokens that a worker remembers at most.
-REMEMBERED = 400_000
+#: Pre-tokens in a generation of what a worker remembers.
+REMEMBERED = 500_000
+
+
+def byte_symbols() -> dict[int, int]:
+    """Code point that stands for a byte in vocabularies: the byte. Bytes without a printable form follow from 256 on."""
+    plain = {b for r in PRINTABLE for b in r}
+    return {b: b for b in plain} | {256 + k: b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Merges:
@@ -33,9 +40,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = [b for r in PRINTABLE for b in r]
-        stand_in = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        byte = {c: bytes([b]) for b, c in stand_in.items()}
+        byte = {chr(c): bytes([b]) for c, b in byte_symbols().items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         whole = lambda s: b"".join(byte[c] for c in s)
         self.ranks = {(whole(a), whole(b)): k for k, (a, b) in reversed(list(enumerate(pairs)))}
@@ -69,26 +74,37 @@ class Merges:
         return n - merges
 
 
-class Counter(dict):
-    """Counts by pre-token, remembered up to REMEMBERED; then it starts anew."""
+class Words(dict):
+    """What each pre-token counts for. Remembered in two generations of `most` entries: what is looked up moves to the
+    younger, and once that is full the older is let go."""
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
+    def __init__(self, one: Callable[[str], object], most: int):
+        self.one, self.most, self.old = one, most, {}
 
-    def __missing__(self, word: str) -> int:
-        n = self.merges.count(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: str):
+        value = self.old[word] if word in self.old else self.one(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[word] = n
-        return n
+            self[word] = value
+        return value
+
+
+class Counter:
+    """Tokens of whole texts."""
+
+    def __init__(self, merges: Merges):
+        self.split, self.special = merges.split, merges.special
+        self.words = Words(lambda word: merges.count(word.encode("utf-8", "surrogatepass")), REMEMBERED)
+
+    def plain(self, text: str) -> int:
+        return sum(map(self.words.__getitem__, self.split(text)))
 
     def tokens(self, text: str) -> int:
-        parts, n = [text], 0
-        if self.merges.special is not None and (n := len(self.merges.special.findall(text))):
-            parts = self.merges.special.split(text)
-        split, count = self.merges.split, self.__getitem__
-        return n + sum(sum(map(count, split(part))) for part in parts)
+        if self.special is None or not (n := len(self.special.findall(text))):
+            return self.plain(text)
+        return n + sum(map(self.plain, self.special.split(text)))
 
 
 @lru_cache(4)

@@ -23,38 +23,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm.base import written
-from tracemill.llm.tokens import PATTERN
+from tracemill.llm.tokens import PATTERN, REMEMBERED, Words, byte_symbols
 
 SALTS = 64
-#: Pre-tokens whose ids a worker remembers at most.
-REMEMBERED = 700_000
 
 
-class Encoder(dict):
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes. The tokenizers library encodes each
-    pre-token once; what it gave is remembered."""
+class Encoder:
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes. The tokenizers library's model encodes each
+    pre-token once; what it gave is remembered (see tokens.Words)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i.to_bytes(4, "little") for i, t in tokenizer.get_added_tokens_decoder().items()}
+        model, stand_in = tokenizer.model, {b: c for c, b in byte_symbols().items()}
+
+        def ids(word: str) -> bytes:
+            symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(stand_in)
+            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(symbols)])
+
+        self.special_ids = special
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.split = regex.compile(PATTERN).findall
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = regex.compile("(" + "|".join(regex.escape(t.content) for t in special) + ")") if special else None
+        self.words = Words(ids, REMEMBERED)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def ids(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
-            return b"".join(map(self.__getitem__, self.split(text)))
+            return self.plain(text)
         parts = self.special.split(text)  # every second one is a special token
-        return b"".join(self[p] if k % 2 else self.ids(p) for k, p in enumerate(parts) if p)
+        return b"".join(self.special_ids[p] if k % 2 else self.plain(p) for k, p in enumerate(parts))
 
 
 @lru_cache(2)

@@ -1,4 +1,407 @@
-"""The named queries of the library and their DuckDB equivalents."""
+"""The named queries of the library and their DuckDB equivalents. Each applies an operator to whole tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.functions import records, text
+from tracemill.operators import checks, cluster, journal, lines, rules, sampling, stats
+
+#: Words that do occur in the test tables, for queries whose own lexicons would find nothing there.
+WORDS = ("worthless", "password", "token", "license")
+PHRASES = [("markers", "high", "password=", 95), ("markers", "low", "All rights reserved", 75), ("markers", "medium", "License", 88)]
+MARKS = r"(password=|api_key=|token = )"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as samples, scored by the quality label."""
+    labels = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("output")).join(labels, "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("id"), "output", "score", records.score_label(F.col("score")).alias("score_label"))
+
+
+_SAMPLES = """s AS (SELECT d.doc_id AS idx, CAST(d.doc_id AS VARCHAR) AS id, d.text AS output, CAST(l.quality AS DOUBLE) AS score,
+    CASE WHEN l.quality IS NULL THEN 'error' WHEN l.quality >= 0.5 THEN 'pass' ELSE 'fail' END AS label
+    FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+@query(f"WITH {_SAMPLES} SELECT k AS label, count(label) AS n FROM (VALUES ('pass'), ('fail'), ('error')) v(k) LEFT JOIN s ON label = k GROUP BY k")
+def score_distribution(spark, sf_dir):
+    """A1"""
+    return checks.score_distribution(_samples(spark, sf_dir))
+
+
+@query(rf"""WITH {_SAMPLES}, f AS (SELECT *, length(regexp_replace(coalesce(output, ''), '^\s+|\s+$', '', 'g')) < 10 AS e,
+    lower(output) LIKE '%worthless%' OR lower(output) LIKE '%password%' OR lower(output) LIKE '%token%' OR lower(output) LIKE '%license%' AS r,
+    lower(output) LIKE '%timeout%' OR lower(output) LIKE '%permission denied%' OR lower(output) LIKE '%api error%' OR lower(output) LIKE '%rate limit%' OR lower(output) LIKE '%connection refused%' AS t FROM s),
+    c AS (SELECT count(*) AS n, count(*) FILTER (e) AS e, count(*) FILTER (r) AS r, count(*) FILTER (t) AS t, count(*) FILTER (score IS NULL) AS u,
+    count(*) FILTER (label = 'pass') AS p, count(*) FILTER (label = 'fail') AS f, count(score) AS k, count(DISTINCT score) AS d, count(*) FILTER (score = 1) AS one FROM f)
+    SELECT 'CRITICAL' AS severity, 'degenerate_scores' AS type, k AS affected FROM c WHERE k >= 3 AND d = 1
+    UNION ALL SELECT 'WARNING', 'degenerate_scores', 0 FROM c WHERE d = 2 AND k >= 10 AND one / k BETWEEN 0.45 AND 0.55
+    UNION ALL SELECT CASE WHEN e > n * 0.1 THEN 'CRITICAL' ELSE 'WARNING' END, 'empty_truncated_responses', e FROM c WHERE e > 0
+    UNION ALL SELECT CASE WHEN r >= n * 0.5 THEN 'CRITICAL' ELSE 'WARNING' END, 'refusal_markers', r FROM c WHERE r > 0
+    UNION ALL SELECT 'WARNING', 'tool_call_errors', t FROM c WHERE t > 0
+    UNION ALL SELECT 'WARNING', 'score_distribution_anomaly', 0 FROM c WHERE n >= 20 AND p + f > 0 AND (p / (p + f) > 0.9 OR p / (p + f) < 0.1)
+    UNION ALL SELECT 'WARNING', 'format_parsing_failures', u FROM c WHERE u > 0 AND u < n""")
+def findings(spark, sf_dir):
+    """A2-A8"""
+    return checks.findings(_samples(spark, sf_dir), refusals=WORDS).select("severity", "type", "affected")
+
+
+@query(rf"""WITH {_SAMPLES}, a AS (SELECT 'empty_truncated_responses' AS type, idx, id FROM s WHERE length(regexp_replace(coalesce(output, ''), '^\s+|\s+$', '', 'g')) < 10
+    UNION ALL SELECT 'refusal_markers', idx, id FROM s WHERE lower(output) LIKE '%worthless%' OR lower(output) LIKE '%password%' OR lower(output) LIKE '%token%' OR lower(output) LIKE '%license%'
+    UNION ALL SELECT 'format_parsing_failures', idx, id FROM s WHERE score IS NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY idx) AS k, count(*) OVER (PARTITION BY type) AS n FROM a)
+    SELECT type, string_agg(id, ',' ORDER BY k) AS ids, greatest(any_value(n) - 5, 0) AS more FROM r WHERE k <= 5 GROUP BY type""")
+def affected_samples(spark, sf_dir):
+    """A9 T3"""
+    return checks.first_affected(_samples(spark, sf_dir), refusals=WORDS).select("type", F.array_join("ids", ",").alias("ids"), "more")
+
+
+@query(f"""WITH {_SAMPLES}, c AS (SELECT count(*) AS total, count(*) FILTER (label = 'fail') AS nf, count(*) FILTER (label = 'pass') AS np FROM s),
+    q AS (SELECT *, least(greatest(3, CAST(floor(total * 0.05) AS INT)), 15) AS n FROM c),
+    k AS (SELECT *, CASE WHEN total < 20 THEN nf ELSE greatest(1, CAST(floor(n * 0.4) AS INT)) END AS fq, greatest(1, CAST(floor(n * 0.3) AS INT)) AS pq FROM q),
+    r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) AS i FROM s),
+    p AS (SELECT id, label, CASE label WHEN 'fail' THEN 'failures' ELSE 'successes' END AS stratum FROM r, k WHERE label = 'fail' AND i <= fq OR label = 'pass' AND i <= pq),
+    o AS (SELECT id, label, row_number() OVER (ORDER BY md5('42:r:' || id), id) AS i FROM s WHERE id NOT IN (SELECT id FROM p))
+    SELECT id, label, stratum FROM p UNION ALL SELECT id, label, 'random' FROM o, k WHERE i <= greatest(greatest(1, n - fq - pq), n - (SELECT count(*) FROM p))""")
+def stratified_sample(spark, sf_dir):
+    """2.11"""
+    return sampling.stratified_sample(_samples(spark, sf_dir)).select("id", F.col("score_label").alias("label"), "stratum")
+
+
+@query("""SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS first_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant,
+    count(*) AS turns FROM conversations GROUP BY conv_id""")
+def first_last_turn(spark, sf_dir):
+    """P7"""
+    role = F.col("role")
+    at = lambda f, r: f("text", F.when(role == r, F.col("turn")))
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(at(F.min_by, "user").alias("first_user"), at(F.max_by, "assistant").alias("last_assistant"), F.count("*").alias("turns"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(role, 'unknown') || ':' || text, '|' ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
+def messages_array(spark, sf_dir):
+    """P6"""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), "text")))
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m"))
+    return rows.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("messages"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS experiment_id, round(coalesce(sum(value), 0), 4) AS cost, count(*) AS tokens_in, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens_out,
+    CAST(count(*) + sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total_tokens FROM events GROUP BY user_id""")
+def usage_by_experiment(spark, sf_dir):
+    """A10 A11 P23"""
+    from tracemill.sources.records import usage_totals
+
+    e = _t(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("experiment_id"), F.col("value").alias("cost"), F.lit(1).cast("bigint").alias("tokens_in"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens_out"))
+    return usage_totals(rows, by="experiment_id").withColumn("cost", F.round("cost", 4))
+
+
+@query("""WITH e AS (SELECT TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS score FROM events)
+    SELECT CASE WHEN score IS NULL THEN 'error' WHEN score >= 50 THEN 'pass' ELSE 'fail' END AS label, count(*) AS n, sum(score) AS total FROM e GROUP BY 1""")
+def json_path_score(spark, sf_dir):
+    """P1 P3 P4"""
+    score = records.score_at(F.try_parse_json("props"), "k")
+    rows = _t(spark, sf_dir, "events").select(score.alias("score"))
+    return rows.groupBy(records.score_label(F.col("score"), 50).alias("label")).agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+_R = "round({0}, 6) AS {1}"
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+_MEAN_CI = """q AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL),
+    g AS (SELECT event_type, count(v) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(v)) AS se, min(v) AS low, max(v) AS high FROM q GROUP BY event_type)"""
+
+
+@query(f"""WITH {_MEAN_CI} SELECT event_type, n, round(mean, 6) AS mean, round(se, 6) AS se, round(CASE WHEN n > 5 THEN mean - 1.96 * se END, 6) AS ci_low,
+    round(CASE WHEN n > 5 THEN mean + 1.96 * se END, 6) AS ci_high, round(low, 6) AS low, round(high, 6) AS high FROM g""")
+def mean_se_ci(spark, sf_dir):
+    """A17 A18 A21"""
+    return _rounded(stats.mean_se_ci(_t(spark, sf_dir, "events"), ["event_type"], "user_id", "value"), "mean", "se", "ci_low", "ci_high", "low", "high")
+
+
+_PAIRED = """p AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS x, avg(value) FILTER (event_type = 'purchase') AS y FROM events GROUP BY user_id),
+    d AS (SELECT x - y AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL), a AS (SELECT count(d) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(d)) AS se, var_samp(d) AS v FROM d)"""
+
+
+@query(f"WITH {_PAIRED} SELECT n, round(m, 6) AS mean_diff, round(se, 6) AS se_diff, round(m - 1.96 * se, 6) AS ci_low, round(m + 1.96 * se, 6) AS ci_high, round(sqrt(8 * v / n), 6) AS detectable FROM a")
+def paired_diff(spark, sf_dir):
+    """J4 A19 A24"""
+    rows = stats.paired_diff(_t(spark, sf_dir, "events"), "event_type", "user_id", "value", "click", "purchase")
+    return _rounded(rows, "mean_diff", "se_diff", "ci_low", "ci_high", "detectable")
+
+
+@query(f"WITH {_PAIRED} SELECT CAST(ceil(8 * v / 25.0) AS BIGINT) AS n_for_5, CAST(ceil(8 * v / 100.0) AS BIGINT) AS n_for_10 FROM a")
+def power_n(spark, sf_dir):
+    """A22"""
+    d = stats.paired(_t(spark, sf_dir, "events"), "event_type", "user_id", "value", "click", "purchase").agg(F.var_samp("diff").alias("v"))
+    return d.select(stats.required_n(F.col("v"), 5.0).alias("n_for_5"), stats.required_n(F.col("v"), 10.0).alias("n_for_10"))
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL), k AS (SELECT l_returnflag, count(*) AS clusters, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) AS sc FROM c GROUP BY 1),
+    r AS (SELECT l_returnflag, count(*) AS n, stddev_samp(l_quantity) / sqrt(count(*)) AS sn FROM lineitem GROUP BY 1)
+    SELECT l_returnflag, clusters, n, round(mean, 6) AS mean, round(sc, 6) AS se_clustered, round(sn, 6) AS se_naive, round(sc / sn, 6) AS ratio FROM k JOIN r USING (l_returnflag)""")
+def clustered_se(spark, sf_dir):
+    """A20"""
+    return _rounded(stats.clustered_se(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", "l_quantity"), "mean", "se_clustered", "se_naive", "ratio")
+
+
+@query("""WITH b AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi, median(value) AS med, avg(value) AS mean FROM events GROUP BY 1),
+    t AS (SELECT event_type, avg(value) AS tm FROM events JOIN b USING (event_type) WHERE value BETWEEN lo AND hi GROUP BY 1)
+    SELECT event_type, round(mean, 6) AS mean, round(med, 6) AS median, round(tm, 6) AS trimmed_mean,
+    CASE WHEN (mean > 50) = (med > 50) AND (med > 50) = (tm > 50) THEN 'ROBUST' ELSE 'FRAGILE' END AS verdict FROM b JOIN t USING (event_type)""")
+def sensitivity(spark, sf_dir):
+    """A23"""
+    return _rounded(stats.sensitivity(_t(spark, sf_dir, "events"), ["event_type"], "value", against=50.0), "mean", "median", "trimmed_mean")
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.25), 6) AS q1,
+    round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1""")
+def describe(spark, sf_dir):
+    """A26"""
+    return _rounded(stats.describe(_t(spark, sf_dir, "events"), ["event_type"], "value"), "mean", "sd", "q1", "median", "q3")
+
+
+@query(f"""WITH {_MEAN_CI}, i AS (SELECT event_type, mean, mean - 1.96 * se AS lo, mean + 1.96 * se AS hi FROM g), r AS (SELECT *, row_number() OVER (ORDER BY mean DESC) AS rank, lead(hi) OVER (ORDER BY mean DESC) AS nh FROM i)
+    SELECT event_type, round(mean, 6) AS mean, CAST(rank AS INT) AS rank, coalesce(rank = 1 AND lo > nh, false) AS bold FROM r""")
+def rank_vs_second(spark, sf_dir):
+    """A25 W9"""
+    rows = stats.rank_vs_second(stats.mean_se_ci(_t(spark, sf_dir, "events"), ["event_type"], "user_id", "value"))
+    return _rounded(rows.select("event_type", "mean", "rank", "bold"), "mean")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(pow(0.025, 1.0 / count(*)), 9) AS lower_bound FROM lineitem GROUP BY 1")
+def all_right_interval(spark, sf_dir):
+    """A27"""
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return rows.select("l_returnflag", "n", F.round(stats.all_right_interval(F.col("n")), 9).alias("lower_bound"))
+
+
+@query("""WITH r AS (SELECT lang, CAST(n_chars AS DOUBLE) AS s, toxic = 1 AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT lang, quantile_cont(s, 0.95) AS cut FROM r WHERE NOT p GROUP BY 1)
+    SELECT lang, round(any_value(cut), 6) AS cut, round(avg(CAST(s >= cut AS INT)), 6) AS rate FROM r JOIN c USING (lang) WHERE p GROUP BY lang""")
+def rate_at_false_positives(spark, sf_dir):
+    """A28"""
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("n_chars").cast("double").alias("s"), (F.col("toxic") == 1).alias("p"))
+    return _rounded(stats.rate_at_false_positives(rows, ["lang"], "s", "p"), "cut", "rate")
+
+
+@query("""WITH r AS (SELECT lang, text LIKE '%!!%' AS p, quality = 0 AS a FROM documents JOIN labels USING (doc_id)),
+    c AS (SELECT lang, count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM r GROUP BY 1)
+    SELECT lang, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fp_rate,
+    round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
+def detector_quality(spark, sf_dir):
+    """A29"""
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("lang", F.contains("text", F.lit("!!")).alias("p"), (F.col("quality") == 0).alias("a"))
+    return _rounded(stats.detector_quality(rows, ["lang"], "p", "a"), "precision", "recall", "fp_rate", "f1")
+
+
+@query("""WITH r AS (SELECT n_chars AS s, toxic = 1 AS p FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, count(*) FILTER (p) AS p, count(*) FILTER (NOT p) AS q FROM r GROUP BY s),
+    w AS (SELECT p, q, sum(q) OVER (ORDER BY s) - q / 2 AS b FROM g) SELECT round(sum(p * b) / (sum(p) * sum(q)), 6) AS auc FROM w""")
+def auc(spark, sf_dir):
+    """A36 (own definition)"""
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("n_chars", (F.col("toxic") == 1).alias("p"))
+    return _rounded(stats.auc(rows, [], "n_chars", "p"), "auc")
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events), k AS (SELECT count(*) AS c FROM events GROUP BY event_id)
+    SELECT count(*) AS n, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (isnan(value)) AS nan, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outliers,
+    (SELECT count(*) FROM k WHERE c > 1) AS repeated_keys FROM events, q""")
+def data_quality(spark, sf_dir):
+    """A31 (own definition)"""
+    return stats.data_quality(_t(spark, sf_dir, "events"), "event_id", "value")
+
+
+@query("""SELECT quality, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY quality), 6) AS share FROM labels GROUP BY quality, toxic""")
+def confusion(spark, sf_dir):
+    """A33 (own definition)"""
+    return _rounded(stats.confusion(_t(spark, sf_dir, "labels"), "quality", "toxic"), "share")
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\b[0-9a-f]{18}\b') AND contains(text, 'password') THEN 'block' WHEN contains(text, 'api_key') OR contains(text, 'token') THEN 'warn'
+    WHEN regexp_matches(text, '(?i)\blicense\b') THEN 'note' ELSE 'allow' END AS decision FROM documents""")
+def rule_cascade(spark, sf_dir):
+    """P12-P16 shape"""
+    t = F.col("text")
+    found = [(t.rlike(r"\b[0-9a-f]{18}\b") & F.contains(t, F.lit("password")), "block"), (rules.any_contains(t, ("api_key", "token")), "warn"), (t.rlike(r"(?i)\blicense\b"), "note")]
+    return _t(spark, sf_dir, "documents").select("doc_id", rules.cascade(found).alias("decision"))
+
+
+@query(rf"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{MARKS}|[A-Za-z0-9+/=]{{100,}}')), chr(10)) AS text FROM documents")
+def redact_lines(spark, sf_dir):
+    """P21"""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.redact_lines(F.col("text"), MARKS).alias("text"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) > 500 THEN substr(x, 1, 200) || ' ... [' || length(x) || ' chars] ... ' || right(x, 100) ELSE x END), chr(10)) AS text,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 500)) AS INT) AS cut_lines FROM documents""")
+def truncate_lines(spark, sf_dir):
+    """P30"""
+    return lines.truncated(_t(spark, sf_dir, "documents"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a, text FROM documents),
+    c AS (SELECT doc_id, a, text, list_transform(a, lambda x: CASE WHEN length(x) > 500 THEN substr(x, 1, 200) || ' ... [' || length(x) || ' chars] ... ' || right(x, 100) ELSE x END) AS t FROM l)
+    SELECT doc_id, CASE WHEN length(text) > 1500 AND len(a) > 45 THEN array_to_string(t[1:15] || ['', '... [' || length(text) || ' chars, ' || len(a) || ' lines truncated] ...', ''] || t[-30:], chr(10)) ELSE array_to_string(t, chr(10)) END AS text FROM c""")
+def truncate_stdout(spark, sf_dir):
+    """T4"""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.truncate_stdout(F.col("text")).alias("text"))
+
+
+_LINES = "l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT *, CASE WHEN contains(line, 'password=') THEN 1 WHEN contains(line, 'All rights reserved') THEN 2 WHEN contains(line, 'License') THEN 3 END AS k FROM l)
+    SELECT doc_id, CAST(line_no AS INT) AS line_no, ['password=', 'All rights reserved', 'License'][k] AS phrase, 'markers' AS category, ['high', 'low', 'medium'][k] AS severity, [95, 75, 88][k] AS confidence,
+    ['definite', 'likely', 'likely'][k] AS tier, CAST(len(string_split(line, ['password=', 'All rights reserved', 'License'][k])) - 1 AS INT) AS times FROM h WHERE k IS NOT NULL""")
+def phrase_lint(spark, sf_dir):
+    """P25 P26 J5"""
+    return lines.phrase_lint(_t(spark, sf_dir, "documents"), PHRASES)
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT *, contains(lower(line), 'license') AS hit FROM l),
+    w AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM m)
+    SELECT doc_id, CAST(line_no AS INT) AS line_no, line, hit AS is_match FROM w WHERE near""")
+def context_lines(spark, sf_dir):
+    """P31 W5"""
+    return lines.search(_t(spark, sf_dir, "documents"), "License", 2, literal=True)
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)\blicense\b'))) AS INT) AS n FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)\blicense\b'))) > 0")
+def matches_by_text(spark, sf_dir):
+    """A39"""
+    return lines.matches_by_text(_t(spark, sf_dir, "documents"), r"\blicense\b")
+
+
+@query("""SELECT event_id, user_id, event_type, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def last_wins(spark, sf_dir):
+    """W3 W4"""
+    rows = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    return journal.last_wins(rows, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS sessions, round(avg(CAST(event_type <> 'error' AS INT)), 6) AS success_rate FROM events GROUP BY 1")
+def weekly_trend(spark, sf_dir):
+    """A15 R5"""
+    return _rounded(journal.weekly_trend(_t(spark, sf_dir, "events"), "ts", F.col("event_type") != "error"), "success_rate")
+
+
+@query("""WITH w AS (SELECT o_custkey, o_orderkey, o_totalprice, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM orders)
+    SELECT *, best_before IS NULL OR o_totalprice < best_before AS keep FROM w""")
+def running_best(spark, sf_dir):
+    """W6"""
+    return journal.running_best(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", "o_totalprice", "best_before", "keep")
+
+
+@query("""WITH w AS (SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders)
+    SELECT o_custkey, o_orderkey, round(s, 2) AS spent, s <= 1000000 - 50000 AS may_run FROM w""")
+def budget_stop(spark, sf_dir):
+    """W7"""
+    rows = journal.budget_stop(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 1_000_000, 50_000)
+    return _rounded(rows.select("o_custkey", "o_orderkey", "spent", "may_run"), "spent", digits=2)
+
+
+@query("""WITH i AS (SELECT user_id, ts, event_id, event_type = 'view' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    g AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM i WHERE f)
+    SELECT user_id, min(ts) AS first_ts, arg_min(event_id, (ts, event_id)) AS first_event_id, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_event_id, count(*) AS length FROM g GROUP BY user_id, isl HAVING count(*) >= 3""")
+def failure_streaks(spark, sf_dir):
+    """W8"""
+    return journal.streaks(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "view")
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS run, row_number() OVER w <= 3 AS allowed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def runs_per_idea(spark, sf_dir):
+    """W10 W12"""
+    return journal.nth_run(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", "run", "allowed")
+
+
+@query("""WITH j AS (SELECT p_partkey % 1000 AS s, p_size AS c, CASE p_size % 3 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size ELSE 0 END AS m, p_size % 4 AS g FROM part),
+    n AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_nationkey % 5 = 0 THEN 0 ELSE 8 END AS gp FROM supplier WHERE s_nationkey % 7 <> 0),
+    h AS (SELECT s, sum(c) AS c, sum(m) AS m, sum(g) AS g FROM j GROUP BY s)
+    SELECT 'n' || s_suppkey AS node, 4096 AS cpus, CAST(4096 - coalesce(c, 0) AS BIGINT) AS free_cpus, CAST(4194304 AS BIGINT) AS memory_mb, CAST((4194304 - coalesce(m, 0)) // 1024 AS BIGINT) AS free_memory_gb,
+    gp AS gpus, CAST(gp - CASE WHEN gp > 0 THEN coalesce(g, 0) ELSE 0 END AS BIGINT) AS free_gpus, 'idle' AS state FROM n LEFT JOIN h ON s = s_suppkey""")
+def node_free(spark, sf_dir):
+    """J1 A13 P29"""
+    nodes = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("node"), F.lit(4096).alias("cpus"), F.lit(4194304).cast("bigint").alias("memory_mb"), F.when(F.col("s_nationkey") % 5 == 0, "(null)").otherwise("gpu:a100:8").alias("gres"), F.when(F.col("s_nationkey") % 7 == 0, "drained").otherwise("idle").alias("state"))
+    size = F.col("p_size")
+    jobs = _t(spark, sf_dir, "part").select(F.concat(F.lit("n"), F.col("p_partkey") % 1000).alias("node"), size.alias("job_cpus"), F.concat(size.cast("string"), F.when(size % 3 == 0, "G").when(size % 3 == 1, "M").otherwise("")).alias("job_mem"), F.concat(F.lit("gpu:a100:"), (size % 4).cast("string")).alias("tres"))
+    return cluster.free_resources(nodes, jobs)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_docs(spark, sf_dir):
+    """J2 J6 U3"""
+    return journal.missing(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate, CAST(floor((epoch(TIMESTAMP '1999-01-01') - epoch(o_orderdate)) / 86400) AS BIGINT) AS days FROM orders)
+    SELECT o_orderkey, days, epoch(o_orderdate) > 0 AND days > CASE WHEN o_orderkey % 13 > 10 THEN 7 WHEN o_orderkey % 13 >= 1 THEN 14 ELSE 999 END AS stale FROM d""")
+def staleness_class(spark, sf_dir):
+    """date CASE (2.9)"""
+    now = F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00")).cast("timestamp")
+    at = F.col("o_orderdate").cast("timestamp")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", journal.whole_days(now, at).alias("days"), journal.staleness(F.unix_timestamp(now), F.unix_timestamp(at), F.col("o_orderkey") % 13).alias("stale"))
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1 HAVING count(*) >= 2")
+def duplicate_lines(spark, sf_dir):
+    """A31 (own definition)"""
+    return lines.duplicate_lines(_t(spark, sf_dir, "documents"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS response FROM customer WHERE c_custkey % 2 = 0)
+    SELECT count(*) AS n, count(response) FILTER (response <> '') AS hits, round(avg(CAST(coalesce(response, '') <> '' AS INT)), 6) AS hit_rate FROM orders LEFT JOIN c ON key = o_custkey""")
+def cache_aside(spark, sf_dir):
+    """J3 A30"""
+    cache = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("response"))
+    found = journal.cached(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), cache)
+    return _rounded(found.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("int")).alias("hit_rate")), "hit_rate")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'backoff' WHEN 1 THEN 'backoff' WHEN 2 THEN 'backoff' WHEN 3 THEN 'skip' WHEN 4 THEN 'fail' WHEN 5 THEN CASE WHEN o_orderkey % 6 + 1 > 3 THEN 'fail' ELSE 'retry' END END AS policy,
+    CASE WHEN o_orderkey % 7 < 3 THEN least(pow(2, o_orderkey % 6), 16) END AS wait_s FROM orders""")
+def retry_policy(spark, sf_dir):
+    """P44"""
+    status = F.get(F.array(*[F.lit(x) for x in ("429", "503", "500", "400", "401", "timeout", "200")]), (F.col("o_orderkey") % 7).cast("int"))
+    calls = _t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), (F.col("o_orderkey") % 6 + 1).alias("attempt"))
+    return rules.retry_policy(calls).select("o_orderkey", "policy", "wait_s")
+
+
+@query("""SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM events""")
+def moving_average(spark, sf_dir):
+    """W13 A37 (own definition)"""
+    rows = _t(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return _rounded(lines.moving_average(rows, ["user_id"], "at", "value", 5).select("event_id", "event_type", "moving_average"), "moving_average")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, count(*) AS calls, count(*) <= 20 AS within FROM events GROUP BY 1""")
+def call_rate(spark, sf_dir):
+    """R7 (own definition)"""
+    from tracemill.streaming.rules import call_rate as rate
+
+    rows = rate(_t(spark, sf_dir, "events"), "ts", "1 hour", "1 hour", 20)
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "calls", "within")

@@ -7,8 +7,8 @@ agree in a segment and differ in at most one bit of the next: an equi-join on ab
 one bit left out), then the budgets of longer chains, then the full Hamming check.
 
 Dense groups make no quadratic work: equal fingerprints are one node; nodes are first linked to the smallest member of
-each 26-bit bucket and joined to components; the join then only sees buckets that hold several components, and only
-their minority members look for partners. Links inside a component would change nothing, so none is lost.
+each 26-bit bucket and joined to components; after that only buckets that hold several components count. A bucket of two gives its
+pair from the grouping itself; in larger ones minority members look for partners by a join. Links inside a component would change nothing, so none is lost.
 
 Defined cases: a null text, or one without a word, has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle is one shingle. Repeated rows share a component. The id of a component is its smallest non-null
@@ -123,13 +123,15 @@ def links(nodes: DataFrame) -> DataFrame:
     spread = marked.select("fp", "root", F.explode(F.expr("transform(sequence(0, 64), j -> struct(cast(j div 13 as int) as i, cast(j % 13 as int) as p))")).alias("j")).select("fp", "root", F.col("j.i").alias("i"), F.col("j.p").alias("p")).where(f"p < {following}")
     bucket = f"shiftrightunsigned({_ring('fp', start)}, 64 - {width} - {following}) & ~shiftleft(1L, p)"
     spread = spread.select("fp", "root", F.expr(f"(({bucket}) * 13 + p) * 5 + i").alias("key"))
-    mixed = written(spread.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"))
-    members = written(spread.join(mixed, "key"))
+    mixed = spread.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
+    mixed = written(mixed.where("x < y"))
+    twos = mixed.where("n = 2 and " + _apart("a", "b")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members = written(spread.join(written(mixed.where("n > 2").select("key")), "key"))
     share = written(members.groupBy("key", "root").agg(F.count("*").alias("n")))
     major = written(share.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("major")))
     minor = written(members.join(major, "key").where("root <> major").select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2")))
     across = members.join(minor, "key").where("root <> root2 and " + _apart("fp", "fp2"))
-    joined = components(across.select(F.col("root").alias("a"), F.col("root2").alias("b")))
+    joined = components(across.select(F.col("root").alias("a"), F.col("root2").alias("b")).unionByName(twos))
     second = marked.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return written(second.select("fp", F.coalesce("top", "root").alias("root")))
 

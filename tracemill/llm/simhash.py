@@ -27,6 +27,8 @@ from tracemill.llm.base import written
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 #: Where the ring's segments begin, counted from the highest bit, and how wide they are.
 STARTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
+#: Fingerprints in a task that gives each its 64 bucket keys.
+NODES_A_TASK = 16384
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -110,6 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """fp, root for distinct fingerprints `fp` (written): the smallest fingerprint reachable by links."""
+    tasks = -(-nodes.count() // NODES_A_TASK) or 1
     start, width = (f"element_at(array({', '.join(map(str, v))}), i + 1)" for v in (STARTS, WIDTHS * 2))
     following = width.replace("i + 1", "i + 2")
     ringed = nodes.select("fp", F.explode(F.expr("sequence(0, 4)")).alias("i"))
@@ -120,7 +123,7 @@ def links(nodes: DataFrame) -> DataFrame:
     marked = written(nodes.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
     # Every bucket: segment i equal, the next equal but for bit p.
-    spread = marked.select("fp", "root", F.explode(F.expr("transform(sequence(0, 64), j -> struct(cast(j div 13 as int) as i, cast(j % 13 as int) as p))")).alias("j")).select("fp", "root", F.col("j.i").alias("i"), F.col("j.p").alias("p")).where(f"p < {following}")
+    spread = marked.repartition(tasks, "fp").select("fp", "root", F.explode(F.expr("transform(sequence(0, 64), j -> struct(cast(j div 13 as int) as i, cast(j % 13 as int) as p))")).alias("j")).select("fp", "root", F.col("j.i").alias("i"), F.col("j.p").alias("p")).where(f"p < {following}")
     bucket = f"shiftrightunsigned({_ring('fp', start)}, 64 - {width} - {following}) & ~shiftleft(1L, p)"
     spread = spread.select("fp", "root", F.expr(f"(({bucket}) * 13 + p) * 5 + i").alias("key"))
     mixed = spread.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))

@@ -3,7 +3,8 @@
 Vectors become integers, floor(scale * x). Candidates are dealt into blocks; in a block each dimension has a list of
 the candidates sorted by value. For a query the lists are read in step, from the end that its sign favours; every
 candidate met is scored in full; reading stops once the bound (the sum over dimensions of query value times the value
-last read) cannot reach the kth score any more. A tie at the bound reads on, so that ties go to the smaller id.
+last read) cannot reach the kth score any more, or once every candidate is met. A tie at the bound reads on, so that
+ties go to the smaller id. Steps down the lists grow threefold, which reads at most three times too deep.
 Each block gives k rows a query; the k best of all blocks are exact, as blocks partition the candidates.
 
 Queries and candidates meet block by block: a query block is dealt to each candidate block. Both kinds of block have a
@@ -33,39 +34,52 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
         self.size = int(np.abs(self.vectors).max(initial=0))
+        self.held: dict[type, np.ndarray] = {}
+
+    def exact(self, query: np.ndarray) -> np.ndarray:
+        """The vectors in the narrowest type in which inner products with the query are exact."""
+        most = len(query) * float(self.size) * float(np.abs(query).max(initial=0))
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.object_
+        if kind not in self.held:
+            self.held[kind] = self.vectors.astype(kind)
+        return self.held[kind]
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best candidates, highest score first, ties to the smaller id."""
         n = len(self.ids)
+        vectors = self.exact(query)
+        weights = query.astype(vectors.dtype)
         used = np.flatnonzero(query)
-        lists = self.order[:, used]
         falling = query[used] > 0
-        exact = np.float64 if len(query) * float(self.size) * float(np.abs(query).max(initial=0)) < 2**53 else np.object_
-        q = query.astype(exact)
         met = np.zeros(n, bool)
-        scores = np.zeros(n, exact)
-        depth, step = 0, max(8, min(n, 32))
-        best = np.zeros(0, np.int64)
-        while depth < n:
+        best, top = np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
+        depth, step = 0, 32
+        while depth < n and not met.all():
             to = min(n, depth + step)
-            ends = np.where(falling, n - to, depth)
-            rows = ends[None, :] + np.arange(to - depth)[:, None] if len(used) else np.arange(n)[:, None]
-            fresh = np.zeros(n, bool)
-            fresh[lists[rows, np.arange(len(used))[None, :]] if len(used) else rows] = True
-            fresh &= ~met
-            met |= fresh
-            where = np.flatnonzero(fresh)
-            scores[where] = self.vectors[where].astype(exact) @ q
-            where = np.concatenate((best, where[self.ids[where] != own]))
-            best = where[np.lexsort((self.ids[where], -scores[where]))][:k]
-            last = np.where(falling, n - to, to - 1)
-            bound = sum(int(a) * int(b) for a, b in zip(query[used], self.vectors[lists[last, np.arange(len(used))], used])) if len(used) else 0
-            if len(best) == k and bound < scores[best[-1]]:
-                break
-            depth, step = to if len(used) else n, step * 2
-        return self.ids[best], scores[best].astype(np.int64)
+            before = met.copy()
+            for j, down in zip(used, falling):  # one step down each list
+                met[self.order[n - to : n - depth, j] if down else self.order[depth:to, j]] = True
+            if not len(used):
+                met[:] = True
+            fresh = np.flatnonzero(met & ~before)
+            scores = vectors[fresh] @ weights
+            hopeful = self.ids[fresh] != own
+            if len(best) == k:
+                hopeful &= scores >= top[-1]
+            elif hopeful.sum() > 8 * k and vectors.dtype != np.object_:
+                hopeful &= scores >= np.partition(scores[hopeful], -k)[-k]
+            best, top = np.concatenate((best, fresh[hopeful])), np.concatenate((top, scores[hopeful]))
+            order = np.lexsort((self.ids[best], -top))[:k]
+            best, top = best[order], top[order]
+            if len(used):
+                last = self.vectors[[self.order[n - to if down else to - 1, j] for j, down in zip(used, falling)], used]
+                bound = sum(int(a) * int(b) for a, b in zip(query[used], last))
+                if len(best) == k and bound < top[-1]:
+                    break
+            depth, step = to, step * 3
+        return self.ids[best], top.astype(np.int64)
 
 
 def _blocks(n: int, rows: int) -> int:

@@ -1,7 +1,7 @@
 """WARC archives as a PySpark Python data source (format "warc"), read and written.
 
-Reading: files are planned into partitions of about `partition_bytes`; filters on the record type and other header
-columns are pushed into the reader; a record's headers are parsed first, and where they fail the filters, or payloads are
+Reading: files are planned into partitions of about `partition_bytes`; conditions on the record type and other header
+columns (read_warc's `where`) are pushed into the reader; a record's headers are parsed first, and where they fail the filters, or payloads are
 not wanted (option payload=false), its payload is skipped without being decompressed: records written here are gzip
 members whose extra field `sl` has their length, so the reader steps over the rest. Members without it, and plain .warc
 files, are read too.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -172,12 +173,15 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.bytes = int(options.get("partition_bytes", 32 << 20))
+        self.push = {c: frozenset(v) for c, v in json.loads(options.get("push", "{}")).items() if c in HEADERS}
         self.filters: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters):
+        """Takes the filters that option `push` announces; they are on every frame made from this relation."""
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
-                self.filters.append((f.attribute[0], frozenset(f.value if isinstance(f, In) else [f.value])))
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if column in self.push and self.push[column] == frozenset(f.value if isinstance(f, In) else [f.value]):
+                self.filters.append((column, self.push[column]))
             else:
                 yield f
 
@@ -271,7 +275,8 @@ class WarcWriter(DataSourceArrowWriter):
         system, path = opened(self.path)
         for m in messages:
             for name in m.names if m else []:
-                system.delete_file(f"{path}/.{name}.tmp")
+                if system.get_file_info(f"{path}/.{name}.tmp").type == pafs.FileType.File:
+                    system.delete_file(f"{path}/.{name}.tmp")
 
 
 class WarcSource(DataSource):
@@ -296,9 +301,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict[str, list[str]] | None = None) -> DataFrame:
+    """Records of a folder. where: for header columns the values that are wanted, as in
+    {"record_type": ["response"]}; these conditions are pushed into the reader. Conditions that are put on the result
+    later are not: Spark 4.1 keeps the pushed filters of a loaded relation for all frames made from it, so a second
+    frame would see the first one's filters. Those of `where` are the same for all."""
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    where = {c: sorted(v) for c, v in (where or {}).items()}
+    if odd := set(where) - set(HEADERS):
+        raise ValueError(f"no header columns: {sorted(odd)}")
+    rows = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("push", json.dumps(where)).load()
+    for column, values in where.items():
+        rows = rows.where(F.col(column).isin(*values) if values else F.lit(False))
+    return rows
 
 
 def write_warc(records: DataFrame, path: str) -> None:

@@ -102,3 +102,40 @@ def test_statistics(spark):
     assert 85 < ci.ci_low < 99.5 < ci.ci_high < 115
     repro = spark.createDataFrame([(1.2, 1.0, 5, 5), (1.21, 1.0, 5, 5), (1.0, 1.0, 4, 5)], "a double, b double, c int, d int")
     assert [x.reproduced for x in stats.reproduced(repro, "a", "b", "c", "d").collect()] == [True, False, False]
+
+
+def test_docs_samples_cache_specs(spark, tmp_path, rows):
+    (tmp_path / "d/node_modules").mkdir(parents=True)
+    (tmp_path / "d/a.md").write_text("one\ntwo\nKey point\nfour\nfive\nsix")
+    (tmp_path / "d/node_modules/b.md").write_text("key")
+    assert rows(r.search_docs(spark, str(tmp_path / "d"), "key"), "line_no", "is_match") == [(1, False), (2, False), (3, True), (4, False), (5, False)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/x.md").write_text("---\nsource: here\nexpected_score_range: 10-40\ncategory: edited\nnotes: n\n---\n\nThe text\n")
+    assert rows(r.corpus_samples(spark, str(tmp_path / "c")), "source", "category", "low", "high", "body") == [("here", "edited", 10, 40, "The text")]
+    path = str(tmp_path / "cache")
+    assert r.read_cache(spark, path).count() == 0
+    r.append_cache(spark.createDataFrame([("k", "1"), ("j", "")], "key string, response string").coalesce(1), path)
+    import time
+
+    time.sleep(1.1)
+    r.append_cache(spark.createDataFrame([("k", "2")], "key string, response string"), path)
+    assert rows(r.read_cache(spark, path)) == [("j", ""), ("k", "2")]
+    spec = {c: "stated" for c in (*r.BLOCKING, *r.ADVISED)}
+    df = spark.createDataFrame([{"name": "a", **spec}, {"name": "b", **spec, "metrics": " ", "baseline": None}])
+    assert rows(r.validated(df, "name")) == [("a", 9, [], [], "PASS"), ("b", 8, ["baseline"], ["metrics"], "STOP")]
+
+
+def test_report_files(spark, tmp_path):
+    from tracemill.sources.reports import report, write_output
+    from tracemill.sources.transcripts import read_jsonl
+
+    records = [{"id": i, "input": "q" * 130, "output": "" if i < 7 else "a fine answer", "score": i % 2} for i in range(30)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, records)))
+    samples = read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    summary, drawn = write_output(samples, f"file://{tmp_path}/out", "a.jsonl", "jsonl")
+    assert json.loads((tmp_path / "out/summary.json").read_text()) == summary and summary["total_samples"] == 30 and summary["samples_extracted"] == 3
+    assert sorted(p.stem for p in (tmp_path / "out/samples").glob("*.json")) == sorted(d["id"] for d in drawn)
+    text = report(summary, drawn, True)
+    assert "(+2 more)" in text and "q" * 120 + "..." in text and "[!!!] CRITICAL empty_truncated_responses" in text
+    nothing, _ = write_output(samples.where("false"), f"file://{tmp_path}/none", "none", "jsonl")
+    assert nothing["total_samples"] == 0 and nothing["issues"] == [] and "no issues found" in report(nothing, [])

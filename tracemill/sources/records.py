@@ -142,3 +142,55 @@ def flat_lexicon(spark: SparkSession, path: str) -> DataFrame:
     held = whole_files(spark, path).select(F.explode(F.map_entries(F.from_json("value", schema)["patterns"])).alias("g"))
     rows = held.select(F.col("g.key").alias("category_key"), "g.value.category", "g.value.severity", F.col("g.value.count").alias("declared"), F.explode("g.value.patterns").alias("p"))
     return rows.select("category_key", "category", "severity", "declared", "p.phrase", "p.fix", F.col("p.confidence").try_cast("int").alias("confidence"), "p.sources", "p.rationale")
+
+
+def read_docs(spark: SparkSession, paths: str | list[str], skip: str = r"/(node_modules|\.git)/") -> DataFrame:
+    """file, value of the Markdown files below some folders (a file that several folders reach comes once)."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(paths, wholetext=True)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), "value").where(~F.col("file").rlike(skip))
+    return rows.dropDuplicates(["file"])
+
+
+def search_docs(spark: SparkSession, paths: str | list[str], pattern: str, context: int = 2, most: int = 100) -> DataFrame:
+    """file, line_no, line, is_match: the first `most` lines of a search with context."""
+    from tracemill.operators.lines import search
+
+    return search(read_docs(spark, paths), pattern, context, "file", "value").orderBy("file", "line_no").limit(most)
+
+
+def corpus_samples(spark: SparkSession, path: str) -> DataFrame:
+    """file, source, category, notes, low, high (the score range that is expected) and body of lint samples."""
+    rows = read_front_matter(spark, path, ("source", "expected_score_range", "category", "notes"))
+    band = F.split("expected_score_range", r"\s*-\s*")
+    body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
+    return rows.select("file", "source", "category", "notes", F.get(band, 0).try_cast("int").alias("low"), F.get(band, 1).try_cast("int").alias("high"), strip(body).alias("body"))
+
+
+def append_cache(entries: DataFrame, path: str) -> None:
+    """Append (key, response) records; readers take the last of a key (journal.last_wins)."""
+    entries.select("key", "response").write.mode("append").json(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache's entries: of each key the record in the newest file."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "key string, response string")
+    rows = spark.read.schema("key string, response string").json(path).select("*", F.col("_metadata.file_modification_time").alias("at"), F.monotonically_increasing_id().alias("pos"))
+    return rows.groupBy("key").agg(F.max_by("response", F.struct("at", "pos")).alias("response"))
+
+
+# What a run's specification must state, and what it should.
+BLOCKING = ("hyperparameters", "output_path", "hypothesis", "metrics", "datasets", "graphs", "caching", "concurrency", "error_handling")
+ADVISED = ("random_seeds", "resources", "baseline")
+
+
+def validated(specs: DataFrame, key: str) -> DataFrame:
+    """key, passed, warnings, missing, verdict of specifications with a text column for each item; empty is missing."""
+    blank = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) == ""
+    listed = lambda names: F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in names]))
+    rows = specs.select(key, listed(BLOCKING).alias("missing"), listed(ADVISED).alias("warnings"))
+    return rows.select(key, (len(BLOCKING) - F.size("missing")).alias("passed"), "warnings", "missing", F.when(F.size("missing") == 0, "PASS").otherwise("STOP").alias("verdict"))
+
+
+def session_counts(sessions: DataFrame, by: str = "project") -> DataFrame:
+    return sessions.groupBy(by).agg(F.count("*").alias("sessions"))

@@ -138,9 +138,18 @@ def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(actual)))
 
 
-def auc(rows: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve, ties counted half; sums by distinct score first."""
+def auc(rows: DataFrame, by: Sequence[str], score: str, positive: str, ranges: int = 64) -> DataFrame:
+    """Area under the ROC curve, ties counted half. Scores are counted first, then ranked within ranges of about as many
+    distinct scores each, to which the counts of the ranges below are added; so no task ranks all scores."""
     groups = rows.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by).orderBy(score)) - F.col("q") / 2
-    rows = groups.withColumn("won", F.col("p") * below).groupBy(*by).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return rows.select(*by, (F.col("w") / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auc"))
+    cuts = sorted(set(groups.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 10000)).first()[0] or []))
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (F.col(score) > c).cast("int")
+    groups = groups.withColumn("part", part)
+    sums = groups.groupBy(*by, "part").agg(F.sum("q").alias("n"))
+    lower = sums.select(*by, "part", (F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")).alias("lower"))
+    below = F.col("lower") + F.sum("q").over(Window.partitionBy(*by, "part").orderBy(score)) - F.col("q") / 2
+    ranked = groups.join(lower, [*by, "part"]).withColumn("won", F.col("p") * below)
+    sums = ranked.groupBy(*by).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sums.select(*by, (F.col("w") / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auc"))

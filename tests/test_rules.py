@@ -138,3 +138,24 @@ def test_changed_files_and_weeks(spark, tmp_path, rows):
     assert changed_files(spark, str(tmp_path / "s"), manifest, force=True).count() == 2
     sessions = spark.createDataFrame([("2026-01-04 10:00:00", True), ("2026-01-05 10:00:00", False), ("2026-01-11 23:00:00", True)], "ts string, success boolean")
     assert [(str(a), b, c) for a, b, c in rows(weekly_sessions(sessions))] == [("2025-12-29", 1, 1.0), ("2026-01-05", 2, 0.5)]
+
+
+def test_monitored_runs_keep_state(spark, tmp_path):
+    from tracemill.streaming.rules import monitored_runs
+
+    source = tmp_path / "runs"
+    source.mkdir()
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.experiment: (r.runs, r.spent, r.failures, r.stop) for r in batch.collect()})
+
+    batches = [[("a", 1, 2.0, True), ("a", 2, 3.0, False), ("b", 1, None, None)], [("a", 3, 1.0, False), ("b", 2, 1.0, True)], [("a", 4, 0.5, False), ("b", 3, 99.0, True)]]
+    for i, rows_ in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("experiment", "ts", "cost", "ok"), r))) for r in rows_))
+        stream = spark.readStream.schema("experiment string, ts bigint, cost double, ok boolean").json(str(source))
+        query = monitored_runs(stream, 50.0).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if i == 1:
+            assert seen == {"a": (3, 6.0, 2, False), "b": (2, 1.0, 0, False)}
+    assert seen == {"a": (4, 6.5, 3, True), "b": (3, 100.0, 0, True)}

@@ -41,3 +41,25 @@ def changed_files(spark: SparkSession, folder: str, manifest: DataFrame | None,
     """path, modified of files that are new, or modified since the manifest (path, modified) was made; all with force."""
     now = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.col("modificationTime").alias("modified"))
     return now if force or manifest is None else now.join(manifest, ["path", "modified"], "left_anti")
+
+
+def monitored_runs(runs: DataFrame, budget: float, most_failures: int = 3, key: str = "experiment"):
+    """Over a stream of runs (key, ts, cost, ok): for each key the runs so far, what they spent, how many of the last
+    failed in a row, and whether to stop (budget used up, or too many failures). State is three numbers a key; runs of a
+    batch are taken in order of ts, and a null ok counts as a failure, a null cost as 0."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def update(name, batches, state: GroupState):
+        spent, streak, n = state.get if state.exists else (0.0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for cost, ok in zip(rows["cost"].fillna(0.0), rows["ok"]):
+            spent, n = spent + float(cost), n + 1
+            streak = 0 if ok is not None and not pd.isna(ok) and bool(ok) else streak + 1
+        state.update((spent, streak, n))
+        yield pd.DataFrame([(*name, n, spent, streak, spent >= budget or streak >= most_failures)], columns=[key, "runs", "spent", "failures", "stop"])
+
+    kind = dict(runs.dtypes)[key]
+    return runs.select(key, "ts", F.col("cost").cast("double").alias("cost"), "ok").groupBy(key).applyInPandasWithState(
+        update, f"{key} {kind}, runs bigint, spent double, failures int, stop boolean", "spent double, failures int, runs bigint", "update", GroupStateTimeout.NoTimeout
+    )

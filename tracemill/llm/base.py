@@ -3,6 +3,7 @@ small numpy kernel that turns texts into folded letters and word hashes without
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +37,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that go to or from a Python worker at once, so that long texts do not pile up there.
+ROWS_A_BATCH = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ROWS_A_BATCH rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
+def text_udf(kind: str):
+    """An Arrow UDF over a column of texts, fed in small batches."""
+    small_batches(SparkSession.active())
+    return F.arrow_udf(kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

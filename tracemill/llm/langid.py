@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import folded, mixed, pieces
+from tracemill.llm.base import folded, mixed, pieces, text_udf
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -150,7 +150,7 @@ def identify(model: LanguageModel, spark, reject: bool = True):
     """A column function: text -> struct(lang, score, reliable). With `reject`, unreliable predictions are `und`."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(RESULT)
+    @text_udf(RESULT)
     def language(text: pa.Array) -> pa.Array:
         names, score, reliable = predicted(held.value, text.to_pylist())
         if reject:

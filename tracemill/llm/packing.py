@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.llm.base import written
-from tracemill.llm.tokens import PATTERN, REMEMBERED, Words, byte_symbols
+from tracemill.llm.base import text_udf, written
+from tracemill.llm.tokens import PATTERN, Words, byte_symbols
 
 SALTS = 64
+#: Pre-tokens in a generation of those whose ids a worker remembers.
+REMEMBERED = 250_000
 
 
 class Encoder:
@@ -66,7 +68,7 @@ def encoder(path: str) -> Encoder:
 def cut(vocabulary: str, size: int = 1024, end: int = 0):
     """A column function: text -> its number of tokens and its pieces (start, length, CRC-32 of the ids)."""
 
-    @F.arrow_udf("tokens bigint, pieces array<struct<start:bigint,length:bigint,crc:bigint>>")
+    @text_udf("tokens bigint, pieces array<struct<start:bigint,length:bigint,crc:bigint>>")
     def pieces(text: pa.Array) -> pa.Array:
         encode, tail = encoder(vocabulary).ids, end.to_bytes(4, "little")
         total, offsets, start, length, crc = [], [0], [], [], []

@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tracemill.llm.base import text_udf
+
 # Kinds in order, their patterns, base scores and context words.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,7 +113,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def spans():
     """A column function: text -> its spans with scores."""
 
-    @F.arrow_udf("array<struct<kind:string,start:int,stop:int,score:double>>")
+    @text_udf("array<struct<kind:string,start:int,stop:int,score:double>>")
     def pii_spans(text: pa.Array) -> pa.Array:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
         rows = [[{"kind": k, "start": a, "stop": b, "score": score(x, k, a, b)} for k, a, b in found(x)] if x else [] for x in text.to_pylist()]
@@ -123,7 +125,7 @@ def spans():
 def redaction():
     """A column function: text -> text with its personal data replaced; null stays null."""
 
-    @F.arrow_udf("string")
+    @text_udf("string")
     def pii_redacted(text: pa.Array) -> pa.Array:
         return pa.array([x and redacted(x, found(x)) for x in text.to_pylist()], pa.string())
 
@@ -134,7 +136,7 @@ def digest():
     """A column function: text -> counts by base kind, the SHA-256 of the list of base spans, the list of all spans and
     the highest score (0 without spans)."""
 
-    @F.arrow_udf("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, top_score double")
+    @text_udf("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, top_score double")
     def pii_digest(text: pa.Array) -> pa.Array:
         rows = []
         for x in text.to_pylist():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import code_points, written
+from tracemill.llm.base import code_points, small_batches, written
 
 ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
@@ -78,6 +78,7 @@ def _languages(df: DataFrame, column: str) -> list[str]:
 
 def counted(trusted: DataFrame, languages: list[str]) -> DataFrame:
     """gram, n over trusted (lang, text): counts of 5-grams by language, summed in each task before the shuffle."""
+    small_batches(trusted.sparkSession)
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -209,6 +210,7 @@ class Shard:
 def perplexities(documents: DataFrame, rows: DataFrame, languages: list[str]) -> DataFrame:
     """documents (mark, lang, text, ...): mark, logp, n. rows: a model, written. One pass over documents a shard."""
     spark = documents.sparkSession
+    small_batches(spark)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     pair = F.when(F.col("logp").isNotNull(), F.shiftrightunsigned("gram", BITS)).otherwise(F.col("gram"))
     part = F.expr(f"(({{}} & {SYMBOLS * SYMBOLS - 1}) * {0x9E3779B1} & {0xFFFFFFFF}) % {shards}".format("pair"))
@@ -269,7 +271,7 @@ def classified(documents: DataFrame, labels: DataFrame, trusted: Column | None =
     rows = written(model(counted(good, languages)))
     mark = F.to_json(F.struct("doc_id", "lang", "trusted", F.md5("text").alias("text"))).cast("binary").alias("mark")
     summed_up = written(perplexities(docs.select(mark, "lang", "text"), rows, languages))
-    told = F.from_json(F.col("mark").cast("string"), "doc_id bigint, lang string, trusted boolean, text string")
+    told = F.from_json(F.col("mark").cast("string"), f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, trusted boolean, text string")
     each = summed_up.select(told.alias("m"), "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), "copies")
     bounds = each.where("m.trusted and perplexity is not null").groupBy(F.col("m.lang").alias("l")).agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
     bounds = bounds.select("l", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

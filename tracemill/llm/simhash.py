@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import written
+from tracemill.llm.base import text_udf, written
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 #: Where the ring's segments begin, counted from the highest bit, and how wide they are.
@@ -64,7 +64,7 @@ def fingerprints(texts: list[str | None], words: int = 4, seed: int = 42) -> np.
 def simhash(words: int = 4, seed: int = 42):
     """A column function: text -> fingerprint, as a signed 64-bit integer."""
 
-    @F.arrow_udf("bigint")
+    @text_udf("bigint")
     def fingerprint(text: pa.Array) -> pa.Array:
         return pa.array(fingerprints(text.to_pylist(), words, seed).view(np.int64))
 

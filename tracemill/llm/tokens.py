@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
+from tracemill.llm.base import text_udf
+
 #: The pre-token pattern and the printable stand-ins for bytes of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (range(33, 127), range(161, 173), range(174, 256))
@@ -115,7 +117,7 @@ def counter(path: str) -> Counter:
 def token_count(vocabulary: str):
     """A column function: text -> number of tokens (bigint; 0 for null). vocabulary: path of the file on each node."""
 
-    @F.arrow_udf("bigint")
+    @text_udf("bigint")
     def count(text: pa.Array) -> pa.Array:
         tokens = counter(vocabulary).tokens
         return pa.array([tokens(x) if x else 0 for x in text.to_pylist()], pa.int64())

@@ -10,7 +10,8 @@ Each block gives k rows a query; the k best of all blocks are exact, as blocks p
 Queries and candidates meet block by block: a query block is dealt to each candidate block. Both kinds of block have a
 bounded number of rows, so no task or broadcast holds a whole side.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id;
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id
+or with components of 2^52 / scale and more, whose products leave 64 bits;
 a query's own id is no candidate; vectors of another length than the query's are no candidates for it. Repeated rows
 are candidates each, and a repeated query id is answered once for each of its distinct vectors. Fewer than k
 candidates: all of them."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import mixed, pieces, word_hashes
+from tracemill.llm.base import mixed, pieces, text_udf, word_hashes
 
 #: Characters of overlap between slices of a long text, so that pairs across a cut are seen.
 OVERLAP = 400
@@ -156,7 +156,7 @@ def toxicity(model: ToxicityModel, spark):
     """A column function: text -> probability that the text is toxic."""
     held = spark.sparkContext.broadcast((model, prefilter(model)))
 
-    @F.arrow_udf("double")
+    @text_udf("double")
     def score(text: pa.Array) -> pa.Array:
         model, seen = held.value
         return pa.array(scored(model, text.to_pylist(), seen))

@@ -139,3 +139,30 @@ def test_report_files(spark, tmp_path):
     assert "(+2 more)" in text and "q" * 120 + "..." in text and "[!!!] CRITICAL empty_truncated_responses" in text
     nothing, _ = write_output(samples.where("false"), f"file://{tmp_path}/none", "none", "jsonl")
     assert nothing["total_samples"] == 0 and nothing["issues"] == [] and "no issues found" in report(nothing, [])
+
+
+def test_more_statistics(spark, rows):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 7.0)], "g string, v double")
+    one = stats.cohens_d(df, [], "g", "v", "a", "b").first()
+    assert (one.na, one.nb, one.diff) == (2, 2, -4.0) and abs(one.pooled - 2**0.5) < 1e-9 and abs(one.d + 4 / 2**0.5) < 1e-9 and abs(one.t + 4 / 2**0.5) < 1e-9
+    table = spark.createDataFrame([("x", "p")] * 10 + [("x", "q")] * 20 + [("y", "p")] * 30, "a string, b string")
+    chi = stats.chi_square(table, "a", "b").first()
+    e = [30 * 40 / 60, 30 * 20 / 60, 30 * 40 / 60, 30 * 20 / 60]
+    assert chi.df == 1 and abs(chi.chi_square - sum((o - x) ** 2 / x for o, x in zip([10, 20, 30, 0], e))) < 1e-9
+    ps = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.5,)], "p double")
+    got = [(r.bonferroni, round(r.fdr, 6)) for r in stats.adjusted(ps).orderBy("p").collect()]
+    assert got == [(0.04, 0.04), (0.12, 0.053333), (0.16, 0.053333), (1.0, 0.5)]
+    v = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 0.99, 1.0, None)], "v double")
+    assert rows(stats.histogram(v, [], "v", 0.0, 1.0, 2)) == [(0, 1), (1, 1), (2, 2), (3, 1)]
+    assert rows(stats.ecdf(v, [], "v"))[0] == (-1.0, 0.2)
+    c = spark.createDataFrame([(0.05, False), (0.06, True), (1.0, True)], "s double, y boolean")
+    assert rows(stats.calibration(c, "s", "y"), "bin", "n", "share") == [(0, 2, 0.5), (9, 1, 1.0)]
+    assert abs(stats.correlation(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, None)], "x double, y double"), [], "x", "y").first().r - 1) < 1e-9
+
+
+def test_decision_bodies(spark):
+    from tracemill.operators.rules import decision
+
+    df = spark.createDataFrame([("block",), ("warn",), ("error",), ("allow",)], "a string")
+    got = [tuple(r.d) for r in df.select(decision(F.col("a"), F.lit("why")).alias("d")).collect()]
+    assert got == [(2, '{"decision":"block","reason":"why"}'), (0, '{"decision":"allow","systemMessage":"why"}'), (1, None), (0, None)]

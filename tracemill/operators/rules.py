@@ -192,3 +192,9 @@ def retry_policy(calls: DataFrame, status: str = "status", attempt: str = "attem
     policy = F.try_element_at(known, F.col(status).cast("string"))
     policy = F.when((policy == "retry") & (F.col(attempt) > most), "fail").otherwise(policy)
     return calls.withColumn("policy", policy).withColumn("wait_s", F.when(F.col("policy") == "backoff", F.least(F.pow(F.lit(2), F.col(attempt) - 1), F.lit(16.0))))
+
+
+def decision(action: Column, message: Column) -> Column:
+    """A rule's answer as struct(exit_code, body): blocked with a reason, allowed with a message, or nothing to say."""
+    body = F.when(action == "block", F.to_json(F.struct(F.lit("block").alias("decision"), message.alias("reason")))).when(action.isin("warn", "suggest"), F.to_json(F.struct(F.lit("allow").alias("decision"), message.alias("systemMessage"))))
+    return F.struct(F.when(action == "block", 2).when(action == "error", 1).otherwise(0).alias("exit_code"), body.alias("body"))

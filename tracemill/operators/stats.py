@@ -153,3 +153,54 @@ def auc(rows: DataFrame, by: Sequence[str], score: str, positive: str, ranges: i
     ranked = groups.join(lower, [*by, "part"]).withColumn("won", F.col("p") * below)
     sums = ranked.groupBy(*by).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.select(*by, (F.col("w") / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auc"))
+
+
+def cohens_d(rows: DataFrame, by: Sequence[str], group: str, value: str, a: object, b: object) -> DataFrame:
+    """n of each group, difference of means, pooled deviation, d, and Welch's t; one grouped pass."""
+    pick = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
+    s = rows.where(F.col(group).isin(a, b)).groupBy(*by).agg(*[pick(f, g).alias(f"{n}{k}") for k, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / F.nullif(F.col("na") + F.col("nb") - 2, F.lit(0)))
+    diff = F.col("ma") - F.col("mb")
+    return s.select(*by, "na", "nb", diff.alias("diff"), pooled.alias("pooled"), (diff / F.nullif(pooled, F.lit(0.0))).alias("d"), (diff / F.nullif(F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb")), F.lit(0.0))).alias("t"))
+
+
+def correlation(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.corr(x, y).alias("r"))
+
+
+def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Statistic and degrees of freedom of the table of two columns; cells that do not occur count through their
+    expectations, so no cross product of the columns' values is made."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
+    cells = cells.withColumn("ra", F.sum("o").over(Window.partitionBy(a))).withColumn("rb", F.sum("o").over(Window.partitionBy(b)))
+    # Sum of (o - e)^2 / e over all cells is n * (sum of o^2 / (ra * rb)) - n.
+    s = cells.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("s"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
+    return s.select("n", (F.col("n") * F.col("s") - F.col("n")).alias("chi_square"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"))
+
+
+def adjusted(tests: DataFrame, p: str = "p") -> DataFrame:
+    """tests (one row a test) with Bonferroni's and Benjamini and Hochberg's adjusted p-values."""
+    every = Window.partitionBy()
+    rank = F.row_number().over(Window.orderBy(p))
+    rows = tests.withColumn("_n", F.count("*").over(every)).withColumn("_r", rank)
+    rows = rows.withColumn("bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("_n")))
+    step = F.min(F.col(p) * F.col("_n") / F.col("_r")).over(Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn("fdr", F.least(F.lit(1.0), step)).drop("_n", "_r")
+
+
+def histogram(rows: DataFrame, by: Sequence[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin (0 below, 1 to bins, bins + 1 above) and n."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def calibration(rows: DataFrame, score: str, positive: str, bins: int = 10) -> DataFrame:
+    """bin, n, mean score and share of positives, for scores from 0 to 1."""
+    bin_ = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
+    return rows.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(positive).cast("int")).alias("share"))
+
+
+def ecdf(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """value and the share of rows at or below it; values are counted first."""
+    groups = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    part = Window.partitionBy(*by)
+    return groups.select(*by, value, (F.sum("k").over(part.orderBy(value)) / F.sum("k").over(part)).alias("share"))

@@ -405,3 +405,134 @@ def call_rate(spark, sf_dir):
 
     rows = rate(_t(spark, sf_dir, "events"), "ts", "1 hour", "1 hour", 20)
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "calls", "within")
+
+
+# Commands that the rule queries deal out over orders: one for most alternatives, near misses, exclusions.
+COMMANDS = (
+    "sudo rm -r /tmp/x", "sudo rm -rf /tmp/x", "ls | xargs kill", "make && kill 7", "kill 7", "sleep 30", "npm install", "pip install --help", "uv run train.py train", "pytest tests/Eval_x",
+    "docker logs web", "docker logs web | tail", "docker logs --tail=5 web", "git log | head", "git status", "journalctl", "journalctl -n 5", "cat a | less", "kubectl logs p | tail", "./run_all.py",
+    "inspect eval task.py", "python -m lab.benchmark", "python check_transcripts.py run_x.py", "curl http://h/a.zip", "make all", "make clean", "tsc", "echo done", "", "vite",
+)
+
+
+def _commands(spark, sf_dir):
+    pick = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("o_orderkey") % len(COMMANDS) + 1).cast("int"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", pick.alias("command"))
+
+
+_CMD = "c AS (SELECT o_orderkey, [" + ", ".join("'" + c + "'" for c in COMMANDS) + f"][o_orderkey % {len(COMMANDS)} + 1] AS command FROM orders)"
+
+
+def _any(marks) -> str:
+    return " OR ".join(f"contains(command, '{m}')" for m in marks)
+
+
+@query(f"WITH {_CMD} SELECT o_orderkey, CASE WHEN regexp_matches(command, '{rules.SUDO}') OR regexp_matches(command, '{rules.XARGS}') THEN 'block' WHEN regexp_matches(command, '{rules.COMPOUND_KILL}') THEN 'warn' ELSE 'allow' END AS decision FROM c")
+def destructive_commands(spark, sf_dir):
+    """P12"""
+    return _commands(spark, sf_dir).select("o_orderkey", rules.destructive(F.col("command")).alias("decision"))
+
+
+@query(f"""WITH {_CMD}, t AS (SELECT *, o_orderkey % 3 * 20000 AS ms FROM c) SELECT o_orderkey, CASE WHEN command = '' OR ms BETWEEN 1 AND 30000 OR {_any(rules.NOT_LONG)} THEN 'none'
+    WHEN regexp_matches(command, '{"|".join(rules.LONG)}') THEN 'force' WHEN regexp_matches(command, '{"|".join(rules.MAYBE_LONG)}') THEN 'suggest' ELSE 'none' END AS decision FROM t""")
+def long_running_commands(spark, sf_dir):
+    """P13"""
+    return _commands(spark, sf_dir).select("o_orderkey", rules.long_running(F.col("command"), timeout=F.col("o_orderkey") % 3 * 20000).alias("decision"))
+
+
+@query(rf"""WITH {_CMD} SELECT o_orderkey, CASE WHEN regexp_matches(command, '\|\s*(less|more)\b') THEN 'pager' WHEN regexp_matches(command, '\bgit\s+log\b.*\|\s*head\b') THEN 'git_log_head'
+    WHEN regexp_matches(command, '\bkubectl\s+logs\b.*\|\s*tail\b') THEN 'kubectl_logs_tail' WHEN regexp_matches(command, '\bdocker\s+logs\b.*\|\s*tail\b') THEN 'docker_logs_tail'
+    WHEN regexp_matches(command, '\bdocker\s+logs\b') AND NOT contains(command, '--tail') AND NOT contains(command, '|') THEN 'docker_logs_unlimited'
+    WHEN regexp_matches(command, '\bjournalctl\b') AND NOT regexp_matches(command, '(\s-n\b|--lines)') AND NOT contains(command, '|') THEN 'journalctl_unlimited' ELSE 'none' END AS advice FROM c""")
+def pipe_advice(spark, sf_dir):
+    """P14"""
+    return _commands(spark, sf_dir).select("o_orderkey", rules.pipe_advice(F.col("command")).alias("advice"))
+
+
+@query(f"""WITH {_CMD} SELECT o_orderkey, command <> '' AND o_orderkey % 4 <> 1 AND NOT ({_any(rules.OWN_TOOLS)}) AND regexp_matches(command, '{"|".join(rules.EXPERIMENTS)}') AS experiment FROM c""")
+def experiment_commands(spark, sf_dir):
+    """P15"""
+    code = F.when(F.col("o_orderkey") % 4 == 1, "1").when(F.col("o_orderkey") % 4 == 2, "0")
+    return _commands(spark, sf_dir).select("o_orderkey", rules.is_experiment(F.col("command"), code).alias("experiment"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 500 THEN '... [stderr truncated] ...' || chr(10) || chr(10) ELSE '' END || array_to_string(list_transform(CASE WHEN length(text) > 500 THEN string_split(text, chr(10))[-20:] ELSE string_split(text, chr(10)) END,
+    lambda x: CASE WHEN length(x) > 500 THEN substr(x, 1, 200) || ' ... [' || length(x) || ' chars] ... ' || right(x, 100) ELSE x END), chr(10)) AS text FROM documents""")
+def truncate_stderr(spark, sf_dir):
+    """T4"""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.truncate_stderr(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) > 40)) AS INT) AS run_ons,
+    CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INT) AS words FROM documents""")
+def run_on_sentences(spark, sf_dir):
+    """P33"""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.run_on_sentences(F.col("text")).alias("run_ons"), text.word_count(F.col("text")).alias("words"))
+
+
+@query("""WITH s AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS na, count(*) FILTER (l_linestatus = 'O') AS nb, avg(l_quantity) FILTER (l_linestatus = 'F') AS ma, avg(l_quantity) FILTER (l_linestatus = 'O') AS mb,
+    var_samp(l_quantity) FILTER (l_linestatus = 'F') AS va, var_samp(l_quantity) FILTER (l_linestatus = 'O') AS vb FROM lineitem GROUP BY 1), p AS (SELECT *, sqrt(((na - 1) * va + (nb - 1) * vb) / nullif(na + nb - 2, 0)) AS sd FROM s)
+    SELECT l_returnflag, na, nb, round(ma - mb, 6) AS diff, round(sd, 6) AS pooled, round((ma - mb) / sd, 6) AS d, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t FROM p""")
+def cohens_d(spark, sf_dir):
+    """A35 (own definition)"""
+    return _rounded(stats.cohens_d(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity", "F", "O"), "diff", "pooled", "d", "t")
+
+
+@query("""WITH o AS (SELECT source AS a, lang AS b, count(*) AS o FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS rb FROM o)
+    SELECT CAST(sum(o) AS BIGINT) AS n, round(sum(o) * sum(o * o / (ra * rb)) - sum(o), 6) AS chi_square, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM m""")
+def chi_square(spark, sf_dir):
+    """A35 (own definition)"""
+    return _rounded(stats.chi_square(_t(spark, sf_dir, "documents"), "source", "lang"), "chi_square")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def correlation(spark, sf_dir):
+    """A35 (own definition)"""
+    return _rounded(stats.correlation(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), "r")
+
+
+@query("""SELECT event_type, CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 200 THEN 21 ELSE floor(value / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY ALL""")
+def histogram(spark, sf_dir):
+    """A36 (own definition)"""
+    return stats.histogram(_t(spark, sf_dir, "events"), ["event_type"], "value", 0.0, 200.0, 20)
+
+
+@query("""SELECT lang, n_chars, round(sum(count(*)) OVER (PARTITION BY lang ORDER BY n_chars) / sum(count(*)) OVER (PARTITION BY lang), 9) AS share FROM documents WHERE n_chars IS NOT NULL GROUP BY lang, n_chars""")
+def ecdf(spark, sf_dir):
+    """A36 (own definition)"""
+    return _rounded(stats.ecdf(_t(spark, sf_dir, "documents"), ["lang"], "n_chars"), "share", digits=9)
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x = '---')) AS INT) AS separators, CAST(len(list_filter(string_split(text, chr(10)), lambda x: x = '---')) + 1 AS INT) AS slides FROM documents""")
+def slide_count(spark, sf_dir):
+    """A43"""
+    return lines.slide_count(_t(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT *, CASE WHEN contains(line, 'password=') THEN 1 WHEN contains(line, 'All rights reserved') THEN 2 WHEN contains(line, 'License') THEN 3 END AS k FROM l),
+    s AS (SELECT doc_id, len(string_split(line, ['password=', 'All rights reserved', 'License'][k])) - 1 AS times, [95, 75, 88][k] * [3, 1, 2][k] / 100 AS w FROM h WHERE k IS NOT NULL),
+    g AS (SELECT doc_id, CAST(sum(times) AS BIGINT) AS matches, sum(times * w) AS weight FROM s GROUP BY 1),
+    d AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS INT) AS words FROM documents),
+    r AS (SELECT doc_id, coalesce(matches, 0) AS matches, words, least(100.0, coalesce(weight, 0) * 100 / greatest(words, 1)) AS score FROM d LEFT JOIN g USING (doc_id))
+    SELECT doc_id, matches, words, round(score, 6) AS score, CASE WHEN score < 10 THEN '0-10' WHEN score < 20 THEN '10-20' WHEN score < 40 THEN '20-40' ELSE '40-100' END AS band FROM r""")
+def lint_score(spark, sf_dir):
+    """A38 (own definition)"""
+    return _rounded(lines.lint_score(_t(spark, sf_dir, "documents"), PHRASES), "score")
+
+
+@query("""SELECT event_type, count(*) AS sessions FROM events GROUP BY 1""")
+def session_counts(spark, sf_dir):
+    """A14"""
+    from tracemill.sources.records import session_counts as counts
+
+    return counts(_t(spark, sf_dir, "events"), "event_type")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'read' WHEN 1 THEN 'edit' WHEN 2 THEN 'search' WHEN 3 THEN 'research' WHEN 4 THEN 'notebook' WHEN 5 THEN 'none' WHEN 6 THEN 'other'
+    ELSE CASE WHEN o_orderkey % 9 = 7 THEN 'none' ELSE 'command' END END AS kind FROM orders""")
+def delegation(spark, sf_dir):
+    """P16"""
+    k = (F.col("o_orderkey") % 9).cast("int")
+    tool = F.get(F.array(*[F.lit(x) for x in ("Read", "Edit", "Grep", "WebFetch", "NotebookEdit", "Skill", "Odd", "Bash", "Bash")]), k)
+    command = F.when(k == 7, "git log -3").otherwise("git push")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", rules.delegation(tool, command, F.lit(True)).alias("kind"))

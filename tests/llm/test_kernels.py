@@ -34,6 +34,13 @@ def test_token_counts_equal_the_library(tokenizer):
         assert count(x) == len(tokenizer.encode(x, add_special_tokens=False).ids), x[:80]
 
 
+def test_latin_cut_equals_the_pattern():
+    latin = [chr(c) for c in range(0x250) if tokens._is_latin(chr(c))]
+    assert len(latin) > 490 and not tokens._is_latin("\x1c") and not tokens._is_latin("×") and not tokens._is_latin("²")
+    for x in [*texts(6, 3000, latin, 40), *texts(7, 3000, " '\n\t\rstred ll_é1-", 40)]:
+        assert tokens._is_latin(x) and tokens._split_latin(x) == tokens._split_any(x), repr(x)
+
+
 def test_words_forget_without_changing_results():
     held = tokens.Words(len, 3)
     assert [held[w] for w in "a bb ccc dddd a eeeee bb".split()] == [1, 2, 3, 4, 1, 5, 2]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm.base import text_udf, written
-from tracemill.llm.tokens import PATTERN, Words, byte_symbols
+from tracemill.llm.tokens import Words, byte_symbols, pre_tokens
 
 SALTS = 64
 #: Pre-tokens in a generation of those whose ids a worker remembers.
@@ -47,11 +47,10 @@ class Encoder:
 
         self.special_ids = special
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.split = regex.compile(PATTERN).findall
         self.words = Words(ids, REMEMBERED)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        return b"".join(map(self.words.__getitem__, pre_tokens(text)))
 
     def ids(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):

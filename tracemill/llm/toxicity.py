@@ -53,10 +53,10 @@ def fit(rows: list[tuple[str, int]], alpha: float = 2.0, beta: float = 1.0, l1:
     if len(set(labels)) < 2:
         share = labels.mean() if len(labels) else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    bags = [bag(text) for text, _ in rows]
+    bags = _admitted([bag(text) for text, _ in rows], admit)
     known, counts = np.unique(np.concatenate(bags), return_counts=True)
     known = known[counts >= admit]
-    bags = [_places(known, b) for b in bags]
+    bags = [_places(known, b).astype(np.int32) for b in bags]
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(bags)) % 5 == 4
     how = {"size": len(known), "alpha": alpha, "beta": beta, "l1": l1, "l2": l2, "epochs": epochs, "rng": rng}
@@ -70,6 +70,18 @@ def fit(rows: list[tuple[str, int]], alpha: float = 2.0, beta: float = 1.0, l1:
     return ToxicityModel(known[kept], w[kept].astype(np.float32), float(intercept + shift))
 
 
+def _admitted(bags: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """The bags without most features that fewer than `least` of them hold: one counter for many features, so a
+    feature's counter is at least its count."""
+    counters = np.zeros(1 << 25, np.uint8)
+    for b in bags:
+        at = (b >> np.uint64(39)).astype(np.int32)
+        counters[at] = np.minimum(counters[at], 254) + 1
+    for i, b in enumerate(bags):
+        bags[i] = b[counters[(b >> np.uint64(39)).astype(np.int32)] >= least]
+    return bags
+
+
 def _descend(bags: list[np.ndarray], labels: np.ndarray, size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, rng) -> tuple[np.ndarray, float]:
     """FTRL-proximal over the rows, in a new order each epoch: weights and intercept (which is not shrunk)."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the intercept's
@@ -90,14 +102,14 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, size: int, alpha: float
 
 
 def _cut(logits: np.ndarray, positive: np.ndarray, beta_f: float) -> float:
-    """The middle of the gap between logits at which the F score of calling all above it positive is best; at most 0,
+    """A point in the gap (nearer its upper end) between logits at which the F score of calling all above it positive is best; at most 0,
     so that what the fit itself calls positive stays so."""
     order = np.argsort(-logits, kind="stable")
     logits, hits = logits[order], np.cumsum(positive[order])
     f = (1 + beta_f**2) * hits / (np.arange(1, len(hits) + 1) + beta_f**2 * hits[-1])
     k = int(np.argmax(f))
     below = logits[k + 1] if k + 1 < len(logits) else logits[k] - 1
-    return float(min(0.0, (logits[k] + below) / 2))
+    return float(min(0.0, (2 * logits[k] + below) / 3))
 
 
 def _places(known: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -12,14 +12,17 @@ pair from the grouping itself; in larger ones minority members look for partners
 
 Defined cases: a null text, or one without a word, has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle is one shingle. Repeated rows share a component. The id of a component is its smallest non-null
-doc_id (null if it has none). An empty table gives an empty result."""
+doc_id (null if it has none). An empty table gives an empty result.
+
+near_copies links texts by the Jaccard similarity of their shingle sets itself, by prefix filtering, which loses no pair:
+see there."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.base import text_udf, written
@@ -29,6 +32,8 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 STARTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 #: Fingerprints in a task that gives each its 64 bucket keys.
 NODES_A_TASK = 16384
+#: Rows of the sample that tells common shingles, how many of them make one common, and the most that are broadcast.
+SAMPLE, COMMON, MOST_COMMON = 8192, 4, 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -148,3 +153,102 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_fp = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64).view(np.int64))
+
+
+def _arrays(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+
+def shingle_sets(words: int = 5, seed: int = 42):
+    """A column function: text -> its distinct shingle hashes."""
+
+    @text_udf("array<bigint>")
+    def sets(text: pa.Array) -> pa.Array:
+        return _arrays([shingle_set(x, words, seed) for x in text.to_pylist()])
+
+    return sets
+
+
+def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float, seed: int):
+    """A column function: text -> sig (a hash of its shingle set), size, and the set's prefix, common shingles last."""
+    held = spark.sparkContext.broadcast(common)
+
+    @text_udf("struct<sig: bigint, size: int, prefix: array<bigint>>")
+    def prefix(text: pa.Array) -> pa.Array:
+        rare_first, sigs, sizes = [], [], []
+        for x in text.to_pylist():
+            own = shingle_set(x, words, seed)
+            sigs.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
+            sizes.append(len(own))
+            last = np.isin(own, held.value)
+            rare_first.append(np.concatenate((own[~last], own[last]))[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1])
+        return pa.StructArray.from_arrays([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
+
+    return prefix
+
+
+def common_shingles(documents: DataFrame, text: str, words: int, seed: int) -> np.ndarray:
+    """Shingles that COMMON or more distinct texts of a sample hold. It only sets an order, so no result depends on it."""
+    parts = -(-documents.count() // SAMPLE) or 1
+    read = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where(f"pmod(mark, {parts}) = 0")
+    each = read.select("mark", F.explode(shingle_sets(words, seed)(F.col("text"))).alias("hash")).distinct()
+    found = each.groupBy("hash").count().where(f"count >= {COMMON}").orderBy(F.desc("count"), "hash").limit(MOST_COMMON)
+    return np.sort(found.select("hash").toArrow()["hash"].to_numpy())
+
+
+def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id, component_id for each row of documents. Two texts are linked if the Jaccard similarity of their sets of
+    shingles (64-bit hashes) is `share` or more; no other link is made and none is lost.
+
+    In any one order of all shingles, two such sets share one within their first n - ceil(share * n) + 1: an equi-join on
+    these prefixes finds every pair. The order puts shingles that a sample finds common last, so a line that many texts
+    hold makes few candidates. Candidates are thinned by a bound from the two prefixes, then decided on the whole sets.
+    Equal sets are one node; nodes are first compared with the smallest member of each bucket and joined to components,
+    then minority members of buckets that hold several components look for partners, as for fingerprints."""
+    spark = documents.sparkSession
+    made = prefixes(spark, common_shingles(documents, text, words, seed), words, share, seed)
+    marked = written(documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p")).select("doc_id", "mark", "p.*"))
+    nodes = written(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")))
+
+    def overlapping(pairs: DataFrame, sets: DataFrame, beyond: str) -> DataFrame:
+        """The pairs whose sets' overlap, and what may lie beyond the arrays at hand, reach the share."""
+        a, b = (sets.select(F.col("sig").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"s{x}")) for x in "ab")
+        reached = f"{1 + share}D * (size(array_intersect(sa, sb)) + {beyond}) >= {share}D * (na + nb) - 1e-6"
+        return written(pairs.join(a, "a").join(b, "b").where(f"na >= {share}D * nb - 1e-6 and nb >= {share}D * na - 1e-6 and {reached}").select("a", "b"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b; distinct, written) of similar sets."""
+        wanted = lambda df: written(df.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+        short = written(marked.join(wanted(pairs), "sig", "left_semi").select("sig", "size", F.col("prefix").alias("held")).dropDuplicates(["sig"]))
+        pairs = overlapping(pairs, short, "greatest(na - size(sa), nb - size(sb))")
+        marks = written(nodes.join(wanted(pairs), "sig", "left_semi").select("sig", "mark"))
+        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(marks, "mark").select("sig", "text").dropDuplicates(["sig"])
+        whole = written(texts.select("sig", shingle_sets(words, seed)(F.col("text")).alias("held")))
+        return overlapping(pairs, whole.select("sig", F.size("held").alias("size"), "held"), "0")
+
+    flat = marked.select("sig", "size", F.explode("prefix").alias("hash"))
+    shared = written(flat.groupBy("hash").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).where("hub < top").select("hash", "hub"))
+    members = written(flat.join(shared, "hash").select("hash", "sig", "size", "hub").distinct())
+    near = similar(written(members.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()))
+    first = components(near).withColumnRenamed("node", "sig")
+    rooted = written(nodes.select("sig", F.col("first")).join(first, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root")))
+    members = written(members.join(rooted.select("sig", "root"), "sig").select("hash", "sig", "size", "root"))
+    mixed = written(members.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("hash"))
+    members = written(members.join(mixed, "hash"))
+    held = written(members.groupBy("hash", "root").agg(F.count("*").alias("n")))
+    major = written(held.groupBy("hash").agg(F.max(F.struct("n", "root")).alias("m")).select("hash", F.col("m.root").alias("major")))
+    minor = written(members.join(major, "hash").where("root <> major").select("hash", F.col("sig").alias("sig2"), F.col("size").alias("size2"), F.col("root").alias("root2")))
+    across = members.join(minor, "hash").where(f"root <> root2 and size >= {share}D * size2 - 1e-6 and size2 >= {share}D * size - 1e-6")
+    across = similar(written(across.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()))
+    root = lambda x: rooted.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
+    joined = components(across.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    named = written(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("sig", "first", F.coalesce("top", "root").alias("root")))
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_sig = written(named.select("sig", "root").join(least, "root").select("sig", "component_id"))
+    return marked.select("doc_id", "sig").join(by_sig, "sig").select("doc_id", "component_id")

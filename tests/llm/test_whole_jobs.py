@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tracemill.llm import simhash
+from tracemill.llm import quality, simhash
 
 
 def copies(seed, roots, each, least, most):
@@ -59,3 +59,13 @@ def test_pipeline_drops_every_near_copy(spark):
     ids = sorted(d.doc_id for d in held)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.01").collect()
     assert sorted(d.doc_id for d in kept) == sorted({ids[g] for g in groups})
+
+
+def test_quality_keeps_good_text_that_was_not_learned(spark):
+    r = random.Random(4)
+    stock = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(1500)]
+    docs = [(i, " ".join(r.choice(stock) for _ in range(60)), "en") for i in range(800)] + [(1000 + i, "".join(r.choice("0123456789#%&") for _ in range(300)), "en") for i in range(40)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id bigint, quality int")
+    kept = {x.doc_id for x in quality.classified(documents, labels).collect() if x.keep}
+    assert sum(i in kept for i in range(400, 800)) >= 380 and sum(i in kept for i in range(400)) >= 380 and not any(i in kept for i in range(1000, 1040))

@@ -12,15 +12,19 @@ and few in fact, are in every shard). Each shard in turn is broadcast, which its
 with all documents; partial sums are added by document. More trusted text makes more shards, not larger ones.
 
 A document is kept if its perplexity lies between two quantiles of the trusted documents' perplexities in its language
-(too high: noise; too low: repetition).
+(too high: noise; too low: repetition). No text is scored by a model that learned it: documents are dealt into FOLDS
+parts by a hash of the text, so that copies stay together, and each part is scored by the counts of the trusted texts
+of the others. So the quantiles are those of unseen good text.
 
 Defined cases: a null lang counts as the language `und`. A null or empty text has null perplexity and is not kept. A
-document whose language has no trusted text has null perplexity, and is kept: nothing speaks against it. Repeated rows
+document whose language has no trusted text in the other parts has null perplexity, and is kept: nothing speaks against
+it; likewise where no trusted document of the language could be scored. Repeated rows
 are answered each. Rows of labels with null ids, or for ids without documents, do nothing. Texts are read whole."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ SHARD_ROWS = 4_000_000
 #: Ids up to which the set of trusted documents is broadcast (at most 64 MB in memory); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 UND = "und"
+#: Parts of the documents, by a hash of the text; each is scored by a model of the trusted texts in the others.
+FOLDS = 2
 
 
 def symbols(text: str) -> np.ndarray:
@@ -267,10 +273,15 @@ def classified(documents: DataFrame, labels: DataFrame, trusted: Column | None =
     docs = docs.join(ids.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("i"), "left").drop("i")
     docs = docs.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     good = docs.where("trusted and text is not null and text <> ''")
-    languages = _languages(good, "lang")
-    rows = written(model(counted(good, languages)))
     mark = F.to_json(F.struct("doc_id", "lang", "trusted", F.md5("text").alias("text"))).cast("binary").alias("mark")
-    summed_up = written(perplexities(docs.select(mark, "lang", "text"), rows, languages))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
+    scored = []
+    for k in range(FOLDS):
+        learned = good.where(fold != k)
+        languages = _languages(learned, "lang")
+        rows = written(model(counted(learned, languages)))
+        scored.append(written(perplexities(docs.where(fold == k).select(mark, "lang", "text"), rows, languages)))
+    summed_up = reduce(DataFrame.unionByName, scored)
     told = F.from_json(F.col("mark").cast("string"), f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, trusted boolean, text string")
     each = summed_up.select(told.alias("m"), "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), "copies")
     bounds = each.where("m.trusted and perplexity is not null").groupBy(F.col("m.lang").alias("l")).agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))

@@ -1,9 +1,11 @@
 """What the first round's review found to be cut short, each against brute force."""
 
+import io
 import random
 
 import corpus_pipeline
-from tracemill.llm import quality, simhash
+import pytest
+from tracemill.llm import quality, simhash, warc
 
 
 def copies(seed, roots, each, least, most):
@@ -69,3 +71,19 @@ def test_quality_keeps_good_text_that_was_not_learned(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id bigint, quality int")
     kept = {x.doc_id for x in quality.classified(documents, labels).collect() if x.keep}
     assert sum(i in kept for i in range(400, 800)) >= 380 and sum(i in kept for i in range(400)) >= 380 and not any(i in kept for i in range(1000, 1040))
+
+
+@pytest.mark.parametrize("noisy", [False, True])
+@pytest.mark.parametrize("payload", [False, True])
+def test_warc_heads_of_any_length(noisy, payload):
+    r = random.Random(1)
+    url = "http://a/" + ("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(70000)) if noisy else "x" * 70000)
+    row = {"record_id": "<urn:x>", "record_type": "response", "target_uri": url, "warc_date": None, "payload_digest": None, "refers_to": None, "payload_bytes": 9000, "payload": b"p" * 9000}
+    block = b"HTTP/1.1 200 OK\r\nX-Long: " + (r.randbytes(2500).hex().encode() if noisy else b"y" * 5000) + b"\r\nContent-Length: 9000\r\n\r\n" + b"p" * 9000
+    long = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    reader = warc.WarcReader({"path": "/x", "payload": str(payload)})
+    held = [warc.record(row), long, warc.record(row | {"target_uri": "u"})]
+    for read, blob in ((warc._gzip_records, b"".join(map(warc.member, held))), (warc._plain_records, b"".join(held))):
+        got = [reader._row(h, b) for h, b in read(warc.Stream(io.BytesIO(blob)), lambda h: (True, payload))]
+        assert [x[2] for x in got] == [url, None, "u"] and [x[6] for x in got] == [9000] * 3
+        assert [x[8] for x in got] == ([b"p" * 9000] * 3 if payload else [None] * 3)

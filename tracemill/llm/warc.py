@@ -39,7 +39,7 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 ROWS = 256
-#: Bytes of a gzip member read at first, and the most that headers may take once decompressed.
+#: Bytes of a gzip member or of a plain record read at first; more are read until the headers are whole.
 HEAD = 2048
 
 
@@ -112,16 +112,37 @@ def _split(data: bytes) -> tuple[bytes, bytes] | None:
     return None if at < 0 else (data[:at], data[at + 4 :])
 
 
+def _http(headers: dict[str, str]) -> bool:
+    return headers.get("content-type", "").startswith("application/http")
+
+
+def _inflated(stream: Stream, total: int) -> Iterator[bytes]:
+    """A member's data piece by piece, in growing pieces, as far as it is asked for; the stream stays where it is."""
+    inflate, read, most = zlib.decompressobj(-15), min(total, HEAD), 1 << 16
+    data = stream.peek(read)[24:]
+    while True:
+        yield inflate.decompress(data, most)
+        most *= 2
+        data = inflate.unconsumed_tail
+        while not data and read < total and not inflate.eof:
+            before, read = read, min(total, read * 4)
+            data = stream.peek(read)[before:]
+            if not data:
+                return
+        if inflate.eof or not data:
+            return
+
+
 def _gzip_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]:
     while start := stream.peek(24):
         if start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl" and struct.unpack("<H", start[10:12])[0] == 12:
             total = struct.unpack("<I", start[16:20])[0]
-            inflate = zlib.decompressobj(-15)
-            read = min(total, HEAD)
-            data = inflate.decompress(stream.peek(read)[24:], 1 << 16)
-            while not (parts := _split(data)) and read < total:
-                read = min(total, read * 4)
-                data = zlib.decompressobj(-15).decompress(stream.peek(read)[24:])
+            begun = _inflated(stream, total)
+            data = next(begun)
+            while not (parts := _split(data)) and (more := next(begun, b"")):
+                data += more
+            if not parts:
+                raise ValueError("a WARC record without an end of its headers")
             headers = parsed(parts[0])
             keep, payload = wanted(headers)
             if not keep:
@@ -131,9 +152,11 @@ def _gzip_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]
                 data = zlib.decompress(stream.take(total)[24:-8], -15)
                 yield headers, _split(data)[1][: int(headers["content-length"])]
             else:
-                block = parts[1]
+                block, length = parts[1], int(headers["content-length"])
+                while _http(headers) and not _split(block[:length]) and len(block) < length and (more := next(begun, b"")):
+                    block += more
                 stream.skip(total)
-                yield headers, (_split(block) or (block, b""))[0] + b"\r\n\r\n"
+                yield headers, (_split(block[:length]) or (b"", b""))[0] + b"\r\n\r\n"
         else:  # a member of someone else's: its end is only known once it is read
             inflate, data = zlib.decompressobj(31), []
             while not inflate.eof and (more := stream.take(1 << 16)):
@@ -159,7 +182,10 @@ def _plain_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]
             stream.skip(4)
         else:
             if keep:
-                yield headers, (_split(stream.peek(min(length, HEAD))) or (b"", b""))[0] + b"\r\n\r\n"
+                read = min(length, HEAD)
+                while _http(headers) and not _split(stream.peek(read)) and read < length and len(stream.peek(read)) == read:
+                    read = min(length, read * 4)
+                yield headers, (_split(stream.peek(read)) or (b"", b""))[0] + b"\r\n\r\n"
             stream.skip(length + 4)
 
 

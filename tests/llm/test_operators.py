@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_whole_jobs import jaccard_groups
 from tracemill.llm import base, decontam, langid, packing, pii, queries, simhash, topk, toxicity, warc
 
 DATA = Path("/root/testdata/sf0.001")
@@ -189,8 +190,10 @@ def reachable(fps, ids):
     return out
 
 
+@pytest.mark.parametrize("ball", [simhash.BALL, 3])
 @pytest.mark.parametrize("kind", ["random", "dense", "chain"])
-def test_links_equal_brute_force(spark, kind):
+def test_links_equal_brute_force(spark, kind, ball, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", ball)
     r = random.Random(kind)
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
     if kind == "dense":
@@ -212,6 +215,22 @@ def test_links_equal_brute_force(spark, kind):
     assert [got[x] for x in signed] == expected
 
 
+@pytest.mark.parametrize("dense", [simhash.DENSE, 100])
+def test_a_hot_group_makes_few_rows(spark, dense, monkeypatch):
+    """Thousands of near copies, of which most pairs are not linked: what joins make stays in proportion to the group."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    made = []
+    monkeypatch.setattr(simhash, "written", lambda df: (made.append(base.written(df)), made[-1])[1])
+    r = random.Random(5)
+    centre = r.getrandbits(64)
+    distinct = sorted({centre ^ sum(1 << b for b in r.sample(range(64), r.randint(4, 9))) for _ in range(3000)})
+    signed = [x - 2**64 if x >= 2**63 else x for x in distinct]
+    nodes = base.written(spark.createDataFrame([(x,) for x in signed], "fp bigint"))
+    got = {a: b for a, b in simhash.links(nodes).collect()}
+    assert [got[x] for x in signed] == reachable(distinct, signed)
+    assert max(df.count() for df in made) <= 65 * len(distinct)
+
+
 def test_simhash_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     fps = simhash.fingerprints([d.text for d in docs]).tolist()
@@ -358,8 +377,8 @@ def test_pipeline_equals_its_parts(spark):
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     scores = toxicity.scored(model, [d.text for d in held])
     kept = [d for d, s in zip(held, scores) if s < 0.5]
-    first = reachable(simhash.fingerprints([d.text for d in kept]).tolist(), [d.doc_id for d in kept])
-    kept = [d for d, c in zip(kept, first) if d.doc_id == c]
+    kept.sort(key=lambda d: d.doc_id)
+    kept = [d for k, (d, c) in enumerate(zip(kept, jaccard_groups([d.text for d in kept]))) if k == c]
     _, pairs = duck(sf, queries.ORACLE_SQL["op10_decontamination"])
     leaks = {p[0] for p in pairs}
     kept = [d for d in kept if d.doc_id not in leaks]

@@ -58,6 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def identity(*columns: Column) -> Column:
+    """128 bits for each column's value: tells rows apart where 64 bits would meet by chance in a very large table."""
+    return F.concat(*[F.coalesce(F.unhex(F.md5(c.cast("string").cast("binary"))), F.lit(b"-")) for c in columns])
+
+
 def id_remainder(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)

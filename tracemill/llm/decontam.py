@@ -8,14 +8,15 @@ Candidates are verified on the shingles themselves. All steps are DataFrame func
 
 Words are runs of letters and digits, lower-cased; a shingle is five words. Defined cases: items of fewer than five
 words (or null) have no shingle and match nothing, and likewise documents; repeated item rows count once, items that
-share an id are looked for one by one; repeated documents are reported each. Texts are read whole."""
+share an id are looked for one by one; repeated documents are reported each; an empty table on either side gives no
+row (`clean`: all rows). Only the named columns are read, so others may have any name. Texts are read whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import written
+from tracemill.llm.base import identity, written
 
 
 def _words(text: Column) -> Column:
@@ -65,7 +66,7 @@ def contained(documents: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def clean(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of documents, all columns, whose text holds no item. Rows are told apart by (id, text)."""
-    read = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col(key), F.col(text)).alias("mark"))
-    own = documents.select(F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(text).alias("text"))
+    mark = identity(F.col(key), F.col(text)).alias("mark")
+    own = documents.select(mark, F.col(text).alias("text"))
     found = written(contained(own, items, "mark", "text", words, share).select(F.col("doc_id").alias("mark")).distinct())
-    return read.join(found, "mark", "left_anti").select("row.*")
+    return documents.select(F.struct("*").alias("row"), mark).join(found, "mark", "left_anti").select("row.*")

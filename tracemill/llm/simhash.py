@@ -7,8 +7,9 @@ agree in a segment and differ in at most one bit of the next: an equi-join on ab
 one bit left out), then the budgets of longer chains, then the full Hamming check.
 
 Dense groups make no quadratic work: equal fingerprints are one node; nodes are first linked to the smallest member of
-each 26-bit bucket and joined to components; after that only buckets that hold several components count. A bucket of two gives its
-pair from the grouping itself; in larger ones minority members look for partners by a join. Links inside a component would change nothing, so none is lost.
+each 26-bit bucket and joined to components; after that only buckets that hold several components count. A bucket of two
+gives its pair from the grouping itself; in larger ones members outside the bucket's largest component look for partners by
+a join, if they are few, or else meet them in the points between (see _met). Links inside a component would change nothing.
 
 Defined cases: a null text, or one without a word, has fingerprint zero and is linked like any other; a text of fewer
 words than a shingle is one shingle. Repeated rows share a component. The id of a component is its smallest non-null
@@ -27,9 +28,13 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.base import text_udf, written
 
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: Where the ring's segments begin, counted from the highest bit, and how wide they are.
 STARTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
+#: Points within 2 bits of a fingerprint. Buckets with a larger minority than DENSE are linked by these points, smaller
+#: ones by a join, which compares a member with no more others than it has points.
+BALL = 1 + 64 + 64 * 63 // 2
+DENSE = BALL
 #: Fingerprints in a task that gives each its 64 bucket keys.
 NODES_A_TASK = 16384
 #: Rows of the sample that tells common shingles, how many of them make one common, and the most that are broadcast.
@@ -58,9 +63,9 @@ def fingerprints(texts: list[str | None], words: int = 4, seed: int = 42) -> np.
         flat = np.array([h for hs in hashes for h in hs], np.uint64)
         row = np.repeat(np.arange(len(hashes)), sizes)
         octets = flat.astype(">u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-        counts = np.empty((len(hashes), 8, 8), np.float32)
+        counts = np.empty((len(hashes), 8, 8))
         for k in range(8):
-            counts[:, k] = np.bincount(row * 256 + octets[:, k], minlength=256 * len(hashes)).reshape(-1, 256).astype(np.float32) @ BITS
+            counts[:, k] = np.bincount(row * 256 + octets[:, k], minlength=256 * len(hashes)).reshape(-1, 256).astype(np.float64) @ BITS
         ones = (2 * counts.reshape(-1, 64) > sizes[:, None]).astype(np.uint8)
         out[first : first + 256] = np.packbits(ones, axis=1).view(">u8").ravel()
     return out
@@ -81,11 +86,14 @@ def _ring(fp: str, start: str) -> str:
     return f"(shiftleft({fp}, {start}) | shiftrightunsigned({fp}, 64 - {start}))"
 
 
-def _apart(x: str, y: str) -> str:
-    """The chains' budgets and the full check, as SQL over two fingerprints."""
-    first = [f"bit_count(shiftrightunsigned({_ring(f'({x} ^ {y})', str(s))}, {64 - sum((WIDTHS * 2)[i : i + n])})) <= {4 * n // 5}" for i, s in enumerate(STARTS) for n in (3, 4)]
-    chains = " or ".join(f"({a} and {b})" for a, b in zip(first[::2], first[1::2]))
-    return f"({chains}) and bit_count({x} ^ {y}) <= 4"
+def _pair(x: str, y: str, key: str) -> str:
+    """SQL: x and y are linked, and the bucket `key` is the first that holds them: the first segment that starts a chain
+    within all budgets, and the bit in which the next segment differs (0 if in none). So a pair is given once."""
+    z, i, p = f"({x} ^ {y})", f"cast({key} % 5 as int)", f"cast({key} div 5 % 13 as int)"
+    upto = lambda k, n: f"shiftrightunsigned({_ring(z, str(STARTS[k]))}, {64 - sum((WIDTHS * 2)[k : k + n])})"
+    chains = " ".join(f"when {' and '.join(f'bit_count({upto(k, n)}) <= {4 * n // 5}' for n in range(1, 5))} then {k}" for k in range(5))
+    two = f"case {i} {' '.join(f'when {k} then {upto(k, 2)}' for k in range(5))} end"
+    return f"bit_count({z}) <= 4 and {i} = case {chains} end and {two} = if({p} = 0 and {two} = 0, 0L, shiftleft(1L, {p}))"
 
 
 def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -133,17 +141,32 @@ def links(nodes: DataFrame) -> DataFrame:
     spread = spread.select("fp", "root", F.expr(f"(({bucket}) * 13 + p) * 5 + i").alias("key"))
     mixed = spread.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
     mixed = written(mixed.where("x < y"))
-    twos = mixed.where("n = 2 and " + _apart("a", "b")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    twos = mixed.where("n = 2 and " + _pair("a", "b", "key")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     members = written(spread.join(written(mixed.where("n > 2").select("key")), "key"))
     share = written(members.groupBy("key", "root").agg(F.count("*").alias("n")))
-    major = written(share.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("major")))
-    minor = written(members.join(major, "key").where("root <> major").select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2")))
-    across = members.join(minor, "key").where("root <> root2 and " + _apart("fp", "fp2"))
-    joined = components(across.select(F.col("root").alias("a"), F.col("root2").alias("b")).unionByName(twos))
+    major = share.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    major = written(major.select("key", F.col("m.root").alias("major"), (F.col("n") - F.col("m.n")).alias("others")))
+    minor = written(members.join(major.where(f"others <= {DENSE}"), "key").where("root <> major").select("key", "major", F.col("fp").alias("fp2"), F.col("root").alias("root2")))
+    across = members.join(minor, "key").where("root <> root2 and (root = major or fp < fp2) and " + _pair("fp", "fp2", "key"))
+    dense = written(members.join(major.where(f"others > {DENSE}").select("key"), "key").select("fp", "root").distinct())
+    edges = across.select(F.col("root").alias("a"), F.col("root2").alias("b")).unionByName(twos).unionByName(_met(dense))
+    joined = components(edges)
     second = marked.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return written(second.select("fp", F.coalesce("top", "root").alias("root")))
 
 
+def _met(dense: DataFrame) -> DataFrame:
+    """Edges (a, b) between roots of linked fingerprints in `dense` (fp, root; written). Two fingerprints differ in at most
+    4 bits if and only if some point is within 2 bits of both. So each gives the BALL points around it, and those that
+    meet in a point are linked to the least of them: linear in fingerprints, however near each other they are. At most
+    BALL fingerprints meet in a point, which bounds its set."""
+    flips = "flatten(transform(sequence(0, 64), a -> transform(sequence(least(a + 1, 64), 64), b -> fp ^ if(a < 64, shiftleft(1L, a), 0L) ^ if(b < 64, shiftleft(1L, b), 0L))))"
+    tasks = -(-dense.count() * BALL // (64 * NODES_A_TASK)) or 1
+    points = dense.repartition(tasks, "fp").select("root", F.explode(F.expr(flips)).alias("point"))
+    met = points.groupBy("point").agg(F.collect_set("root").alias("roots")).where("size(roots) > 1")
+    return met.select(F.explode("roots").alias("a"), F.array_min("roots").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id for each row of documents."""
     marked = written(documents.select(F.col(key).alias("doc_id"), simhash(words, seed)(F.col(text)).alias("fp")))
@@ -166,29 +189,30 @@ def _arrays(found: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(words: int = 5, seed: int = 42):
-    """A column function: text -> its distinct shingle hashes."""
+    """A column function: text -> sig (128 bits of its shingle set) and held, the distinct shingle hashes."""
 
-    @text_udf("array<bigint>")
+    @text_udf("struct<sig: binary, held: array<bigint>>")
     def sets(text: pa.Array) -> pa.Array:
-        return _arrays([shingle_set(x, words, seed) for x in text.to_pylist()])
+        found = [shingle_set(x, words, seed) for x in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([xxhash.xxh128_digest(x.tobytes(), seed) for x in found], pa.binary()), _arrays(found)], ["sig", "held"])
 
     return sets
 
 
 def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float, seed: int):
-    """A column function: text -> sig (a hash of its shingle set), size, and the set's prefix, common shingles last."""
+    """A column function: text -> sig (128 bits of its shingle set), size, and the set's prefix, common shingles last."""
     held = spark.sparkContext.broadcast(common)
 
-    @text_udf("struct<sig: bigint, size: int, prefix: array<bigint>>")
+    @text_udf("struct<sig: binary, size: int, prefix: array<bigint>>")
     def prefix(text: pa.Array) -> pa.Array:
         rare_first, sigs, sizes = [], [], []
         for x in text.to_pylist():
             own = shingle_set(x, words, seed)
-            sigs.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
+            sigs.append(xxhash.xxh128_digest(own.tobytes(), seed))
             sizes.append(len(own))
             last = np.isin(own, held.value)
             rare_first.append(np.concatenate((own[~last], own[last]))[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1])
-        return pa.StructArray.from_arrays([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
 
     return prefix
 
@@ -197,7 +221,7 @@ def common_shingles(documents: DataFrame, text: str, words: int, seed: int) -> n
     """Shingles that COMMON or more distinct texts of a sample hold. It only sets an order, so no result depends on it."""
     parts = -(-documents.count() // SAMPLE) or 1
     read = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where(f"pmod(mark, {parts}) = 0")
-    each = read.select("mark", F.explode(shingle_sets(words, seed)(F.col("text"))).alias("hash")).distinct()
+    each = read.select("mark", shingle_sets(words, seed)(F.col("text")).alias("s")).select("mark", F.explode("s.held").alias("hash")).distinct()
     found = each.groupBy("hash").count().where(f"count >= {COMMON}").orderBy(F.desc("count"), "hash").limit(MOST_COMMON)
     return np.sort(found.select("hash").toArrow()["hash"].to_numpy())
 
@@ -206,15 +230,21 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     """doc_id, component_id for each row of documents. Two texts are linked if the Jaccard similarity of their sets of
     shingles (64-bit hashes) is `share` or more; no other link is made and none is lost.
 
-    In any one order of all shingles, two such sets share one within their first n - ceil(share * n) + 1: an equi-join on
-    these prefixes finds every pair. The order puts shingles that a sample finds common last, so a line that many texts
-    hold makes few candidates. Candidates are thinned by a bound from the two prefixes, then decided on the whole sets.
-    Equal sets are one node; nodes are first compared with the smallest member of each bucket and joined to components,
-    then minority members of buckets that hold several components look for partners, as for fingerprints."""
+    In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
+    most n - share / (1 + share) * (n + m) before it in the set of n, and likewise in that of m: an equi-join on prefixes
+    finds every pair. The order puts shingles that a sample finds common last, so a line that many texts hold makes few
+    candidates. Candidates are thinned by a bound from the two prefixes, then decided on the whole sets.
+    Equal sets are one node. Nodes are first compared with one member of each bucket, that with fewest rare shingles (it is
+    the most like the others), and joined to components; then members outside a bucket's largest component look for
+    partners in it. In a dense group few are left by then, as each that can have a partner has met the one most alike.
+
+    Defined cases: null and wordless texts are equal sets (empty ones) and linked; a text of fewer words than a shingle is
+    one shingle. Repeated rows share a component. A component's id is its smallest non-null key. Empty table: empty result."""
     spark = documents.sparkSession
     made = prefixes(spark, common_shingles(documents, text, words, seed), words, share, seed)
     marked = written(documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p")).select("doc_id", "mark", "p.*"))
     nodes = written(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")))
+    most = lambda n, m: f"{n} - {share / (1 + share)!r}D * ({n} + {m}) + 1e-6"
 
     def overlapping(pairs: DataFrame, sets: DataFrame, beyond: str) -> DataFrame:
         """The pairs whose sets' overlap, and what may lie beyond the arrays at hand, reach the share."""
@@ -228,23 +258,27 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
         short = written(marked.join(wanted(pairs), "sig", "left_semi").select("sig", "size", F.col("prefix").alias("held")).dropDuplicates(["sig"]))
         pairs = overlapping(pairs, short, "greatest(na - size(sa), nb - size(sb))")
         marks = written(nodes.join(wanted(pairs), "sig", "left_semi").select("sig", "mark"))
-        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(marks, "mark").select("sig", "text").dropDuplicates(["sig"])
-        whole = written(texts.select("sig", shingle_sets(words, seed)(F.col("text")).alias("held")))
+        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(marks.select("mark"), "mark", "left_semi")
+        whole = written(texts.select(shingle_sets(words, seed)(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"]))
         return overlapping(pairs, whole.select("sig", F.size("held").alias("size"), "held"), "0")
 
-    flat = marked.select("sig", "size", F.explode("prefix").alias("hash"))
-    shared = written(flat.groupBy("hash").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).where("hub < top").select("hash", "hub"))
-    members = written(flat.join(shared, "hash").select("hash", "sig", "size", "hub").distinct())
-    near = similar(written(members.where("sig <> hub").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()))
+    flat = marked.select("sig", "size", F.posexplode("prefix").alias("at", "hash"))
+    buckets = flat.groupBy("hash").agg(F.min(F.struct("at", "size", "sig")).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top"), F.min("size").alias("least"))
+    shared = written(buckets.where("low < top").select("hash", "hub", "least"))
+    members = flat.join(shared, "hash").where(f"at <= {most('size', f'greatest({share}D * size, least)')}")
+    members = written(members.select("hash", "sig", "size", "at", "hub").distinct())
+    fit = lambda n, m, i, j: f"{n} >= {share}D * {m} - 1e-6 and {m} >= {share}D * {n} - 1e-6 and {i} <= {most(n, m)} and {j} <= {most(m, n)}"
+    near = members.where("sig <> hub.sig and " + fit("size", "hub.size", "at", "hub.at"))
+    near = similar(written(near.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()))
     first = components(near).withColumnRenamed("node", "sig")
     rooted = written(nodes.select("sig", F.col("first")).join(first, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root")))
-    members = written(members.join(rooted.select("sig", "root"), "sig").select("hash", "sig", "size", "root"))
+    members = written(members.join(rooted.select("sig", "root"), "sig").select("hash", "sig", "size", "at", "root"))
     mixed = written(members.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("hash"))
     members = written(members.join(mixed, "hash"))
     held = written(members.groupBy("hash", "root").agg(F.count("*").alias("n")))
     major = written(held.groupBy("hash").agg(F.max(F.struct("n", "root")).alias("m")).select("hash", F.col("m.root").alias("major")))
-    minor = written(members.join(major, "hash").where("root <> major").select("hash", F.col("sig").alias("sig2"), F.col("size").alias("size2"), F.col("root").alias("root2")))
-    across = members.join(minor, "hash").where(f"root <> root2 and size >= {share}D * size2 - 1e-6 and size2 >= {share}D * size - 1e-6")
+    minor = written(members.join(major, "hash").where("root <> major").select("hash", "major", F.col("sig").alias("sig2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("root").alias("root2")))
+    across = members.join(minor, "hash").where("root <> root2 and (root = major or sig < sig2) and " + fit("size", "size2", "at", "at2"))
     across = similar(written(across.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()))
     root = lambda x: rooted.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
     joined = components(across.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))

@@ -147,13 +147,14 @@ def test_threshold_algorithm(seed):
     r = random.Random(seed)
     n, d = r.randint(1, 300), r.randint(1, 6)
     big = 10**12 if seed % 5 == 0 else 5
-    x = np.array([[r.randint(-big, big) for _ in range(d)] for _ in range(n)], dtype=np.int64)
+    x = np.array([[r.randint(-big, big) for _ in range(d)] for _ in range(n)], dtype=np.float64)
     ids = np.array(r.sample(range(1000), n))
-    query = x[0] if seed % 7 else np.zeros(d, np.int64)
+    query = x[0] if seed % 7 else np.zeros(d)
     if seed % 5 == 0:
-        query = query // 10**9
+        query = query // 10 ** r.choice([0, 3, 9])
     got = list(zip(*(v.tolist() for v in topk.Lists(ids, x).best(int(ids[0]), query, 5))))
     score = [sum(int(a) * int(b) for a, b in zip(v, query)) for v in x]
+    score = [min(max(s, topk.LEAST), topk.MOST) for s in score]
     expected = sorted(((-s, int(i)) for s, i in zip(score, ids) if i != ids[0]))[:5]
     assert got == [(i, -s) for s, i in expected]
 
@@ -178,14 +179,40 @@ def test_toxicity_features_and_model():
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(10)]
     make = lambda bad: " ".join(r.choice(words) for _ in range(60)) + (" vile" if bad else "") + " " + " ".join(r.choice(words) for _ in range(9))
     rows = [(make(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
-    model = toxicity.fit(rows)
+    model = toxicity.fit([toxicity.bag(x) for x, _ in rows], [y for _, y in rows])
     held = [(make(k % 2 == 0), k % 2 == 0) for k in range(200)]
     scores = toxicity.scored(model, [x for x, _ in held])
     assert np.mean((scores >= 0.5) == [y for _, y in held]) > 0.98 and len(model.features) < 2000
     assert toxicity.scored(model, [None, ""])[0] == toxicity.scored(model, [""])[0]
     long = make(True) * 6000
     assert abs(toxicity.scored(model, [long, "x"])[0] - toxicity.scored(model, ["x", long])[1]) < 1e-12
-    assert toxicity.scored(toxicity.fit([]), ["a"])[0] < 1e-6 and toxicity.scored(toxicity.fit([("a", 1)]), ["a"])[0] > 0.99
+    assert toxicity.scored(toxicity.fit([], []), ["a"])[0] < 1e-6 and toxicity.scored(toxicity.fit([toxicity.bag("a")], [1]), ["a"])[0] > 0.99
+
+
+def test_ftrl_steps_equal_the_definition():
+    """Weights after the same rows in the same order, by one dictionary entry a coordinate."""
+    r = random.Random(4)
+    bags = [np.array(sorted(r.sample(range(12), r.randint(0, 6))), np.int32) for _ in range(60)]
+    labels = np.array([float(3 in b or r.random() < 0.1) for b in bags])
+    how = {"alpha": 0.7, "beta": 1.0, "l1": 0.3, "l2": 0.1, "epochs": 3}
+    w, intercept = toxicity._descend(bags, labels, size=12, rng=np.random.default_rng(9), **how)
+    z, n, rng = Counter(), Counter(), np.random.default_rng(9)
+
+    def weight(f):
+        rate = (how["beta"] + math.sqrt(n[f])) / how["alpha"]
+        if f == "bias":
+            return -z[f] / rate
+        return 0.0 if abs(z[f]) <= how["l1"] else -(z[f] - math.copysign(how["l1"], z[f])) / (rate + how["l2"])
+
+    for _ in range(how["epochs"]):
+        for i in rng.permutation(len(bags)):
+            held = {f: weight(f) for f in [*bags[i].tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-sum(held.values()))) - labels[i]
+            for f, v in held.items():
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / how["alpha"]
+                z[f] += g - sigma * v
+                n[f] += g * g
+    assert np.allclose(w, [weight(f) for f in range(12)]) and abs(intercept - weight("bias")) < 1e-9 and 0 < np.count_nonzero(w) < 12
 
 
 def test_language_model():
@@ -193,7 +220,7 @@ def test_language_model():
     stock = {"xx": ["lorem", "ipsum", "dolor"], "yy": ["strasse", "haus", "wald"], "zz": ["ñandu", "calle", "cosa"]}
     rows = [(" ".join(r.choice(w) for _ in range(r.randint(3, 40))), k) for k, w in stock.items() for _ in range(60)]
     r.shuffle(rows)
-    model = langid.fit(rows)
+    model = langid.fit([(langid.bag(x), k) for x, k in rows])
     names, score, reliable = langid.predicted(model, ["HAUS 12 Wald!", None, "12 -", "ipsum" * 1, "wald " * 100000])
     assert names == ["yy", "und", "und", "xx", "yy"] and (score[[1, 2]] == 0).all() and reliable[0] and not reliable[1] and ((0 <= score) & (score <= 1)).all()
     one = langid.predicted(model, ["haus"])[1][0]
@@ -201,6 +228,42 @@ def test_language_model():
     assert langid.predicted(langid.fit([]), ["a", None])[0] == ["und", "und"]
 
 
+def plain_subwords(text):
+    """Subwords of a text, as many times as they occur: 1 to 4 letters of a word between marks (0) at its ends."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", text):
+        marked = [0, *(ord(c.lower()[0]) for c in word), 0]
+        for n in range(1, 5):
+            for i in range(len(marked) - n + 1):
+                own = marked[i : i + n]
+                if own[0] or own[-1]:  # not both ends of a word at once
+                    out[tuple(own)] += 1
+    return out
+
+
+def plain_bucket(subword):
+    h = 0
+    for c in subword:
+        h = (h * 0x100000001B3 + c + 1) % 2**64
+    return int(base.mixed(np.array([(h + (len(subword) << 40)) % 2**64], np.uint64))[0]) % langid.BUCKETS
+
+
+def test_language_prediction_equals_brute_force():
+    """The tabulated prediction is the softmax of the mean of the subwords' embeddings; equal logits go to the first name."""
+    r = np.random.default_rng(3)
+    embed, top = r.normal(size=(langid.BUCKETS, 4)), r.normal(size=(4, 3))
+    model = langid.LanguageModel(["aa", "bb", "cc"], (embed @ top).astype(np.float32), r.normal(size=3), 0.7, 0.5)
+    texts = ["Ein Haus", "a", "über 12 alles, ja", "x y z " * 50]
+    names, score, _ = langid.predicted(model, texts)
+    for text, name, got in zip(texts, names, score):
+        found = plain_subwords(text)
+        mean = sum(n * embed[plain_bucket(s)] for s, n in found.items()) / sum(found.values())
+        e = np.exp((mean @ top + model.bias) / model.temperature)
+        assert name == model.languages[int(e.argmax())] and abs(got - (e / e.sum()).max()) < 1e-4, text
+    flat = langid.LanguageModel(["aa", "bb"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    assert langid.predicted(flat, ["abc"])[0] == ["aa"]
+
+
 def plain_kneser_ney(rows, order=5):
     """Interpolated modified Kneser-Ney over padded symbols, straight from its definition."""
     padded = lambda x: [1] * (order - 1) + [int(s) for s in quality.symbols(x)]

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Characters that one numpy step works on. Longer texts are worked through in slices.
 SLICE = 1 << 18
@@ -63,6 +64,15 @@ def identity(*columns: Column) -> Column:
     return F.concat(*[F.coalesce(F.unhex(F.md5(c.cast("string").cast("binary"))), F.lit(b"-")) for c in columns])
 
 
+def drawn(rows: DataFrame, group: str, order: str, most: int, groups: int) -> DataFrame:
+    """group, order: of distinct rows (group, order) at most `most` a group, those with the lowest `order` (a hash) among a
+    share that suffices; of more than `groups` groups the largest. Copies count once, so `most` times `groups` is a bound."""
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(order).alias("n")).orderBy(F.desc("n"), group).limit(groups)
+    some = rows.join(F.broadcast(written(sizes)), group).where(F.pmod(order, F.lit(1_000_003)) * F.col("n") <= F.lit(4 * most * 1_000_003))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return written(some.select(group, order).distinct().withColumn("rank", rank).where(F.col("rank") <= most).select(group, order))
+
+
 def id_remainder(column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)

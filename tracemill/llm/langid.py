@@ -7,7 +7,8 @@ language's logit is tabulated once, and a text's logits are the mean of its buck
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and not reliable. Rows whose lang or
 text is null teach nothing. With no labelled text at all every row is `und`. Repeated rows are predicted alike;
-equal logits go to the language that sorts first. Texts are read whole, in slices."""
+equal logits go to the language that sorts first. An empty table gives an empty result. Only the named columns are read,
+so others may have any name. Texts are read whole, in slices."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import folded, mixed, pieces, text_udf
+from tracemill.llm.base import drawn, folded, mixed, pieces, text_udf
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -71,10 +72,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 8, rate: float = 4.0, precision: float = 0.99, seed: int = 7) -> LanguageModel:
-    """rows: (text, language). Every fifth row calibrates the temperature and the rejection threshold: the lowest
+def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], dim: int = 16, epochs: int = 8, rate: float = 4.0, precision: float = 0.99, seed: int = 7) -> LanguageModel:
+    """rows: (bag, language). Every fifth row calibrates the temperature and the rejection threshold: the lowest
     confidence from which on the predictions of those rows have the precision asked for."""
-    bags = [(b, languages) for text, languages in rows if len((b := bag(text))[0])]
+    bags = [x for x in rows if len(x[0][0])]
     names = sorted({language for _, language in bags})
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -132,18 +133,24 @@ def _per_text(rows: np.ndarray, values: np.ndarray, at: np.ndarray, like: np.nda
     return np.add.reduceat(values, at, axis=0, dtype=like.dtype)
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, rows_per_language: int = 600, seed: int = 7) -> LanguageModel:
-    """Fit on about rows_per_language rows of each language, drawn by a hash of the text among the rows that pass
-    `where`. That bound (times the number of languages) is all that the driver gets."""
-    spark = documents.sparkSession
+def train(documents: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, rows_per_language: int = 600, languages: int = 256, seed: int = 7) -> LanguageModel:
+    """Fit on at most rows_per_language distinct texts of each language (of more than `languages` the most frequent), drawn
+    by a hash of the text among the rows that pass `where`. Tasks turn them into bags of at most BUCKETS numbers; these are
+    all that the driver gets, however often a text repeats and however long it is."""
+
+    @text_udf("at array<int>, share array<double>")
+    def bags(texts: pa.Array) -> pa.Array:
+        found = [bag(x) for x in texts.to_pylist()]
+        lists = [pa.array([b[k] for b in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float64()))]
+        return pa.StructArray.from_arrays(lists, ["at", "share"])
+
     docs = documents.select(F.col(text).alias("t"), F.col(lang).alias("l"), (F.lit(True) if where is None else where).alias("w"))
-    docs = docs.where("w and l is not null and t is not null")
-    counted = {r.l: r.n for r in docs.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counted:
-        return fit([])
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sorted(counted.items())])
-    chosen = docs.where((F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_003)) < share * F.lit(1_000_003))).select("t", "l").collect()
-    return fit(sorted((r.t, r.l) for r in chosen), seed=seed)
+    docs = docs.where("w and l is not null and t is not null").select("l", "t", F.xxhash64("t", F.lit(seed)).alias("h"))
+    chosen = drawn(docs.select("l", "h"), "l", "h", rows_per_language, languages)
+    texts = docs.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"])
+    got = texts.select("l", "h", bags("t").alias("b")).select("l", "h", "b.*").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
+    columns = [got[c] for c in ("at", "share", "l")]
+    return fit([((a.values.to_numpy(), s.values.to_numpy()), name.as_py()) for a, s, name in zip(*columns)], seed=seed)
 
 
 def identify(model: LanguageModel, spark, reject: bool = True):

@@ -4,11 +4,14 @@ Each document's token ids, with an end id, are cut into full pieces of the seque
 the histogram of piece lengths reaches the driver: lengths are placed longest first, each into the packs that are
 filled least and still have room, moving whole counts of equal packs ("patterns") at a time; where none has room, as
 few new packs as the length needs are opened. Patterns then meet the pieces again by rank: a slot of a pattern with
-count c owns c consecutive ranks of its length. Ranks come from a window over (length, salt), so that a length that a
-third of all pieces share is spread over SALTS tasks.
+count c owns c consecutive ranks of its length. Ranks come from a window over (length, salt), with at least SALTS salts a
+length and as many as keep a salt near SALT_ROWS pieces, so that a length that a third of all pieces share is spread over
+tasks of bounded size. The ranks of a length are cut into as many equal stretches as it has slots, and a piece looks for
+its slot among those of its stretch: two on average, in any histogram.
 
 Defined cases: a null text is an empty one, so its document is the end id alone. Repeated rows and null ids are packed
-like any other row; pieces that are equal in all columns are interchangeable. No documents: no pieces."""
+like any other row; pieces that are equal in all columns are interchangeable. No documents: no pieces. Only the named
+columns of documents are read, so others may have any name."""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ from pyspark.sql.window import Window
 from tracemill.llm.base import text_udf, written
 from tracemill.llm.tokens import Words, byte_symbols, pre_tokens
 
-SALTS = 64
+SALTS, SALT_ROWS = 64, 1 << 20
 #: Pre-tokens in a generation of those whose ids a worker remembers.
 REMEMBERED = 250_000
 
@@ -123,21 +126,30 @@ def slots(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int
 
 
 def pack(pieces: DataFrame, order: list[str], length: str = "length", size: int = 1024) -> DataFrame:
-    """pieces (columns as they are, none of them a reserved name here) with sequence_id and offset. order: columns that
-    tell pieces apart. The driver gets at most size * SALTS counts; the tables it sends back are bounded likewise."""
+    """pieces (any columns but sequence_id and offset) with sequence_id and offset. order: columns that tell pieces apart.
+    The driver gets the histogram and a count for each salt: at most size * SALTS, and one more for SALT_ROWS pieces; the
+    tables it sends back are bounded likewise."""
     spark = pieces.sparkSession
-    held = pieces.select(F.struct("*").alias("row"), F.col(length).alias("n"), F.struct(*order).alias("o"), F.pmod(F.xxhash64(*order), F.lit(SALTS)).alias("salt"))
-    counts = held.groupBy("n", "salt").agg(F.count("*").alias("k")).collect()
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for n, salt, k in sorted(tuple(r) for r in counts):
-        before.append((n, salt, histogram[n]))
-        histogram[n] += k
+    histogram = {n: k for n, k in pieces.groupBy(F.col(length).cast("bigint")).count().collect()}
+    made = slots(histogram, size)
+    each: dict[int, int] = defaultdict(int)
+    for slot in made:
+        each[slot[0]] += 1
+    salts = {n: max(SALTS, -(-k // SALT_ROWS)) for n, k in histogram.items()}
+    width = {n: -(-k // each[n]) for n, k in histogram.items()}
+    lengths = spark.createDataFrame([(n, salts[n], width[n]) for n in histogram], "n bigint, salts bigint, width bigint")
+    held = pieces.select(F.struct("*").alias("row"), F.col(length).cast("bigint").alias("n"), F.struct(*order).alias("o"))
+    held = held.join(F.broadcast(lengths), "n").withColumn("salt", F.pmod(F.xxhash64("o"), F.col("salts")))
+    before, total = [], defaultdict(int)
+    for n, salt, k in sorted(tuple(r) for r in held.groupBy("n", "salt").count().collect()):
+        before.append((n, salt, total[n]))
+        total[n] += k
     first = spark.createDataFrame(before, "n bigint, salt bigint, before bigint")
-    places = spark.createDataFrame(slots(histogram, size), "n bigint, low bigint, high bigint, sequence bigint, at bigint")
+    stretches = [(n, b, low, high, sequence, at) for n, low, high, sequence, at in made for b in range(low // width[n], high // width[n] + 1)]
+    places = spark.createDataFrame(stretches, "n bigint, stretch bigint, low bigint, high bigint, sequence bigint, at bigint")
     rank = F.row_number().over(Window.partitionBy("n", "salt").orderBy("o")) - 1 + F.col("before")
-    ranked = held.join(F.broadcast(first), ["n", "salt"]).withColumn("rank", rank)
-    placed = ranked.join(F.broadcast(places), ["n"]).where("rank between low and high")
+    ranked = held.join(F.broadcast(first), ["n", "salt"]).withColumn("rank", rank).withColumn("stretch", F.expr("rank div width"))
+    placed = ranked.join(F.broadcast(places), ["n", "stretch"]).where("rank between low and high")
     return placed.select("row.*", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))
 
 

@@ -6,7 +6,8 @@ hashes with their weights. 64 bits keep features apart, so that a clean text doe
 
 Defined cases: a null or empty text, or one without a word, gets the score of the intercept alone. Rows with a null
 label, id or text teach nothing; of several labels for an id the largest counts. With no labels (or one class only)
-all scores are the share of label 1 (0 if there is none). Texts are read whole, in slices that overlap."""
+all scores are the share of label 1 (0 if there is none). Repeated rows are scored alike; an empty table gives an empty
+result. Only the named columns are read, so others may have any name. Texts are read whole, in slices that overlap."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import mixed, pieces, text_udf, word_hashes
+from tracemill.llm.base import drawn, mixed, pieces, text_udf, word_hashes
 
 #: Characters of overlap between slices of a long text, so that pairs across a cut are seen.
 OVERLAP = 400
@@ -45,15 +46,15 @@ def bag(text: str) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def fit(rows: list[tuple[str, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 8, admit: int = 2, beta_f: float = 0.5, seed: int = 8) -> ToxicityModel:
-    """rows: (text, label). A feature is admitted once `admit` rows have it. A first fit leaves out every fifth row; the
+def fit(bags: list[np.ndarray], marks: list[int], alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 8, admit: int = 2, beta_f: float = 1.0, seed: int = 8) -> ToxicityModel:
+    """A bag of features and a label for each row. A feature is admitted once `admit` rows have it. A first fit leaves out every fifth row; the
     cut between the classes that has the best F score on those (beta_f below 1: precision counts more) is where the
     final model, fitted to all rows, has score 0.5."""
-    labels = np.array([y for _, y in rows], float)
+    labels = np.array(marks, float)
     if len(set(labels)) < 2:
         share = labels.mean() if len(labels) else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    bags = _admitted([bag(text) for text, _ in rows], admit)
+    bags = _admitted(list(bags), admit)
     known, counts = np.unique(np.concatenate(bags), return_counts=True)
     known = known[counts >= admit]
     bags = [_places(known, b).astype(np.int32) for b in bags]
@@ -148,20 +149,23 @@ def prefilter(model: ToxicityModel) -> np.ndarray:
     return seen
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, rows_per_class: int = 4000, seed: int = 8) -> ToxicityModel:
-    """Fit on about rows_per_class labelled rows of each class (a bound on what the driver gets), drawn by a hash of
-    the id; `where` is a condition over labels. Their ids, so bounded, are broadcast to fetch the texts."""
-    known = labels.where(F.lit(True) if where is None else where).select(F.col("doc_id").alias("i"), F.col(label).alias("y"))
-    known = known.where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    counted = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counted:
-        return fit([])
-    share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, rows_per_class / n))) for k, n in sorted(counted.items())])
-    chosen = known.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1_000_003)) < share * F.lit(1_000_003))
-    docs = documents.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null")
-    rows = docs.join(F.broadcast(chosen), "i").select("t", "y", "i").collect()
-    rows = sorted((r.i, r.t, int(r.y)) for r in rows)
-    return fit([(t, y) for _, t, y in rows], seed=seed)
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, rows_per_class: int = 4000, features_a_row: int = 1 << 14, seed: int = 8) -> ToxicityModel:
+    """Fit on at most rows_per_class labelled ids of each class (label above 0, or not), drawn by a hash of the id; `where`
+    is a condition over labels. Their ids, so bounded, are broadcast to fetch the texts; of texts that share an id the
+    least is taken. Tasks turn these into features; of more than features_a_row those with the lowest hashes teach. So the
+    driver gets at most 2 * rows_per_class * features_a_row hashes, however often ids repeat and however long texts are."""
+
+    @text_udf("array<bigint>")
+    def bags(texts: pa.Array) -> pa.Array:
+        return pa.array([bag(x)[:features_a_row].view(np.int64) for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+    known = labels.where(F.lit(True) if where is None else where).select(F.col("doc_id").alias("i"), (F.col(label) > 0).cast("int").alias("y"))
+    known = known.where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")).select("i", "y", F.xxhash64("i", F.lit(seed)).alias("h"))
+    chosen = drawn(known.select("y", "h"), "y", "h", rows_per_class, 2)
+    docs = documents.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null").withColumn("h", F.xxhash64("i", F.lit(seed)))
+    texts = docs.join(F.broadcast(chosen), "h").groupBy("h", "y").agg(F.min("t").alias("t"))
+    got = texts.select("h", "y", bags("t").alias("b")).toArrow().sort_by([("h", "ascending")])
+    return fit([b.values.to_numpy().view(np.uint64) for b in got["b"]], got["y"].to_pylist(), seed=seed)
 
 
 def toxicity(model: ToxicityModel, spark):

@@ -205,14 +205,18 @@ def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float,
 
     @text_udf("struct<sig: binary, size: int, prefix: array<bigint>>")
     def prefix(text: pa.Array) -> pa.Array:
-        rare_first, sigs, sizes = [], [], []
-        for x in text.to_pylist():
-            own = shingle_set(x, words, seed)
-            sigs.append(xxhash.xxh128_digest(own.tobytes(), seed))
-            sizes.append(len(own))
-            last = np.isin(own, held.value)
-            rare_first.append(np.concatenate((own[~last], own[last]))[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1])
-        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
+        sets = [shingle_set(x, words, seed) for x in text.to_pylist()]
+        flat, common = np.concatenate([np.zeros(0, np.int64), *sets]), held.value
+        at = np.searchsorted(common, flat)
+        at[at == len(common)] = 0
+        last = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        rare_first, end = [], 0
+        for own in sets:
+            begin, end = end, end + len(own)
+            late = last[begin:end]
+            rare_first.append(np.concatenate((own[~late], own[late]))[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1])
+        sigs = pa.array([xxhash.xxh128_digest(own.tobytes(), seed) for own in sets], pa.binary())
+        return pa.StructArray.from_arrays([sigs, pa.array([len(own) for own in sets], pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
 
     return prefix
 
@@ -242,45 +246,50 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     one shingle. Repeated rows share a component. A component's id is its smallest non-null key. Empty table: empty result."""
     spark = documents.sparkSession
     made = prefixes(spark, common_shingles(documents, text, words, seed), words, share, seed)
-    marked = written(documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p")).select("doc_id", "mark", "p.*"))
-    nodes = written(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("mark").alias("mark")))
+    marked = documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p"))
+    marked = written(marked.select("doc_id", "mark", "p.*", F.monotonically_increasing_id().alias("row")))
+    nodes = written(marked.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("n")))
+    again = written(marked.select("row", "sig").join(nodes.where("n > 1").select("sig", "node"), "sig").where("row <> node").select("row"))
+    sets = marked.select(F.col("row").alias("node"), "size", "prefix").join(again.withColumnRenamed("row", "node"), "node", "left_anti")
     most = lambda n, m: f"{n} - {share / (1 + share)!r}D * ({n} + {m}) + 1e-6"
 
     def overlapping(pairs: DataFrame, sets: DataFrame, beyond: str) -> DataFrame:
         """The pairs whose sets' overlap, and what may lie beyond the arrays at hand, reach the share."""
-        a, b = (sets.select(F.col("sig").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"s{x}")) for x in "ab")
+        a, b = (sets.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"s{x}")) for x in "ab")
         reached = f"{1 + share}D * (size(array_intersect(sa, sb)) + {beyond}) >= {share}D * (na + nb) - 1e-6"
         return written(pairs.join(a, "a").join(b, "b").where(f"na >= {share}D * nb - 1e-6 and nb >= {share}D * na - 1e-6 and {reached}").select("a", "b"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b; distinct, written) of similar sets."""
-        wanted = lambda df: written(df.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-        short = written(marked.join(wanted(pairs), "sig", "left_semi").select("sig", "size", F.col("prefix").alias("held")).dropDuplicates(["sig"]))
+        wanted = lambda df: written(df.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        short = written(sets.join(wanted(pairs), "node", "left_semi").select("node", "size", F.col("prefix").alias("held")))
         pairs = overlapping(pairs, short, "greatest(na - size(sa), nb - size(sb))")
-        marks = written(nodes.join(wanted(pairs), "sig", "left_semi").select("sig", "mark"))
+        marks = written(nodes.join(wanted(pairs), "node", "left_semi").select("node", "sig", "mark"))
         texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(marks.select("mark"), "mark", "left_semi")
-        whole = written(texts.select(shingle_sets(words, seed)(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"]))
-        return overlapping(pairs, whole.select("sig", F.size("held").alias("size"), "held"), "0")
-
-    flat = marked.select("sig", "size", F.posexplode("prefix").alias("at", "hash"))
-    buckets = flat.groupBy("hash").agg(F.min(F.struct("at", "size", "sig")).alias("hub"), F.min("sig").alias("low"), F.max("sig").alias("top"), F.min("size").alias("least"))
-    shared = written(buckets.where("low < top").select("hash", "hub", "least"))
-    members = flat.join(shared, "hash").where(f"at <= {most('size', f'greatest({share}D * size, least)')}")
-    members = written(members.select("hash", "sig", "size", "at", "hub").distinct())
+        whole = texts.select(shingle_sets(words, seed)(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
+        whole = written(whole.join(marks.select("node", "sig"), "sig"))
+        return overlapping(pairs, whole.select("node", F.size("held").alias("size"), "held"), "0")
+
+    flat = sets.select("node", "size", F.posexplode("prefix").alias("at", "hash"))
+    shared = written(flat.groupBy("hash").count().where("count > 1").select("hash"))
+    members = written(flat.join(shared, "hash"))
+    buckets = written(members.groupBy("hash").agg(F.min(F.struct("at", "size", "node")).alias("hub"), F.min("size").alias("least")))
+    members = members.join(buckets, "hash").where(f"at <= {most('size', f'greatest({share}D * size, least)')}")
+    members = written(members.select("hash", "node", "size", "at", "hub"))
     fit = lambda n, m, i, j: f"{n} >= {share}D * {m} - 1e-6 and {m} >= {share}D * {n} - 1e-6 and {i} <= {most(n, m)} and {j} <= {most(m, n)}"
-    near = members.where("sig <> hub.sig and " + fit("size", "hub.size", "at", "hub.at"))
-    near = similar(written(near.select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).distinct()))
-    first = components(near).withColumnRenamed("node", "sig")
-    rooted = written(nodes.select("sig", F.col("first")).join(first, "sig", "left").select("sig", "first", F.coalesce("root", "sig").alias("root")))
-    members = written(members.join(rooted.select("sig", "root"), "sig").select("hash", "sig", "size", "at", "root"))
+    near = members.where("node <> hub.node and " + fit("size", "hub.size", "at", "hub.at"))
+    near = similar(written(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()))
+    first = components(near)
+    rooted = written(nodes.select("node", "sig", "first").join(first, "node", "left").select("node", "sig", "first", F.coalesce("root", "node").alias("root")))
+    members = written(members.join(rooted.select("node", "root"), "node").select("hash", "node", "size", "at", "root"))
     mixed = written(members.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("hash"))
     members = written(members.join(mixed, "hash"))
     held = written(members.groupBy("hash", "root").agg(F.count("*").alias("n")))
     major = written(held.groupBy("hash").agg(F.max(F.struct("n", "root")).alias("m")).select("hash", F.col("m.root").alias("major")))
-    minor = written(members.join(major, "hash").where("root <> major").select("hash", "major", F.col("sig").alias("sig2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("root").alias("root2")))
-    across = members.join(minor, "hash").where("root <> root2 and (root = major or sig < sig2) and " + fit("size", "size2", "at", "at2"))
-    across = similar(written(across.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()))
-    root = lambda x: rooted.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
+    minor = written(members.join(major, "hash").where("root <> major").select("hash", "major", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("root").alias("root2")))
+    across = members.join(minor, "hash").where("root <> root2 and (root = major or node < node2) and " + fit("size", "size2", "at", "at2"))
+    across = similar(written(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()))
+    root = lambda x: rooted.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
     joined = components(across.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = written(rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("sig", "first", F.coalesce("top", "root").alias("root")))
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))

@@ -149,7 +149,7 @@ def prefilter(model: ToxicityModel) -> np.ndarray:
     return seen
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, rows_per_class: int = 4000, features_a_row: int = 1 << 14, seed: int = 8) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, rows_per_class: int = 2500, features_a_row: int = 1 << 14, seed: int = 8) -> ToxicityModel:
     """Fit on at most rows_per_class labelled ids of each class (label above 0, or not), drawn by a hash of the id; `where`
     is a condition over labels. Their ids, so bounded, are broadcast to fetch the texts; of texts that share an id the
     least is taken. Tasks turn these into features; of more than features_a_row those with the lowest hashes teach. So the

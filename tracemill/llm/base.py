@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +32,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: lineage ends there, lost executors do not
-    recompute it, and Catalyst knows its true size when it chooses between broadcast and shuffled joins."""
+    recompute it, and Catalyst knows its true size when it chooses between broadcast and shuffled joins. See scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list of ids, hashes or 32-byte marks up to which it is broadcast: some 100 MB in memory at most.
+SMALL = 1_000_000
+#: Folders that `written` has made within the innermost `scratch`.
+_made: list[list[str]] = []
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows (a written list), marked for a broadcast if their number is within SMALL; otherwise Spark decides."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within, tables are written as ever; on leaving, all are removed but those of the frame given to the function that
+    this yields. What is kept must be written: then no later job reads, or makes again, what is gone."""
+    _made.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_made[-1][-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _made.pop()
+        if _made:
+            _made[-1] += kept
+        for path in set(paths) - set(kept):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Rows of text that go to or from a Python worker at once, so that long texts do not pile up there.
 ROWS_A_BATCH = 256
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import identity, written
+from tracemill.llm.base import identity, small, written
 
 
 def _words(text: Column) -> Column:
@@ -69,4 +69,4 @@ def clean(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     mark = identity(F.col(key), F.col(text)).alias("mark")
     own = documents.select(mark, F.col(text).alias("text"))
     found = written(contained(own, items, "mark", "text", words, share).select(F.col("doc_id").alias("mark")).distinct())
-    return documents.select(F.struct("*").alias("row"), mark).join(found, "mark", "left_anti").select("row.*")
+    return documents.select(F.struct("*").alias("row"), mark).join(small(found), "mark", "left_anti").select("row.*")

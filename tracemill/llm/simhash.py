@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import text_udf, written
+from tracemill.llm.base import scratch, small, text_udf, written
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: Where the ring's segments begin, counted from the highest bit, and how wide they are.
@@ -169,13 +169,14 @@ def _met(dense: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id for each row of documents."""
-    marked = written(documents.select(F.col(key).alias("doc_id"), simhash(words, seed)(F.col(text)).alias("fp")))
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = links(nodes)
-    named = written(nodes.join(roots, "fp"))
-    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_fp = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    with scratch(documents.sparkSession) as keep:
+        marked = written(documents.select(F.col(key).alias("doc_id"), simhash(words, seed)(F.col(text)).alias("fp")))
+        nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = links(nodes)
+        named = written(nodes.join(roots, "fp"))
+        least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
+        by_fp = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+        return keep(written(marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")))
 
 
 def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -232,9 +233,13 @@ def common_shingles(documents: DataFrame, text: str, words: int, seed: int) -> n
 
 def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, component_id for each row of documents. Two texts are linked if the Jaccard similarity of their sets of
-    shingles (64-bit hashes) is `share` or more; no other link is made and none is lost.
+    shingles (64-bit hashes) is `share` or more; no other link is made and none is lost. See _near_copies."""
+    with scratch(documents.sparkSession) as keep:
+        return keep(written(_near_copies(documents, key, text, words, share, seed)))
+
 
-    In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
+def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: float, seed: int) -> DataFrame:
+    """In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
     most n - share / (1 + share) * (n + m) before it in the set of n, and likewise in that of m: an equi-join on prefixes
     finds every pair. The order puts shingles that a sample finds common last, so a line that many texts hold makes few
     candidates. Candidates are thinned by a bound from the two prefixes, then decided on the whole sets.
@@ -250,7 +255,7 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     marked = written(marked.select("doc_id", "mark", "p.*", F.monotonically_increasing_id().alias("row")))
     nodes = written(marked.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("n")))
     again = written(marked.select("row", "sig").join(nodes.where("n > 1").select("sig", "node"), "sig").where("row <> node").select("row"))
-    sets = marked.select(F.col("row").alias("node"), "size", "prefix").join(again.withColumnRenamed("row", "node"), "node", "left_anti")
+    sets = marked.select(F.col("row").alias("node"), "size", "prefix").join(small(again).withColumnRenamed("row", "node"), "node", "left_anti")
     most = lambda n, m: f"{n} - {share / (1 + share)!r}D * ({n} + {m}) + 1e-6"
 
     def overlapping(pairs: DataFrame, sets: DataFrame, beyond: str) -> DataFrame:
@@ -262,10 +267,10 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     def similar(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b; distinct, written) of similar sets."""
         wanted = lambda df: written(df.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        short = written(sets.join(wanted(pairs), "node", "left_semi").select("node", "size", F.col("prefix").alias("held")))
+        short = written(sets.join(small(wanted(pairs)), "node", "left_semi").select("node", "size", F.col("prefix").alias("held")))
         pairs = overlapping(pairs, short, "greatest(na - size(sa), nb - size(sb))")
-        marks = written(nodes.join(wanted(pairs), "node", "left_semi").select("node", "sig", "mark"))
-        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(marks.select("mark"), "mark", "left_semi")
+        marks = written(nodes.join(small(wanted(pairs)), "node", "left_semi").select("node", "sig", "mark"))
+        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(small(marks.select("mark")), "mark", "left_semi")
         whole = texts.select(shingle_sets(words, seed)(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
         whole = written(whole.join(marks.select("node", "sig"), "sig"))
         return overlapping(pairs, whole.select("node", F.size("held").alias("size"), "held"), "0")

@@ -3,14 +3,16 @@ small numpy kernel that turns texts into folded letters and word hashes without
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,10 +87,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_A_BATCH))
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives free memory back to the system, if there is one. Arrow then uses that allocator."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
 def text_udf(kind: str):
-    """An Arrow UDF over a column of texts, fed in small batches."""
+    """An Arrow UDF over a column of texts, fed in small batches. Workers live on and serve other operators, so each batch
+    gives its memory back."""
     small_batches(SparkSession.active())
-    return F.arrow_udf(kind)
+
+    def made(f):
+        @wraps(f)
+        def one(texts: pa.Array) -> pa.Array:
+            out = f(texts)
+            _trim()(0)
+            return out
+
+        return F.arrow_udf(kind)(one)
+
+    return made
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ from tracemill.llm.tokens import Words, byte_symbols, pre_tokens
 
 SALTS, SALT_ROWS = 64, 1 << 20
 #: Pre-tokens in a generation of those whose ids a worker remembers.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 
 
 class Encoder:

@@ -166,3 +166,34 @@ def test_decision_bodies(spark):
     df = spark.createDataFrame([("block",), ("warn",), ("error",), ("allow",)], "a string")
     got = [tuple(r.d) for r in df.select(decision(F.col("a"), F.lit("why")).alias("d")).collect()]
     assert got == [(2, '{"decision":"block","reason":"why"}'), (0, '{"decision":"allow","systemMessage":"why"}'), (1, None), (0, None)]
+
+
+def test_exact_quantiles_without_a_whole_group(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tracemill.operators import stats
+
+    monkeypatch.setattr(stats, "RANGE_ROWS", 20)
+    r = random.Random(3)
+    held = [(k % 3, r.choice([r.random(), 0.5, float(r.randint(0, 9))])) for k in range(900)] + [(0, None)]
+    df = spark.createDataFrame(held, "g int, v double")
+    got = {x.g: x.q for x in stats.quantiles(df, ["g"], "v", (0.0, 0.05, 0.5, 1.0)).collect()}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([v for k, v in held if k == g and v is not None], (0.0, 0.05, 0.5, 1.0)))
+    assert stats.quantiles(df.where("v > 100"), [], "v", (0.5,)).collect() == []
+    whole = stats.quantiles(df, [], "v", (0.25,)).first().q[0]
+    assert abs(whole - np.quantile([v for _, v in held if v is not None], 0.25)) < 1e-12
+
+
+def test_strip_and_cache_key(spark):
+    import hashlib
+
+    from tracemill.functions.text import strip
+    from tracemill.operators.journal import cache_key
+
+    blanks = "　  \x1c \t\n "
+    assert spark.createDataFrame([(blanks + "a　b" + blanks,)], "t string").select(strip(F.col("t"))).first()[0] == (blanks + "a　b" + blanks).strip()
+    df = spark.createDataFrame([(2, 1, None, (5, None, "x"))], "b int, a int, c string, d struct<z:int,y:string,k:string>")
+    assert df.select(cache_key("b", "a", "c", "d")).first()[0] == hashlib.sha1(b'{"a":1,"b":2,"d":{"k":"x","z":5}}').hexdigest()

@@ -13,8 +13,8 @@ ENCODED_RUN = r"[A-Za-z0-9+/=]{100,}"
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end (trim knows spaces only)."""
-    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+    """Without white space of any kind at either end (trim knows spaces only), Unicode's blanks included."""
+    return F.regexp_replace(text, r"^[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+$", "")
 
 
 def contains_any(text: Column, marks: Sequence[str]) -> Column:

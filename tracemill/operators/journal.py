@@ -92,8 +92,9 @@ def hit_rate(found: DataFrame) -> DataFrame:
 
 
 def cache_key(*values: Column) -> Column:
-    """SHA-1 of the values as JSON, nulls left out."""
-    return F.sha1(F.to_json(F.struct(*values)))
+    """SHA-1 of the named values as compact JSON, nulls left out and names sorted, in nested records too (a variant keeps
+    its fields in the order of their names)."""
+    return F.sha1(F.to_json(F.parse_json(F.to_json(F.struct(*values)))))
 
 
 def first_existing(rows: DataFrame, key: str, places: Sequence[DataFrame], value: str) -> DataFrame:

@@ -59,16 +59,57 @@ def clustered_se(scores: DataFrame, by: Sequence[str], cluster: str, score: str)
     return rows.select(*by, "clusters", "n", "mean", (F.col("sd") / F.sqrt("clusters")).alias("se_clustered"), naive.alias("se_naive")).withColumn("ratio", F.col("se_clustered") / F.nullif(F.col("se_naive"), F.lit(0.0)))
 
 
+#: Distinct values in a range that one task sorts, and the fewest and most ranges.
+RANGE_ROWS, RANGES = 1_000_000, (64, 4096)
+
+
+def running(groups: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
+    """groups (a row for each by and value) with `upto`, the sum of count over values up to this one. Values are dealt into
+    ranges by approximate cuts, as many as keep a range near RANGE_ROWS values; sums within a range are added to those of
+    the ranges below, so no task sorts all values of a group, and the result is exact."""
+    ranges = min(max(RANGES[0], groups.count() // RANGE_ROWS), RANGES[1])
+    cuts = sorted(set(groups.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10000)).first()[0] or []))
+    kind = dict(groups.dtypes)[value]
+    part = F.size(F.filter(F.lit(cuts).cast(f"array<{kind}>") if cuts else F.array().cast(f"array<{kind}>"), lambda c: F.col(value) > c))
+    groups = groups.withColumn("part", part)
+    sums = groups.groupBy(*by, "part").agg(F.sum(count).alias("n"))
+    lower = sums.select(*by, "part", (F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")).alias("lower"))
+    within = F.sum(count).over(Window.partitionBy(*by, "part").orderBy(value))
+    return groups.join(lower, [*by, "part"]).withColumn("upto", F.col("lower") + within).drop("part", "lower")
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """by, q: exact quantiles, interpolated between neighbours, in the order of shares. Values are counted and ranked by
+    `running`; nothing keeps all values of a group, as F.percentile does."""
+    by = list(by)
+    groups = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    total = groups.groupBy(*by).agg(F.sum("k").alias("n"))
+    ranked = running(groups, by, value, "k")
+    ranked = (ranked.join(F.broadcast(total), by) if by else ranked.join(F.broadcast(total))).withColumn("x", F.col(value).cast("double"))
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    ends = [c for i, p in enumerate(shares) for c in (at(F.floor(place(p))).alias(f"l{i}"), at(F.ceil(place(p))).alias(f"h{i}"))]
+    found = ranked.groupBy(*by, "n").agg(*ends)
+    each = [F.when(F.col(f"l{i}") == F.col(f"h{i}"), F.col(f"l{i}")).otherwise((F.ceil(place(p)) - place(p)) * F.col(f"l{i}") + (place(p) - F.floor(place(p))) * F.col(f"h{i}")) for i, p in enumerate(shares)]
+    return found.select(*by, F.array(*each).alias("q"))
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """left with right's columns; right has a row a group (one row, if there are no groups)."""
+    return left.join(right, list(by), how) if by else left.join(F.broadcast(right), how="cross")
+
+
 def describe(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    quarters = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), quarters.alias("q")).select(*by, "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    sums = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return _beside(sums, quantiles(rows, by, value, (0.25, 0.5, 0.75)), by).select(*by, "n", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 def sensitivity(rows: DataFrame, by: Sequence[str], value: str, share: float = 0.05, against: float = 0.0) -> DataFrame:
     """mean, median and mean without the lowest and highest `share`; fragile where they fall on both sides of `against`."""
-    bounds = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(share), F.lit(1 - share))).alias("b"), F.median(value).alias("median"), F.avg(value).alias("mean"))
-    inner = rows.join(bounds, list(by)) if by else rows.join(bounds)
-    inner = inner.where(F.col(value).between(F.col("b")[0], F.col("b")[1])).groupBy(*by, "mean", "median").agg(F.avg(value).alias("trimmed_mean"))
+    cuts = quantiles(rows, by, value, (share, 0.5, 1 - share)).withColumn("median", F.col("q")[1])
+    bounds = _beside(cuts, rows.groupBy(*by).agg(F.avg(value).alias("mean")), by)
+    inner = _beside(rows, bounds, by, "inner")
+    inner = inner.where(F.col(value).between(F.col("q")[0], F.col("q")[2])).groupBy(*by, "mean", "median").agg(F.avg(value).alias("trimmed_mean"))
     above = [F.col(c) > against for c in ("mean", "median", "trimmed_mean")]
     return inner.select(*by, "mean", "median", "trimmed_mean", F.when((above[0] == above[1]) & (above[1] == above[2]), "ROBUST").otherwise("FRAGILE").alias("verdict"))
 
@@ -88,8 +129,8 @@ def all_right_interval(n: Column, alpha: float = 0.05) -> Column:
 
 def rate_at_false_positives(rows: DataFrame, by: Sequence[str], score: str, positive: str, share: float = 0.05) -> DataFrame:
     """Share of positives with at least the score that `share` of the negatives exceed. Ties count as detected."""
-    cuts = rows.where(~F.col(positive)).groupBy(*by).agg(F.percentile(score, F.lit(1 - share)).alias("cut"))
-    return rows.where(F.col(positive)).join(cuts, list(by)).groupBy(*by, "cut").agg(F.avg((F.col(score) >= F.col("cut")).cast("int")).alias("rate"))
+    cuts = quantiles(rows.where(~F.col(positive)), by, score, (1 - share,)).withColumn("cut", F.col("q")[0])
+    return _beside(rows.where(F.col(positive)), cuts, by, "inner").groupBy(*by, "cut").agg(F.avg((F.col(score) >= F.col("cut")).cast("int")).alias("rate"))
 
 
 def detector_quality(rows: DataFrame, by: Sequence[str], predicted: str, actual: str) -> DataFrame:
@@ -125,7 +166,8 @@ def bootstrap_ci(rows: DataFrame, by: Sequence[str], key: str, value: str, repli
 def data_quality(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Rows, missing and NaN values, repeated keys, and values beyond 1.5 quartile ranges."""
     v = F.col(value).cast("double")
-    q = rows.agg(F.percentile(F.when(~F.isnan(v), v), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()[0] or [None, None]
+    found = quantiles(rows.select(v.alias("v")).where(~F.isnan("v")), [], "v", (0.25, 0.75)).first()
+    q = found[0] if found else [None, None]
     spread = None if q[0] is None else 1.5 * (q[1] - q[0])
     odd = F.lit(False) if spread is None else ~F.isnan(v) & ((v < q[0] - spread) | (v > q[1] + spread))
     groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.isnan(v)).alias("nan"), F.count_if(odd).alias("outliers"))
@@ -138,19 +180,10 @@ def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(actual)))
 
 
-def auc(rows: DataFrame, by: Sequence[str], score: str, positive: str, ranges: int = 64) -> DataFrame:
-    """Area under the ROC curve, ties counted half. Scores are counted first, then ranked within ranges of about as many
-    distinct scores each, to which the counts of the ranges below are added; so no task ranks all scores."""
+def auc(rows: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
+    """Area under the ROC curve, ties counted half. Scores are counted first, then ranked by `running`."""
     groups = rows.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    cuts = sorted(set(groups.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 10000)).first()[0] or []))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(score) > c).cast("int")
-    groups = groups.withColumn("part", part)
-    sums = groups.groupBy(*by, "part").agg(F.sum("q").alias("n"))
-    lower = sums.select(*by, "part", (F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")).alias("lower"))
-    below = F.col("lower") + F.sum("q").over(Window.partitionBy(*by, "part").orderBy(score)) - F.col("q") / 2
-    ranked = groups.join(lower, [*by, "part"]).withColumn("won", F.col("p") * below)
+    ranked = running(groups, list(by), score, "q").withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2))
     sums = ranked.groupBy(*by).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.select(*by, (F.col("w") / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auc"))
 
@@ -202,5 +235,5 @@ def calibration(rows: DataFrame, score: str, positive: str, bins: int = 10) -> D
 def ecdf(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """value and the share of rows at or below it; values are counted first."""
     groups = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    part = Window.partitionBy(*by)
-    return groups.select(*by, value, (F.sum("k").over(part.orderBy(value)) / F.sum("k").over(part)).alias("share"))
+    total = groups.groupBy(*by).agg(F.sum("k").alias("total"))
+    return _beside(running(groups, list(by), value, "k"), total, by).select(*by, value, (F.col("upto") / F.col("total")).alias("share"))

@@ -70,6 +70,7 @@ def findings(spark, sf_dir):
 
 @query(rf"""WITH {_SAMPLES}, a AS (SELECT 'empty_truncated_responses' AS type, idx, id FROM s WHERE length(regexp_replace(coalesce(output, ''), '^\s+|\s+$', '', 'g')) < 10
     UNION ALL SELECT 'refusal_markers', idx, id FROM s WHERE lower(output) LIKE '%worthless%' OR lower(output) LIKE '%password%' OR lower(output) LIKE '%token%' OR lower(output) LIKE '%license%'
+    UNION ALL SELECT 'tool_call_errors', idx, id FROM s WHERE lower(output) LIKE '%timeout%' OR lower(output) LIKE '%permission denied%' OR lower(output) LIKE '%api error%' OR lower(output) LIKE '%rate limit%' OR lower(output) LIKE '%connection refused%'
     UNION ALL SELECT 'format_parsing_failures', idx, id FROM s WHERE score IS NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY idx) AS k, count(*) OVER (PARTITION BY type) AS n FROM a)
     SELECT type, string_agg(id, ',' ORDER BY k) AS ids, greatest(any_value(n) - 5, 0) AS more FROM r WHERE k <= 5 GROUP BY type""")
@@ -536,3 +537,44 @@ def delegation(spark, sf_dir):
     tool = F.get(F.array(*[F.lit(x) for x in ("Read", "Edit", "Grep", "WebFetch", "NotebookEdit", "Skill", "Odd", "Bash", "Bash")]), k)
     command = F.when(k == 7, "git log -3").otherwise("git push")
     return _t(spark, sf_dir, "orders").select("o_orderkey", rules.delegation(tool, command, F.lit(True)).alias("kind"))
+
+
+@query(r"""WITH k AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents)
+    SELECT doc_id FROM k WHERE NOT labelled AND t IN (SELECT t FROM k WHERE labelled)""")
+def train_test_overlap(spark, sf_dir):
+    """J9"""
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "labels").select("doc_id")
+    return journal.overlap(docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")).select("doc_id")
+
+
+@query("""SELECT c_custkey, coalesce(o.v, c_acctbal) AS v FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey""")
+def first_existing_place(spark, sf_dir):
+    """J7"""
+    orders, customers = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    dearest = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("v"))
+    return journal.first_existing(customers.select("c_custkey"), "c_custkey", [dearest, customers.select("c_custkey", F.col("c_acctbal").alias("v"))], "v")
+
+
+@query("""WITH c AS (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS b,
+    count(*) FILTER (o_orderstatus = 'F') AS n, count(*) FILTER (o_orderstatus = 'O') AS m FROM orders GROUP BY 1)
+    SELECT o_custkey, abs(a - b) <= 0.2 * b AND n = m AS reproduced FROM c WHERE n > 0 AND m > 0""")
+def cost_reproduced(spark, sf_dir):
+    """A41"""
+    done = lambda s: F.col("o_orderstatus") == s
+    each = [x for s in "FO" for x in (F.avg(F.when(done(s), F.col("o_totalprice"))).alias(f"cost{s}"), F.count_if(done(s)).alias(f"n{s}"))]
+    rows = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(*each).where("nF > 0 and nO > 0")
+    return stats.reproduced(rows, "costF", "costO", "nF", "nO").select("o_custkey", "reproduced")
+
+
+@query("""SELECT CAST(least(floor(s * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(s), 6) AS mean_score, round(avg(p), 6) AS share
+    FROM (SELECT least(greatest(value / 100, 0), 1) AS s, CAST(user_id % 2 = 0 AS INT) AS p FROM events WHERE value IS NOT NULL) GROUP BY 1""")
+def calibration_by_bin(spark, sf_dir):
+    """A36"""
+    rows = _t(spark, sf_dir, "events").where("value is not null").select(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("s"), (F.col("user_id") % 2 == 0).alias("p"))
+    return _rounded(stats.calibration(rows, "s", "p"), "mean_score", "share")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def status_tally(spark, sf_dir):
+    """S17 A16"""
+    return journal.status_tally(_t(spark, sf_dir, "orders"), "o_orderstatus")

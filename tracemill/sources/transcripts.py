@@ -43,6 +43,10 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+#: Numbers of a file's lines that one task ranks.
+STRETCH = 1_000_000
+
+
 def lines_with_numbers(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """file, idx (physical line, from 0), line. Files of any size are read in splits: a line's number is its place in
     its split plus the number of lines in the file's splits before it, so only counts by split are gathered."""
@@ -52,7 +56,7 @@ def lines_with_numbers(spark: SparkSession, paths: str | list[str], glob: str |
     splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
     splits = splits.select("file", "start", (before - F.col("first")).alias("shift"))
-    return rows.join(splits, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("idx"), "line")
+    return rows.join(splits, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).cast("bigint").alias("idx"), "line")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], score_field: str = "score", threshold: float = 0.5, glob: str | None = None) -> DataFrame:
@@ -84,12 +88,15 @@ def read_json(spark: SparkSession, paths: str | list[str], score_field: str = "s
 
 
 def text_chunks(text: Column) -> Column:
-    """The stripped, non-empty parts of a text, cut at the first delimiter that occurs; else the text itself."""
+    """The stripped, non-empty parts of a text, cut at the first delimiter that occurs; else, or where all parts are
+    blank, the stripped text itself."""
+    whole = F.array(strip(text))
     cut = F.array(text)
     for d in reversed(DELIMITERS):
         parts = F.split(text, d, -1)
         cut = F.when(F.size(parts) > 1, parts).otherwise(cut)
-    return F.filter(F.transform(cut, strip), lambda c: c != "")
+    parts = F.filter(F.transform(cut, strip), lambda c: c != "")
+    return F.when((F.size(parts) == 0) & (whole[0] != ""), whole).otherwise(parts)
 
 
 def read_text(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
@@ -102,13 +109,17 @@ def read_text(spark: SparkSession, paths: str | list[str], glob: str | None = No
 
 def read_folder(spark: SparkSession, path: str, score_field: str = "score", threshold: float = 0.5) -> DataFrame:
     """The .json, .jsonl and .log files of a folder (not of folders in it), numbered densely in path order. Numbers are
-    a rank in each file plus the counts of the files before, so no task sees all rows."""
+    a rank in each stretch of a file plus the counts of the stretches and files before, so no task sees a whole file."""
     found = [read_jsonl(spark, path, score_field, threshold, "*.jsonl"), read_json(spark, path, score_field, threshold, "*.json"), read_text(spark, path, "*.log")]
     rows = reduce(DataFrame.unionByName, found)
     counts = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("idx")) - 1
-    rows = rows.withColumn("idx", rank).join(before, "file").withColumn("idx", (F.col("idx") + F.col("before")).cast("int"))
+    rows = rows.withColumn("stretch", F.expr(f"idx div {STRETCH}"))
+    stretches = rows.groupBy("file", "stretch").agg(F.count("*").alias("n"))
+    earlier = stretches.select("file", "stretch", (F.sum("n").over(Window.partitionBy("file").orderBy("stretch")) - F.col("n")).alias("earlier"))
+    rank = F.row_number().over(Window.partitionBy("file", "stretch").orderBy("idx")) - 1
+    rows = rows.withColumn("rank", rank).join(earlier, ["file", "stretch"]).join(before, "file")
+    rows = rows.withColumn("idx", (F.col("rank") + F.col("earlier") + F.col("before")).cast("bigint"))
     return rows.withColumn("id", sample_id(F.col("idx"))).select("file", *COLUMNS)
 
 
@@ -122,8 +133,11 @@ def detect_format(spark: SparkSession, path: str) -> str:
     for suffix, name in ((".eval", "inspect"), (".jsonl", "jsonl"), (".json", "json")):
         if path.lower().endswith(suffix):
             return name
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()
-    start = bytes(head[0]) if head else b""
+    stream = system.open(place)
+    try:
+        start = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(4096, system.getFileStatus(place).getLen()))))
+    finally:
+        stream.close()
     if start.lstrip()[:1] in (b"{", b"["):
         return "jsonl" if sum(x.strip().startswith(b"{") for x in start.split(b"\n")[:10]) >= 2 else "json"
     return "text"

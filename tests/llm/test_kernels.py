@@ -7,8 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracemill.llm import base, langid, packing, pii, quality, simhash, tokens, topk, toxicity, warc
 from tracemill.llm.queries import vocabulary
@@ -266,8 +268,8 @@ def test_language_prediction_equals_brute_force():
 
 def plain_kneser_ney(rows, order=5):
     """Interpolated modified Kneser-Ney over padded symbols, straight from its definition."""
-    padded = lambda x: [1] * (order - 1) + [int(s) for s in quality.symbols(x)]
-    levels = {order: Counter(tuple(s[i : i + order]) for x in rows for s in [padded(x)] for i in range(len(x)))}
+    padded = lambda x: [quality.START] * (order - 1) + list(x.encode())
+    levels = {order: Counter(tuple(s[i : i + order]) for x in rows for s in [padded(x)] for i in range(len(x.encode())))}
     for n in range(order - 1, 0, -1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
     discounts = {}
@@ -288,30 +290,64 @@ def plain_kneser_ney(rows, order=5):
         own = levels[n].get(g, 0)
         return ((own - d(own)) / total if own else 0) + sum(map(d, same.values())) / total * p(g[1:])
 
-    return lambda x: sum(math.log(p(tuple(s[i : i + order]))) for s in [padded(x)] for i in range(len(x)))
+    return lambda x: sum(math.log(p(tuple(s[i : i + order]))) for s in [padded(x)] for i in range(len(x.encode())))
+
+
+def quality_docs(spark, rows):
+    """(lang, trusted, text) as the rows that the steps of the model take; the part is 1 for trusted texts, which thus count for part 0."""
+    got = [(i, lang, int(good), good, text, i % 3) for i, (lang, good, text) in enumerate(rows)]
+    return spark.createDataFrame(got, "doc_id bigint, lang string, part int, trusted boolean, text string, shard bigint")
 
 
 def test_quality_model_equals_definition(spark):
-    rows = ["the cat sat on the mat", "the hat that sat", "a cat and a hat", "über alles über", "x"]
-    df = spark.createDataFrame([("en", x) for x in rows] + [("fr", "le chat"), ("fr", None), ("fr", "")], "lang string, text string")
-    model = quality.model(quality.counted(df, ["en", "fr"]))
-    got = model.toArrow()
-    shard = quality.Shard({c: got[c].to_numpy().astype(np.float32) if c.startswith("log") else got[c].to_numpy() for c in got.column_names})
+    rows = ["the cat sat on the mat", "the hat that sat", "a cat and a hat", "über alles über", "x", "кот и кит", "猫坐在垫子上", "aaaaaaaaaaaaa"]
+    asked = [*rows, "the dog", "zzz", "that cat über", "кит и кот", "猫猫", "", None, "\0\0\0\0\0\0"]
+    docs = quality_docs(spark, [("en", True, x) for x in rows] + [("fr", True, "le chat")] + [("en", False, x) for x in asked] + [("xx", False, "q")])
+    good = docs.where("trusted")
+    number = quality.models(good)
+    assert number == {("en", 0): 0, ("fr", 0): 1}
+    scored = {r.doc_id: r for r in quality.perplexities(docs.where("not trusted"), quality.model(quality.counted(good, number)), number).collect()}
     plain = plain_kneser_ney(rows)
-    for x in [*rows, "the dog", "zzz", "that cat über"]:
-        assert abs(shard.score(quality.grams(x), 0) - plain(x)) < 1e-3 * len(x), x
-
-
-def test_quality_shards_add_up(spark, monkeypatch):
-    df = spark.createDataFrame([("en", f"the cat {i} sat on mat {i * 7}") for i in range(50)], "lang string, text string")
-    rows = base.written(quality.model(quality.counted(df, ["en"])))
-    docs = spark.createDataFrame([(b"a", "en", "the cat sat"), (b"a", "en", "the cat sat"), (b"b", "xx", "q"), (b"c", "en", None)], "mark binary, lang string, text string")
-    one = sorted(quality.perplexities(docs, rows, ["en"]).collect())
-    monkeypatch.setattr(quality, "SHARD_ROWS", 300)
-    many = sorted(quality.perplexities(docs, rows, ["en"]).collect())
-    assert [(r.n, r.copies) for r in one] == [(22, 2), (0, 1), (0, 1)]
-    for a, b in zip(one, many):
-        assert b.copies == a.copies and abs(a.logp - b.logp) < 1e-5 and a.n == b.n
+    assert len(scored) == len(asked) + 1
+    for i, x in enumerate(asked, len(rows) + 1):
+        assert scored[i].n == len(x or ""), x
+        assert abs(scored[i].logp - plain(x)) < 1e-3 * len(x) if x else scored[i].logp is None, x
+    assert scored[len(rows) + 1 + len(asked)].logp is None
+
+
+def test_quality_thresholds_equal_definition(spark):
+    r = random.Random(3)
+    stock = {"en": ["the", "cat", "sat", "mat", "on", "a"], "ru": ["кот", "кит", "ток", "дом"], "zh": list("猫坐在垫子上")}
+    rows = [(i, " ".join(r.choice(stock[lang]) for _ in range(r.randint(1, 9))), lang) for i, lang in enumerate(r.choices(["en", "ru", "zh"], k=60))]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "cat", None)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(None, 1), (99, 1)], "doc_id bigint, quality int")
+    got = quality.classified(docs, labels, low=0.2, high=0.8).collect()
+    part = {x.text: x.p for x in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("p")).collect()}
+    good = [x for x in [*rows, rows[0]] if x[0] % 3]
+    held = {(lang, k): plain_kneser_ney([t for _, t, x in good if x == lang and part[t] != k]) for lang in stock for k in (0, 1)}
+    perplexity = lambda x: math.exp(-held[x[2], part[x[1]]](x[1]) / len(x[1]))
+    bounds = {lang: [sorted(perplexity(x) for x in good if x[2] == lang)[math.ceil(q * sum(x[2] == lang for x in good)) - 1] for q in (0.2, 0.8)] for lang in stock}
+    assert sorted(x.doc_id for x in got if x.doc_id is not None) == sorted([*range(60), 0])
+    for x in got:
+        if x.doc_id is None:
+            assert x.lang == "und" and x.perplexity is None and x.keep and x.n_chars == 3
+            continue
+        want, (low, high) = perplexity(rows[x.doc_id]), bounds[x.lang]
+        assert abs(x.perplexity / want - 1) < 1e-3 and abs(x.low / low - 1) < 1e-3 and abs(x.high / high - 1) < 1e-3
+        assert x.keep == (x.low <= x.perplexity <= x.high) and x.n_chars == len(rows[x.doc_id][1])
+
+
+@pytest.mark.parametrize("window", [1 << 19, 7])
+def test_quality_windows_of_any_length(window, monkeypatch):
+    monkeypatch.setattr(quality, "WINDOW", window)
+    texts = pa.array(["", "a", None, "ab", "кот" * 9, "long text " * 20, ""]).slice(1)
+    data, ends = quality.spans(texts)
+    got = np.concatenate([g for _, _, g in quality.windows(data, ends)])
+    want = []
+    for x in texts.to_pylist():
+        s = bytes([quality.START] * (quality.ORDER - 1)) + (x or "").encode()
+        want += [int.from_bytes(s[i : i + quality.ORDER], "big") for i in range(len(s) - quality.ORDER + 1)]
+    assert got.tolist() == want
 
 
 def test_hash_table():

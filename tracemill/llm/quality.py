@@ -1,69 +1,86 @@
 """Quality: an interpolated modified Kneser-Ney n-gram model of trusted text, and perplexities by sharded count joins.
 
-The n-grams are of characters (order 5), case and punctuation kept, counted per language over all trusted documents
-in full. A character n-gram is one 64-bit key: language, then ten bits a symbol. Counts are summed by Spark; lower orders
-are continuation counts (distinct left neighbours); discounts D1, D2, D3+ come from counts of counts by language and
-order. Joins of each order with its contexts and its suffix give, for each n-gram seen, its interpolated probability and,
-for each context, its back-off weight, so a document's log-probability is a sum over its characters.
-
-The model is dealt into shards by the last two characters of the context, as many as keep a shard within
-SHARD_ROWS rows. All that one character needs is in one shard (orders 1 and 2, at most 1024 x 1024 a language in theory
-and few in fact, are in every shard). Each shard in turn is broadcast, which its size bound allows, and joined
-with all documents; partial sums are added by document. More trusted text makes more shards, not larger ones.
-
-A document is kept if its perplexity lies between two quantiles of the trusted documents' perplexities in its language
-(too high: noise; too low: repetition). No text is scored by a model that learned it: documents are dealt into FOLDS
+The n-grams are of UTF-8 bytes (order 5), so no two characters share a symbol; case and punctuation are kept. They are
+counted per model over all trusted documents in full. An n-gram is one 64-bit key: model, then eight bits a symbol.
+Counts are summed by Spark; lower orders are continuation counts (distinct left neighbours); discounts D1, D2, D3+ come
+from counts of counts by model and order. Joins of each order with its contexts and its suffix give, for each n-gram seen,
+its interpolated probability and, for each context, its back-off weight.
+
+Documents are scored by joins. A shard of the documents is a file, or part of one: each task gives the distinct n-grams of
+its shards, which Spark makes distinct over all shards and joins with the model, order by order, those not yet met backing off
+to their suffixes. The log-probabilities go back to the shards that asked for them, where the texts meet them: per document
+the sum of count times log-probability. Nothing of the model passes through the driver, no table is broadcast that Spark has
+not found small, and documents are read in two passes whatever the model's size. An n-gram asked for by every shard is a hot
+key of the last join; its other side has one row a key, so AQE can split it.
+
+A document is kept if its perplexity (by character) lies between two quantiles of the trusted documents' perplexities in its
+language (too high: noise; too low: repetition). No text is scored by a model that learned it: documents are dealt into FOLDS
 parts by a hash of the text, so that copies stay together, and each part is scored by the counts of the trusted texts
-of the others. So the quantiles are those of unseen good text.
+of the others; each language has a model a part. So the quantiles are those of unseen good text.
 
 Defined cases: a null lang counts as the language `und`. A null or empty text has null perplexity and is not kept. A
 document whose language has no trusted text in the other parts has null perplexity, and is kept: nothing speaks against
-it; likewise where no trusted document of the language could be scored. Repeated rows
-are answered each. Rows of labels with null ids, or for ids without documents, do nothing. Texts are read whole."""
+it; likewise where no trusted document of the language could be scored. Repeated rows are answered each, with their own
+n_chars. An empty table gives an empty result. Of the columns of documents only doc_id, lang and text are read, of labels
+doc_id and those of the condition, so others may have any names. Rows of labels with null ids, or for ids without documents,
+do nothing. Texts are read whole. More than 8191 models (languages times parts) are refused with a ValueError."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import code_points, small_batches, written
+from tracemill.llm.base import scratch, small, small_batches, written
 
-ORDER, BITS = 5, 10
+ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
-MASK = [np.uint64((1 << (BITS * n)) - 1) for n in range(ORDER + 1)]
-SHARD_ROWS = 4_000_000
-#: Ids up to which the set of trusted documents is broadcast (at most 64 MB in memory); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: The symbol before a text's first byte; UTF-8 has no such byte.
+START = 255
 UND = "und"
 #: Parts of the documents, by a hash of the text; each is scored by a model of the trusted texts in the others.
 FOLDS = 2
-
-
-def symbols(text: str) -> np.ndarray:
-    """Below 592 (Latin) a code point is its own symbol; others share 431. 1 stands for the start; 0 is free."""
-    c = code_points(text)
-    return np.where(c < 2, np.uint32(2), np.where(c < 592, c, 592 + c % 431)).astype(np.uint64)
-
-
-def grams(text: str, before: int = 0) -> np.ndarray:
-    """The 5-gram that ends at each character from `before` on; the start is padded."""
-    s = np.concatenate((np.ones(ORDER - 1, np.uint64), symbols(text)))
-    out = np.zeros(len(s) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        out = (out << np.uint64(BITS)) | s[k : k + len(out)]
-    return out[before:]
-
-
-def text_grams(text: str, limit: int = 1 << 18):
-    """Arrays of the 5-grams of a text, slice by slice."""
-    for at in range(0, len(text), limit):
-        before = min(at, ORDER - 1)
-        yield grams(text[at - before : at + limit], before)
+#: Bytes of text that one numpy step works on.
+WINDOW = 1 << 19
+#: Bytes of text that share a table of n-grams.
+SHARD_BYTES = 64 << 20
+#: n-grams that a task holds before it makes them distinct.
+HELD = 2_000_000
+#: n-grams that a task remembers to have asked for, by a hash: most of a text's are among the last ones met.
+SEEN, SEEN_SHARDS = 1 << 17, 64
+FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts in a row, and where each text begins and the last ends. A null is empty."""
+    texts = texts.fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None and len(texts) else np.zeros(0, np.uint8)
+    return data, ends.astype(np.int64) - (int(ends[0]) if len(texts) else 0)
+
+
+def windows(data: np.ndarray, ends: np.ndarray):
+    """(a, b, grams): the n-gram that ends at each byte from a to b, symbols before its text's first byte being START."""
+    starts = ends[:-1]
+    sizes = np.diff(ends)
+    for a in range(0, len(data), WINDOW):
+        b = min(len(data), a + WINDOW)
+        before = data[max(0, a - ORDER + 1) : b]
+        s = np.concatenate((np.zeros(ORDER - 1 + b - a - len(before), np.uint8), before)).astype(np.uint64)
+        out = np.zeros(b - a, np.uint64)
+        for k in range(ORDER):
+            out = (out << np.uint64(BITS)) | s[k : k + b - a]
+        for j in range(ORDER - 1):  # the j-th byte of a text has j symbols of its text before it
+            at = starts[sizes > j] + j
+            at = at[(at >= a) & (at < b)] - a
+            pad = sum(START << (BITS * k) for k in range(j + 1, ORDER))
+            out[at] = (out[at] & np.uint64((1 << (BITS * (j + 1))) - 1)) | np.uint64(pad)
+        yield a, b, out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,40 +92,53 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _languages(df: DataFrame, column: str) -> list[str]:
-    found = [r[0] for r in df.select(column).distinct().limit(8192).collect()]
-    if len(found) > 8191:
-        raise ValueError("more than 8191 languages")
-    return sorted(found)
+def models(trusted: DataFrame) -> dict[tuple[str, int], int]:
+    """Numbers of the models: one for each language and part of which trusted (lang, part) text outside the part is known."""
+    most = 8191
+    found = trusted.select("lang", "part").distinct().limit(most + 1).collect()
+    pairs = sorted({(r.lang, k) for r in found for k in range(FOLDS) if k != r.part})
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} models")
+    return {x: i for i, x in enumerate(pairs)}
 
 
-def counted(trusted: DataFrame, languages: list[str]) -> DataFrame:
-    """gram, n over trusted (lang, text): counts of 5-grams by language, summed in each task before the shuffle."""
+def counted(trusted: DataFrame, number: dict[tuple[str, int], int]) -> DataFrame:
+    """gram, n over trusted (lang, part, text): counts of n-grams by model, summed in each task before the shuffle. A text
+    counts in its language's models of the other parts."""
     small_batches(trusted.sparkSession)
-    number = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in text_grams(text):
-                    held.append((g | np.uint64(number[lang] << (BITS * ORDER)), np.ones(len(g), np.int64)))
-                    size += len(g)
-                if size > 2_000_000:
-                    held = [summed(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0]) // 2
+            data, ends = spans(batch.column(2))
+            sizes = np.diff(ends)
+            for k in range(FOLDS):
+                keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                mine = np.repeat(np.array([-1 if p == k else number[lang, k] for lang, p in keys], np.int64), sizes)
+                for a, b, g in windows(data, ends):
+                    m = mine[a:b]
+                    g = g[m >= 0] | (m[m >= 0].astype(np.uint64) << np.uint64(ORDER * BITS))
+                    held.append(summed(g, np.ones(len(g), np.int64)))
+                    size += len(held[-1][0])
+            if size > HELD:
+                held = [summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0]) // 2
         if held:
             keys, n = summed(*map(np.concatenate, zip(*held)))
             for at in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["gram", "n"])
 
-    return trusted.select("lang", "text").where("text is not null").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select("lang", "part", "text").where("text is not null").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """ord, gram (with its language above the symbols of its order), logp, logb: the natural logarithm of an n-gram's
-    interpolated probability and of the back-off weight that it has as a context (null where it is none)."""
+def _suffix(gram: str, n: int) -> str:
+    return f"(shiftleft(shiftright({gram}, {BITS * n}), {BITS * (n - 1)}) | ({gram} & {(1 << (BITS * (n - 1))) - 1}))"
+
+
+def model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order n, the frames (gram, logp) of n-grams and (gram, logb) of their contexts: the natural logarithm of an n-gram's
+    interpolated probability and of a context's back-off weight. A gram has its model above the symbols of its order."""
     lang = lambda n: f"shiftright(gram, {BITS * n})"
     levels = {ORDER: written(counts.select("gram", "n"))}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: drop the first symbol
@@ -120,7 +150,7 @@ def model(counts: DataFrame) -> DataFrame:
         level = levels[n].withColumn("lang", F.expr(lang(n)))
         stats = level.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5)])
         y = "n1 / greatest(n1 + 2 * n2, 1)"
-        d = [f"coalesce(greatest(least({k} - {k + 1} * ({y}) * n{k + 1} / nullif(n{k}, 0), {k} * 0.95D), 0.05D), {k} * 0.5D)" for k in (1, 2, 3)]
+        d = [f"if(n{k} = 0, {k} * 0.5D, greatest(least({k} - {k + 1} * ({y}) * n{k + 1} / nullif(n{k}, 0), {k} * 0.95D), 0.05D))" for k in (1, 2, 3)]
         stats = stats.select("lang", *[F.expr(x).cast("double").alias(f"d{k}") for k, x in enumerate(d, 1)])
         level = level.join(F.broadcast(stats), "lang").withColumn("d", F.expr("case n when 1 then d1 when 2 then d2 else d3 end"))
         level = level.withColumn("context", F.shiftright("gram", BITS))
@@ -129,24 +159,13 @@ def model(counts: DataFrame) -> DataFrame:
         if n == 1:
             p = F.expr(f"(n - d) / total + off / total / {SYMBOLS}")
         else:
-            suffix = f"(shiftleft({lang(n)}, {BITS * (n - 1)}) | (gram & {(1 << (BITS * (n - 1))) - 1}))"
-            joined = joined.withColumn("suffix", F.expr(suffix)).join(lower, "suffix")
+            joined = joined.withColumn("suffix", F.expr(_suffix("gram", n))).join(lower, "suffix")
             p = F.expr("(n - d) / total + off / total * q")
         probs = written(joined.select("gram", p.alias("p")))
         backoff = written(totals.select(F.col("context").alias("gram"), F.log(F.col("off") / F.col("total")).alias("logb")))
         lower = probs.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
         out.append((probs, backoff))
-    rows = None
-    for n, (probs, backoff) in enumerate(out, 1):
-        made = probs.select(F.lit(n).alias("ord"), "gram", F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("logb"))
-        weights = backoff.select(F.lit(n - 1).alias("ord"), "gram", F.lit(None).cast("float").alias("logp"), F.col("logb").cast("float").alias("logb"))
-        rows = made.unionByName(weights) if rows is None else rows.unionByName(made).unionByName(weights)
-    return rows
-
-
-def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of the two symbols before a character."""
-    return (((pair & np.uint64(SYMBOLS * SYMBOLS - 1)) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
+    return {n: (probs.select("gram", F.log("p").alias("logp")), backoff) for n, (probs, backoff) in enumerate(out, 1)}
 
 
 class Table:
@@ -156,11 +175,11 @@ class Table:
         size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - size.bit_length() + 1)
         self.mask = np.uint64(size - 1)
-        self.keys = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.keys = np.full(size, FREE)
         self.values = np.zeros(size, np.float32)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
-            free = self.keys[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
+            free = self.keys[at] == FREE
             self.keys[at[free]] = keys[left[free]]
             won = self.keys[at] == keys[left]
             self.values[at[won]] = values[left[won]]
@@ -175,7 +194,7 @@ class Table:
         met = self.keys[at]
         found = met == keys
         out = np.where(found, self.values[at], np.float32(0))
-        left = np.flatnonzero(~found & (met != np.uint64(0xFFFFFFFFFFFFFFFF)))
+        left = np.flatnonzero(~found & (met != FREE))
         at = at[left]
         while len(left):
             at = (at + np.uint64(1)) & self.mask
@@ -183,110 +202,187 @@ class Table:
             hit = met == keys[left]
             found[left[hit]] = True
             out[left[hit]] = self.values[at[hit]]
-            go = ~hit & (met != np.uint64(0xFFFFFFFFFFFFFFFF))
+            go = ~hit & (met != FREE)
             left, at = left[go], at[go]
         return found, out
 
 
-class Shard:
-    """Part of a model: probabilities and back-off weights by order."""
-
-    def __init__(self, columns: dict[str, np.ndarray]):
-        self.p, self.b = {}, {}
-        for n in range(ORDER + 1):
-            mine = columns["ord"] == n
-            for held, name in ((self.p, "logp"), (self.b, "logb")):
-                has = mine & ~np.isnan(columns[name])
-                held[n] = Table(columns["gram"][has].view(np.uint64), columns[name][has])
-
-    def score(self, five: np.ndarray, lang: int) -> float:
-        """The log-probability of the last characters of these 5-grams."""
-        total, n = 0.0, ORDER
-        while len(five) and n:
-            keys = (five & MASK[n]) | np.uint64(lang << (BITS * n))
-            found, value = self.p[n].get(keys)
-            total += float(value.sum(dtype=np.float64))
-            five = five[~found]
-            context = (five >> np.uint64(BITS)) & MASK[n - 1]
-            total += float(self.b[n - 1].get(context | np.uint64(lang << (BITS * (n - 1))))[1].sum(dtype=np.float64))
-            n -= 1
-        return total + len(five) * -float(np.log(SYMBOLS))
-
-
-def perplexities(documents: DataFrame, rows: DataFrame, languages: list[str]) -> DataFrame:
-    """documents (mark, lang, text, ...): mark, logp, n. rows: a model, written. One pass over documents a shard."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    pair = F.when(F.col("logp").isNotNull(), F.shiftrightunsigned("gram", BITS)).otherwise(F.col("gram"))
-    part = F.expr(f"(({{}} & {SYMBOLS * SYMBOLS - 1}) * {0x9E3779B1} & {0xFFFFFFFF}) % {shards}".format("pair"))
-    dealt = rows.withColumn("pair", pair).withColumn("shard", part)
-    number = {x: i for i, x in enumerate(languages)}
-    passes = []
-    for k in range(shards):
-        context = F.col("ord") - F.col("logp").isNotNull().cast("int")
-        got = dealt.where((F.col("shard") == k) | (context < 2)).select("ord", "gram", "logp", "logb").toArrow()
-        columns = {"ord": got["ord"].to_numpy(), "gram": got["gram"].to_numpy(), **{c: got[c].to_numpy().astype(np.float32) for c in ("logp", "logb")}}
-        held = spark.sparkContext.broadcast(columns)
-        passes.append(documents.select("mark", "lang", "text").mapInArrow(_scorer(held, number, k, shards), "mark binary, logp double, n bigint"))
-    union = passes[0]
-    for more in passes[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("mark").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"), (F.count("*") / F.lit(shards)).cast("int").alias("copies"))
-
-
-_shards: dict = {}
-
-
-def _scorer(held, number: dict[str, int], k: int, shards: int):
-    name = uuid.uuid4().hex
+def sharded(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text, ...) with a column shard: the file that a row is read from (rows of other frames are as of one
+    file), cut by a hash of id and text as often as leaves SHARD_BYTES a shard, were the largest file's texts spread evenly.
+    This depends on the data alone, not on the splits, which may differ between scans."""
+    largest = documents.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-largest // SHARD_BYTES))))
+    return documents.withColumn("shard", F.xxhash64(F.input_file_name(), cut))
 
-    def score(batches):
-        if name not in _shards:  # a worker's tables, until it meets another shard
-            _shards.clear()
-            _shards[name] = Shard(held.value)
-        shard = _shards[name]
+
+def _keys(batch: pa.RecordBatch, number: dict[tuple[str, int], int]) -> np.ndarray:
+    """The number of each row's model, -1 where there is none. batch: ..., lang, part, text as the last columns."""
+    lang, part = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "part"))
+    return np.array([number.get(x, -1) for x in zip(lang, part)], np.int64)
+
+
+def asked(documents: DataFrame, number: dict[tuple[str, int], int]) -> DataFrame:
+    """shard, gram: the distinct n-grams of each shard of documents (shard, lang, part, text), with their models. A shard that
+    several tasks hold, or one task in several rounds, may give an n-gram more than once."""
+    small_batches(documents.sparkSession)
+
+    def ask(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        seen: dict[int, np.ndarray] = {}
+        size = 0
+
+        def out():
+            for at, arrays in held.items():
+                keys = np.unique(np.concatenate(arrays))
+                for i in range(0, len(keys), 1 << 16):
+                    part = keys[i : i + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(part)], ["shard", "gram"])
+            held.clear()
+
+        for batch in batches:
+            data, ends = spans(batch.column(3))
+            sizes = np.diff(ends)
+            mine = np.repeat(_keys(batch, number), sizes)
+            shards = batch.column(0).to_numpy()
+            whole = np.repeat(shards, sizes)
+            for a, b, g in windows(data, ends):
+                g = g | (mine[a:b].astype(np.uint64) << np.uint64(ORDER * BITS))
+                for at in np.unique(whole[a:b]):
+                    if at not in seen:
+                        if len(seen) == SEEN_SHARDS:
+                            seen.clear()
+                        seen[at] = np.full(SEEN, FREE)
+                    some = g[(whole[a:b] == at) & (mine[a:b] >= 0)]
+                    slot = (some * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEEN.bit_length() + 1)
+                    new = seen[at][slot] != some
+                    some = some[new]
+                    seen[at][slot[new]] = some
+                    some = np.unique(some)
+                    held.setdefault(int(at), []).append(some)
+                    size += len(some)
+            if size > HELD:
+                held.update({at: [np.unique(np.concatenate(arrays))] for at, arrays in held.items()})
+                size = sum(len(x[0]) for x in held.values())
+                if size > HELD // 2:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    return documents.select("shard", "lang", "part", "text").mapInArrow(ask, "shard bigint, gram bigint")
+
+
+def resolved(grams: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, logp: the interpolated log-probability of each of these n-grams of the highest order, seen or not. Each order in
+    turn is joined; what it does not hold adds the back-off weight of its context and goes on with its suffix."""
+    left = grams.select("gram", F.col("gram").alias("now"), F.lit(0.0).alias("sum"))
+    parts = []
+    for n in range(ORDER, 0, -1):
+        probs, backoff = made[n]
+        met = written(left.join(probs.withColumnRenamed("gram", "now"), "now", "left").select("gram", "now", "sum", "logp"))
+        parts.append(met.where("logp is not null").select("gram", (F.col("sum") + F.col("logp")).alias("logp")))
+        on = met.where("logp is null").withColumn("context", F.shiftright("now", BITS)).join(backoff.withColumnRenamed("gram", "context"), "context", "left")
+        left = on.select("gram", F.expr(_suffix("now", n)).alias("now"), (F.col("sum") + F.coalesce("logb", F.lit(0.0))).alias("sum"))
+    parts.append(left.select("gram", (F.col("sum") - float(np.log(SYMBOLS))).alias("logp")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """shard, rows: documents (shard, ...) as compressed Arrow streams, a shard's rows of a batch in each, to move few bytes."""
+    names = [c for c in documents.columns if c != "shard"]
+
+    def pack(batches):
         for batch in batches:
-            logp, n = [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total, size = 0.0, 0
-                for g in text_grams(text) if text and lang in number else ():
-                    if shards > 1:
-                        g = g[shard_of(g >> np.uint64(BITS), shards) == k]
-                    total += shard.score(g, number[lang])
-                    size += len(g)
-                logp.append(total)
-                n.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logp, pa.float64()), pa.array(n, pa.int64())], ["mark", "logp", "n"])
+            shards = batch.column("shard").to_numpy()
+            for at in np.unique(shards):
+                rows = batch.select(names).filter(pa.array(shards == at))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([int(at)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "rows"])
+
+    small_batches(documents.sparkSession)
+    return documents.mapInArrow(pack, "shard bigint, rows binary")
+
+
+def perplexities(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]], number: dict[tuple[str, int], int]) -> DataFrame:
+    """doc_id, lang, trusted, n, logp for each row of documents (doc_id, shard, lang, part, trusted, text): characters and
+    log-probability, null where there is no model or no text. Rows of a shard follow its log-probabilities through a task,
+    so that a task holds one shard's table and one batch of texts."""
+    grams = written(asked(documents, number))
+    answers = grams.join(resolved(grams.select("gram").distinct(), made), "gram")
+    kind = dict(documents.dtypes)["doc_id"]
+    told = answers.select("shard", "gram", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("binary").alias("rows"))
+    texts = packed(documents.select("shard", "doc_id", "lang", "part", "trusted", "text"))
+    texts = texts.select("shard", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("float").alias("logp"), "rows")
+    union = told.unionByName(texts).withColumn("doc", F.col("gram").isNull())
 
-    return score
+    def score(batches):
+        at, table, keys, values = None, None, [], []
+        for batch in batches:
+            edges = np.flatnonzero(np.diff(batch.column("shard").to_numpy())) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                one = batch.slice(a, b - a)
+                if not one.num_rows:
+                    continue
+                if one.column("shard")[0].as_py() != at:
+                    at, table, keys, values = one.column("shard")[0].as_py(), None, [], []
+                answers = one.filter(pc.invert(one.column("doc")))
+                if answers.num_rows:
+                    keys.append(answers.column("gram").to_numpy().view(np.uint64))
+                    values.append(answers.column("logp").to_numpy())
+                for blob in one.filter(one.column("doc")).column("rows"):
+                    if table is None:
+                        table = _table(keys, values)
+                        keys, values = [], []
+                    for docs in pa.ipc.open_stream(blob.as_buffer()):
+                        total, n = _scores(docs, _keys(docs, number), table)
+                        yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in ("doc_id", "lang", "trusted")), n, total], ["doc_id", "lang", "trusted", "n", "logp"])
+
+    return union.repartition("shard").sortWithinPartitions("shard", "doc").mapInArrow(score, f"doc_id {kind}, lang string, trusted boolean, n bigint, logp double")
+
+
+def _table(keys: list[np.ndarray], values: list[np.ndarray]) -> Table:
+    if not keys:
+        return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    found, first = np.unique(np.concatenate(keys), return_index=True)
+    return Table(found, np.concatenate(values)[first])
+
+
+def _scores(docs: pa.RecordBatch, model_of: np.ndarray, table: Table) -> tuple[pa.Array, pa.Array]:
+    """For each text its log-probability, null where there is no text or no model (model_of is -1), and its characters."""
+    data, ends = spans(docs.column("text"))
+    mine = np.repeat(model_of, np.diff(ends))
+    total, n = np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
+    for a, b, g in windows(data, ends):
+        known = mine[a:b] >= 0
+        met, logp = table.get(g[known] | (mine[a:b][known].astype(np.uint64) << np.uint64(ORDER * BITS)))
+        if not met.all():
+            raise RuntimeError("a row's shard was not the same in two scans")
+        each = np.zeros(b - a)
+        each[known] = logp
+        cut = np.clip(ends, a, b) - a
+        total += np.diff(np.concatenate(([0.0], np.cumsum(each)))[cut])
+        n += np.diff(np.concatenate(([0], np.cumsum((data[a:b] & 0xC0) != 0x80)))[cut])
+    return pa.array(total, pa.float64(), mask=(model_of < 0) | (n == 0)), pa.array(n)
 
 
 def classified(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, low: float = 0.002, high: float = 0.995) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, low, high, keep for each row of documents. trusted: the condition on labels
     that makes a document trusted; the default is quality = 1."""
-    ids = labels.where(F.col("quality") == 1 if trusted is None else trusted).select(F.col("doc_id").alias("i")).where("i is not null").distinct()
-    ids = written(ids)
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    docs = documents.select(F.col("doc_id"), F.coalesce(F.col("lang"), F.lit(UND)).alias("lang"), F.col("text"))
-    docs = docs.join(ids.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("i"), "left").drop("i")
-    docs = docs.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    good = docs.where("trusted and text is not null and text <> ''")
-    mark = F.to_json(F.struct("doc_id", "lang", "trusted", F.md5("text").alias("text"))).cast("binary").alias("mark")
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    scored = []
-    for k in range(FOLDS):
-        learned = good.where(fold != k)
-        languages = _languages(learned, "lang")
-        rows = written(model(counted(learned, languages)))
-        scored.append(written(perplexities(docs.where(fold == k).select(mark, "lang", "text"), rows, languages)))
-    summed_up = reduce(DataFrame.unionByName, scored)
-    told = F.from_json(F.col("mark").cast("string"), f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, trusted boolean, text string")
-    each = summed_up.select(told.alias("m"), "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), "copies")
-    bounds = each.where("m.trusted and perplexity is not null").groupBy(F.col("m.lang").alias("l")).agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
+    with scratch(documents.sparkSession) as keep:
+        ids = small(written(labels.where(F.col("quality") == 1 if trusted is None else trusted).select(F.col("doc_id").alias("i")).where("i is not null").distinct()))
+        part = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("part")
+        docs = documents.select("doc_id", F.coalesce(F.col("lang"), F.lit(UND)).alias("lang"), "text", part)
+        docs = sharded(docs)
+        docs = docs.join(ids.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("i"), "left").drop("i")
+        docs = docs.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        good = docs.where("trusted and text is not null and text <> ''")
+        number = models(good)
+        each = keep(written(perplexities(docs, model(counted(good, number)), number)))
+    each = each.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
+    bounds = each.where("trusted and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
     bounds = bounds.select("l", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    joined = each.join(F.broadcast(bounds), F.col("m.lang") == F.col("l"), "left")
-    keep = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull() & F.col("m.text").isNotNull() & (F.col("m.text") != F.md5(F.lit("").cast("binary"))))
-    rows = joined.select(F.col("m.doc_id").alias("doc_id"), F.col("m.lang").alias("lang"), F.col("n").alias("n_chars"), "perplexity", "low", "high", keep.alias("keep"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return rows.drop("copy")
+    joined = each.join(F.broadcast(bounds), F.col("lang") == F.col("l"), "left")
+    kept = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull() & (F.col("n") > 0))
+    return joined.select("doc_id", "lang", F.col("n").alias("n_chars"), "perplexity", "low", "high", kept.alias("keep"))

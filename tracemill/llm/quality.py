@@ -10,7 +10,7 @@ Documents are scored by joins. A shard of the documents is a file, or part of on
 its shards, which Spark makes distinct over all shards and joins with the model, order by order, those not yet met backing off
 to their suffixes. The log-probabilities go back to the shards that asked for them, where the texts meet them: per document
 the sum of count times log-probability. Nothing of the model passes through the driver, no table is broadcast that Spark has
-not found small, and documents are read in two passes whatever the model's size. An n-gram asked for by every shard is a hot
+not found small, and the passes over documents are a fixed few, whatever the model's size. An n-gram asked for by every shard is a hot
 key of the last join; its other side has one row a key, so AQE can split it.
 
 A document is kept if its perplexity (by character) lies between two quantiles of the trusted documents' perplexities in its

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, langid, packing, pii, quality, simhash, tokens, topk, toxicity, warc
+from tracemill.llm import alignment, decontam, langid, linededup, merkle, packing, pii, quality, simhash, tokens, topk, toxicity, warc
 from tracemill.llm.base import id_remainder, table
 
 
@@ -70,8 +70,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality, op3_warc, op4_token_counts, op5_pii, op6_simhash, op7_packing, op8_toxicity, op9_exact_top_k, op10_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_quality, op3_warc, op4_token_counts, op5_pii, op6_simhash, op7_packing, op8_toxicity, op9_exact_top_k, op10_decontamination,
+        op11_line_dedup, op12_merkle_manifest, op13_token_alignment)
 }
 
 ORACLE_SQL = {
@@ -92,6 +106,34 @@ ORACLE_SQL = {
             FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
         SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM
             (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT r, doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS i FROM d),
+        k AS (SELECT *, translate(regexp_replace(line, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+        j AS (SELECT k.*, last IS NOT NULL AND (doc_id IS NULL OR doc_id < last) AS gone FROM k LEFT JOIN f USING (key))
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY r""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc),
+        d AS (SELECT *, row_number() OVER () AS r, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 7 = 0 AS tampered FROM documents, t),
+        f AS (SELECT r, doc_id, lang, CAST(n_chars + CAST(coalesce(tampered, false) AS HUGEINT) AS VARCHAR) AS more,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS chars, coalesce(strlen(text) || ':' || text, '-') AS tail FROM d),
+        g AS (SELECT r, doc_id, coalesce('=' || lang, '') AS tree, sha256(head || chars || tail) AS leaf, sha256(head || coalesce(strlen(more) || ':' || more, '-') || tail) AS again FROM f),
+        n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM g),
+        up(tree, l, i, n, h) AS (SELECT tree, 0, i, n, leaf FROM n
+            UNION ALL SELECT tree, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, l, i // 2, n),
+        s AS (SELECT tree, l AS height, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+        top(l, i, n, h) AS (SELECT 0, i, n, h FROM s UNION ALL SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l, i // 2, n),
+        w(r, tree, l, i, n, proof, fold) AS (SELECT r, tree, 0, i, n, '', again FROM n
+            UNION ALL SELECT w.r, w.tree, w.l + 1, w.i // 2, (w.n + 1) // 2, proof || coalesce(h, ''), sha256(CASE WHEN w.i % 2 = 0 THEN fold || coalesce(h, '') ELSE h || fold END)
+                FROM w LEFT JOIN up u ON u.tree = w.tree AND u.l = w.l AND u.i = xor(w.i, 1) WHERE w.n > 1),
+        v(r, l, i, n, proof, fold) AS (SELECT w.r, 0, s.i, s.n, proof, fold FROM w JOIN s USING (tree) WHERE w.n = 1
+            UNION ALL SELECT v.r, v.l + 1, v.i // 2, (v.n + 1) // 2, proof || coalesce(h, ''), sha256(CASE WHEN v.i % 2 = 0 THEN fold || coalesce(h, '') ELSE h || fold END)
+                FROM v LEFT JOIN top u ON u.l = v.l AND u.i = xor(v.i, 1) WHERE v.n > 1)
+        SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+        FROM v JOIN n USING (r) JOIN s USING (tree), (SELECT h AS root FROM top WHERE n = 1) WHERE v.n = 1""",
     "op10_decontamination": r"""
         WITH w AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents
             UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),

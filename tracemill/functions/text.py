@@ -85,3 +85,34 @@ def run_on_sentences(text: Column, most: int = 40) -> Column:
 def dash_asides(text: Column) -> Column:
     """How often a long dash, or a hyphen between spaces, occurs."""
     return F.size(F.split(text, "—| - ", -1)) - 1
+
+
+def sentence_lengths(text: Column) -> Column:
+    """Words of each sentence (cut at . ! ?) that has any."""
+    return F.filter(F.transform(F.split(text, r"[.!?]+"), word_count), lambda n: n > 0)
+
+
+def spread(values: Column) -> Column:
+    """n, mean and sd (of a sample; null below two) of an array of numbers, in one pass (Welford's update)."""
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
+
+    done = lambda s: F.struct(s["n"].alias("n"), F.when(s["n"] > 0, s["mean"]).alias("mean"), F.when(s["n"] > 1, F.sqrt(s["m2"] / F.nullif(s["n"] - 1, F.lit(0)))).alias("sd"))
+    return F.aggregate(values, start, add, done)
+
+
+def style(text: Column, even: float = 0.3, listed: float = 0.3, least: int = 5) -> Column:
+    """Measures of a text's style (our own definitions): sentences, their mean length and sd in words, dashes a 1000 words, the
+    share of its non-empty lines that are list items, and whether sentences are uniform (sd under `even` of the mean, from `least`
+    sentences on) or lists overused (over `listed` of the lines)."""
+    held = F.filter(lines(text), lambda x: strip(x) != "")
+    items = F.size(F.filter(held, lambda x: x.rlike(r"^\s*([-*+•]|[0-9]+[.)])\s")))
+    s = spread(sentence_lengths(text))
+    return F.struct(
+        s["n"].alias("sentences"), s["mean"].alias("mean_words"), s["sd"].alias("sd_words"), (1000 * dash_asides(text) / F.nullif(word_count(text), F.lit(0))).alias("dashes"),
+        (items / F.nullif(F.size(held), F.lit(0))).alias("list_share"), ((s["n"] >= least) & F.coalesce(s["sd"] < even * s["mean"], F.lit(False))).alias("uniform"),
+        F.coalesce(items > listed * F.size(held), F.lit(False)).alias("lists_overused"),
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.operators.segments import PART, Segments
+
 
 def last_wins(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key: a grouped maximum (summed up in each task first), not a window over whole groups."""
@@ -18,31 +20,48 @@ def last_wins(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
 
 def running_best(runs: DataFrame, by: Sequence[str], order: Sequence[str], metric: str, higher: bool = False) -> DataFrame:
     """runs with the best before each and whether the run is better; equal is not better, the first is."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    best = (F.max if higher else F.min)(metric).over(before)
-    rows = runs.withColumn("best_before", best)
+    seg, least = Segments(runs, by, order), "max" if higher else "min"
+    within = getattr(F, least)(metric).over(seg.window().rowsBetween(Window.unboundedPreceding, -1))
+    rows = seg.carry(seg.rows.withColumn("best_before", within), _carried=(getattr(F, least)(metric), least))
+    rows = rows.withColumn("best_before", (F.greatest if higher else F.least)("best_before", "_carried")).drop("_carried", PART)
     better = F.col(metric) > F.col("best_before") if higher else F.col(metric) < F.col("best_before")
     return rows.withColumn("keep", F.col("best_before").isNull() | better)
 
 
 def budget_stop(runs: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, budget: float, reserve: float = 0.0) -> DataFrame:
     """runs with what is spent up to each, and whether it may run: the sum stays within the budget less a reserve."""
-    spent = F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return runs.withColumn("spent", spent).withColumn("may_run", F.col("spent") <= budget - reserve)
+    seg = Segments(runs, by, order)
+    return seg.summed(seg.rows, F.col(cost), "spent").drop(PART).withColumn("may_run", F.col("spent") <= budget - reserve)
 
 
 def streaks(runs: DataFrame, by: Sequence[str], order: Sequence[str], failed: Column, least: int = 3) -> DataFrame:
-    """by, first and last of the order columns, length: runs of `least` or more failures in a row."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = runs.select(*by, F.struct(*order).alias("at"), F.coalesce(failed, F.lit(False)).alias("failed"), F.row_number().over(w).alias("i"))
-    inside = rows.where("failed").withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*by).orderBy("at")))
+    """by, first and last of the order columns, length: runs of `least` or more failures in a row. A failure's number less the
+    failures up to it is the same within a streak, however many segments it spans."""
+    rows = runs.select(*by, F.struct(*order).alias("at"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    seg = Segments(rows, by, ["at"])
+    numbered = seg.summed(seg.numbered("i"), F.col("failed").cast("bigint"), "f")
+    inside = numbered.where("failed").withColumn("island", F.col("i") - F.col("f"))
     found = inside.groupBy(*by, "island").agg(F.count("*").alias("length"), F.min("at").alias("first"), F.max("at").alias("last"))
     return found.where(F.col("length") >= least).select(*by, *[F.col(f"first.{c}").alias(f"first_{c}") for c in order], *[F.col(f"last.{c}").alias(f"last_{c}") for c in order], "length")
 
 
 def nth_run(runs: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """runs with their number within the key, and whether it is within the cap (runs per idea, tries per experiment)."""
-    return runs.withColumn("run", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("allowed", F.col("run") <= most)
+    return Segments(runs, by, order).numbered("run").drop(PART).withColumn("allowed", F.col("run") <= most)
+
+
+def token_bucket(calls: DataFrame, by: Sequence[str], at: str, order: Sequence[str], rate: float, size: float) -> DataFrame:
+    """calls with `tokens`, what the key's bucket holds after each, and `wait_s`, how long the call has to wait for its token
+    (our own definition). A bucket starts full with `size` tokens, gains `rate` a second up to that, and each call takes one, on
+    credit if need be. Unrolled, that is rate * t - i + the least of size - rate * t + i - 1 over the calls so far (t seconds,
+    i calls of the key): a running minimum, so calls of a key may be scanned in segments. A null time gives nulls."""
+    seg = Segments(calls.where(F.col(at).isNotNull()), by, [at, *order])
+    rows = seg.numbered("_i").withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")) / 1e6 * rate)
+    low = F.lit(float(size)) - F.col("_t") + F.col("_i") - 1
+    rows = rows.withColumn("_low", low).withColumn("_within", F.min("_low").over(seg.window().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = seg.carry(rows, _carried=(F.min("_low"), "min"))
+    rows = rows.withColumn("tokens", F.col("_t") - F.col("_i") + F.least("_within", "_carried"))
+    return rows.withColumn("wait_s", F.greatest(F.lit(0.0), -F.col("tokens")) / rate).drop("_i", "_t", "_low", "_within", "_carried", PART)
 
 
 def weekly_trend(sessions: DataFrame, at: str, success: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracemill.functions.text import lines, truncate_line, word_count
 from tracemill.operators.rules import confidence_tier
+from tracemill.operators.segments import PART, Segments
+from tracemill.shared import stored
 
 # The phrase lexicon. category key, severity, phrase to look for, confidence.
 LEXICON = [
@@ -113,6 +115,35 @@ def slide_count(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return texts.select(key, F.size(F.filter(lines(F.col(text)), lambda x: x == "---")).alias("separators")).withColumn("slides", F.col("separators") + 1)
 
 
+#: Imports within imports that are followed.
+DEPTH = 32
+
+
+def page_offsets(decks: DataFrame, root: str, deck: str = "deck", text: str = "text") -> DataFrame:
+    """deck, place (positions of the imports that lead to it), first_page and last_page of every import below the deck `root`
+    and of the root itself. A deck is parts between lines of three dashes; a part with a line `src: name` stands for the
+    deck of that name, any other is one page. Imports are walked level by level, one join each; pages are numbered along the
+    order of the positions, by ranges (see segments). An import of an unknown deck has no pages and is left out, as is one of a
+    deck without pages; imports that run in a circle raise ValueError."""
+    part = F.posexplode(F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n")), r"\n---(?=\n)", -1))
+    parts = decks.select(F.col(deck).alias("owner"), part.alias("at", "part"))
+    parts = parts.select("owner", "at", F.nullif(F.regexp_extract("part", r"(?m)^src:[ \t]*(\S+)", 1), F.lit("")).alias("src"))
+    level = parts.where(F.col("owner") == root).select(F.array("at").alias("path"), F.array(F.col("owner")).alias("owners"), "src")
+    pages, depth = level.where("src is null"), 0
+    imports = stored(level.where("src is not null"))
+    while imports.take(1):
+        depth += 1
+        if depth > DEPTH:
+            raise ValueError(f"imports are nested more than {DEPTH} deep, or run in a circle")
+        below = imports.join(parts.withColumnRenamed("src", "next"), F.col("src") == F.col("owner"))
+        level = stored(below.select(F.concat("path", F.array("at")).alias("path"), F.concat("owners", F.array("owner")).alias("owners"), F.col("next").alias("src")))
+        pages = pages.unionByName(level.where("src is null"))
+        imports = level.where("src is not null")
+    numbered = Segments(pages.select("path", "owners"), [], ["path"]).numbered("page")
+    each = numbered.select("page", F.explode(F.transform("owners", lambda o, i: F.struct(o.alias("deck"), F.slice("path", F.lit(1), i).alias("place")))).alias("o"))
+    return each.groupBy("o.deck", "o.place").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
 def tail(rows: DataFrame, order: str, n: int = 50) -> DataFrame:
     """The last n rows, in order."""
     return rows.orderBy(F.desc(order)).limit(n).orderBy(order)
@@ -123,5 +154,18 @@ def sequence_of_words(text: Column) -> Column:
 
 
 def moving_average(rows: DataFrame, by: Sequence[str], order: str, value: str, width: int) -> DataFrame:
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - width, 0)
-    return rows.withColumn("moving_average", F.avg(value).over(frame))
+    """rows with the mean of value over each row and the width - 1 before it. Where a key is cut into segments, a segment also
+    reads the last width - 1 rows before it."""
+    seg = Segments(rows, by, [order])
+    frame = seg.window().rowsBetween(1 - width, 0)
+    if not seg.cut:
+        return seg.rows.withColumn("moving_average", F.avg(value).over(frame)).drop(PART)
+    numbered = seg.numbered("_i").withColumn("_lent", F.lit(False))
+    parts = numbered.where(F.col(PART) > 0).groupBy(*by, PART).agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    parts = F.broadcast(parts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col(PART).alias("_later"), "_first", "_last"))
+    same = lambda more: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], more)
+    ends = numbered.join(parts.drop("_first"), same(F.col(PART) == F.col("_later"))).where(F.col("_i") > F.col("_last") - (width - 1)).select(*numbered.columns)
+    lent = ends.join(parts.drop("_last"), same((F.col(PART) < F.col("_later")) & (F.col("_i") > F.col("_first") - width)))
+    lent = lent.withColumn(PART, F.col("_later")).withColumn("_lent", F.lit(True)).select(*numbered.columns)
+    means = numbered.unionByName(lent).withColumn("moving_average", F.avg(value).over(frame))
+    return means.where("not _lent").drop(PART, "_i", "_lent")

@@ -337,7 +337,7 @@ def failure_streaks(spark, sf_dir):
 @query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS run, row_number() OVER w <= 3 AS allowed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def runs_per_idea(spark, sf_dir):
     """W10 W12"""
-    return journal.nth_run(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", "run", "allowed")
+    return journal.nth_run(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", F.col("run").cast("int").alias("run"), "allowed")
 
 
 @query("""WITH j AS (SELECT p_partkey % 1000 AS s, p_size AS c, CASE p_size % 3 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size ELSE 0 END AS m, p_size % 4 AS g FROM part),
@@ -578,3 +578,172 @@ def calibration_by_bin(spark, sf_dir):
 def status_tally(spark, sf_dir):
     """S17 A16"""
     return journal.status_tally(_t(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+# Distribution functions in SQL, independent of the library's: Simpson's rule over what is left of the density.
+_POINTS = "range(0, 4001)"
+_W = "CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t: with t = sqrt(df) tan(x), the density is a power of cos(x)."""
+    low = f"atan(abs({t}) / sqrt({df}))"
+    step = f"((least(pi() / 2, {low} + 14 / sqrt({df})) - {low}) / 4000)"
+    total = f"list_sum(list_transform({_POINTS}, lambda i: {_W} * exp(({df} - 1) * ln(greatest(cos({low} + i * {step}), 1e-300))))) * {step} / 3"
+    return f"(2 * {total} * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - lgamma(0.5)))"
+
+
+def _chi_p(x: str, df: str) -> str:
+    """Upper tail of chi-square, over its root."""
+    step = f"((sqrt({df}) + 14) / 4000)"
+    at = f"greatest(sqrt({x}) + i * {step}, 1e-300)"
+    total = f"list_sum(list_transform({_POINTS}, lambda i: {_W} * exp(({df} - 1) * ln({at}) - {at} * {at} / 2))) * {step} / 3"
+    return f"(2 * {total} / exp({df} / 2.0 * ln(2) + lgamma({df} / 2.0)))"
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS na, count(*) FILTER (l_linestatus = 'O') AS nb, avg(l_quantity) FILTER (l_linestatus = 'F') AS ma, avg(l_quantity) FILTER (l_linestatus = 'O') AS mb,
+    var_samp(l_quantity) FILTER (l_linestatus = 'F') / count(*) FILTER (l_linestatus = 'F') AS va, var_samp(l_quantity) FILTER (l_linestatus = 'O') / count(*) FILTER (l_linestatus = 'O') AS vb FROM lineitem GROUP BY 1),
+    t AS (SELECT *, (ma - mb) / sqrt(va + vb) AS t, (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM s)
+    SELECT l_returnflag, na, nb, round(ma - mb, 9) AS diff, round(t, 9) AS t, round(df, 4) AS df, round({_t_p('t', 'df')}, 9) AS p, round(ma - mb - 1.96 * sqrt(va + vb), 9) AS ci_low, round(ma - mb + 1.96 * sqrt(va + vb), 9) AS ci_high FROM t""")
+def t_test(spark, sf_dir):
+    """A35 (own definition)"""
+    rows = stats.t_test(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity", "F", "O").drop("ma", "mb")
+    return _rounded(_rounded(rows, "diff", "t", "p", "ci_low", "ci_high", digits=9), "df", digits=4)
+
+
+@query(f"""WITH {_PAIRED}, t AS (SELECT n, m, m / se AS t, CAST(n - 1 AS DOUBLE) AS df FROM a) SELECT n, round(m, 9) AS mean_diff, round(t, 9) AS t, df, round({_t_p('t', 'df')}, 9) AS p FROM t""")
+def paired_t_test(spark, sf_dir):
+    """A35 A19 (own definition)"""
+    return _rounded(stats.paired_t_test(_t(spark, sf_dir, "events"), "event_type", "user_id", "value", "click", "purchase"), "mean_diff", "t", "p", digits=9)
+
+
+@query(f"""WITH o AS (SELECT user_id % 7 AS a, event_type AS b, count(*) AS o FROM events GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS rb FROM o),
+    c AS (SELECT CAST(sum(o) AS BIGINT) AS n, sum(o) * sum(o * o / (ra * rb)) - sum(o) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM m)
+    SELECT n, round(x, 6) AS chi_square, df, round({_chi_p('x', 'df')}, 9) AS p FROM c""")
+def chi_square_test(spark, sf_dir):
+    """A35 (own definition)"""
+    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("a"), F.col("event_type").alias("b"))
+    return _rounded(_rounded(stats.chi_square_test(rows, "a", "b"), "chi_square"), "p", digits=9)
+
+
+@query(f"""WITH c AS (SELECT event_type, count(*) AS n, corr(value, user_id) AS r FROM events GROUP BY 1), t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
+    SELECT event_type, n, round(r, 9) AS r, round(t, 9) AS t, df, round({_t_p('t', 'df')}, 9) AS p FROM t""")
+def correlation_test(spark, sf_dir):
+    """A35 (own definition)"""
+    return _rounded(stats.correlation_test(_t(spark, sf_dir, "events"), ["event_type"], "value", "user_id"), "r", "t", "p", digits=9)
+
+
+_TAIL = "list_sum(list_transform(range({0}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({1}) + (n - i) * ln(1 - {1}))))"
+
+
+@query(f"""WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS k FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1),
+    b AS (SELECT *, list_reduce(range(60), lambda s, _: CASE WHEN {_TAIL.format('0, k + 1', '(s[1] + s[2]) / 2')} > 0.025 THEN [(s[1] + s[2]) / 2, s[2]] ELSE [s[1], (s[1] + s[2]) / 2] END, [CAST(0 AS DOUBLE), 1]) AS h,
+        list_reduce(range(60), lambda s, _: CASE WHEN {_TAIL.format('k, n + 1', '(s[1] + s[2]) / 2')} > 0.025 THEN [s[1], (s[1] + s[2]) / 2] ELSE [(s[1] + s[2]) / 2, s[2]] END, [CAST(0 AS DOUBLE), 1]) AS l FROM c)
+    SELECT lang, n, k, round(k / n, 9) AS share, round(CASE WHEN k = 0 THEN 0 ELSE (l[1] + l[2]) / 2 END, 9) AS low, round(CASE WHEN k = n THEN 1 ELSE (h[1] + h[2]) / 2 END, 9) AS high FROM b""")
+def share_interval(spark, sf_dir):
+    """A27"""
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("good"))
+    return _rounded(stats.share_interval(rows, ["lang"], F.col("good")), "share", "low", "high", digits=9)
+
+
+@query(f"""WITH v AS (SELECT l_returnflag, l_linestatus = 'F' AS a, l_discount * 100 + l_quantity % 7 AS x FROM lineitem WHERE l_linestatus IN ('F', 'O')),
+    r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY x) + (count(*) OVER (PARTITION BY l_returnflag, x) - 1) / 2 AS rank, count(*) OVER (PARTITION BY l_returnflag, x) AS k FROM v),
+    s AS (SELECT l_returnflag, CAST(count(*) FILTER (a) AS DOUBLE) AS na, CAST(count(*) FILTER (NOT a) AS DOUBLE) AS nb, coalesce(sum(rank) FILTER (a), 0) AS ra, sum(CAST(k AS DOUBLE) * k - 1) AS ties FROM r GROUP BY 1),
+    z AS (SELECT *, ra - na * (na + 1) / 2 AS u, (ra - na * (na + 1) / 2 - na * nb / 2) / nullif(sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 0) AS z FROM s)
+    SELECT l_returnflag, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, u, round(z, 9) AS z, CASE WHEN z IS NOT NULL THEN round({_chi_p('z * z', '1')}, 9) END AS p FROM z""")
+def mann_whitney(spark, sf_dir):
+    """A35 (own definition)"""
+    rows = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_discount") * 100 + F.col("l_quantity") % 7).alias("x"))
+    return _rounded(stats.mann_whitney(rows, ["l_returnflag"], "l_linestatus", "x", "F", "O"), "z", "p", digits=9)
+
+
+@query("""WITH u AS (SELECT user_id || ':' || event_type AS unit, event_type = 'click' AS a, avg(value) AS v FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id, event_type HAVING avg(value) IS NOT NULL),
+    n AS (SELECT count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb, avg(v) FILTER (a) - avg(v) FILTER (NOT a) AS diff FROM u),
+    d AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY md5('42:' || r || ':' || unit), unit) <= na AS first FROM u, n, (SELECT unnest(range(1, 201)) AS r)),
+    e AS (SELECT r, avg(v) FILTER (first) - avg(v) FILTER (NOT first) AS d FROM d GROUP BY r)
+    SELECT na, nb, round(any_value(diff), 6) AS diff, count(*) AS replicates, count(*) FILTER (abs(d) >= abs(diff) * (1 - 1e-9)) AS as_large, round((count(*) FILTER (abs(d) >= abs(diff) * (1 - 1e-9)) + 1) / 201, 9) AS p FROM e, n GROUP BY na, nb""")
+def permutation_test(spark, sf_dir):
+    """A34 (own definition)"""
+    units = stats.collapsed(_t(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase")), ["event_type"], "user_id", "value")
+    return _rounded(stats.permutation_test(units, ["user_id", "event_type"], "event_type", "value", "click", "purchase"), "diff", "p", digits=6).withColumn("p", F.round("p", 9))
+
+
+@query("""WITH p AS (SELECT lang, source, count(n_chars) AS n, sum(CAST(n_chars AS DOUBLE)) AS s FROM documents GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS an, sum(s) OVER (PARTITION BY lang) AS a FROM p)
+    SELECT lang, source, n, round(s / n, 6) AS mean, round(a / an, 6) AS group_mean, round((a - s) / nullif(an - n, 0), 6) AS mean_without, CASE WHEN (a / an > 3500) = ((a - s) / nullif(an - n, 0) > 3500) THEN 'ROBUST' ELSE 'FRAGILE' END AS verdict FROM w""")
+def sensitivity_subgroups(spark, sf_dir):
+    """A23"""
+    rows = _t(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    return _rounded(stats.subgroups(rows, ["lang"], "source", "n_chars", 3500.0), "mean", "group_mean", "mean_without")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS model, l_linestatus AS condition, l_partkey AS q, avg(l_discount) AS x FROM lineitem GROUP BY ALL),
+    g AS (SELECT model, condition, q, avg(x) AS x, grouping(model) AS gm, grouping(condition) AS gc FROM c GROUP BY GROUPING SETS ((q), (model, q), (model, condition, q)))
+    SELECT CASE WHEN gm = 1 THEN 'all' WHEN gc = 1 THEN 'model' ELSE 'model x condition' END AS level, model, condition, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(x)), 6) AS se,
+    CASE WHEN count(x) > 5 THEN round(avg(x) - 1.96 * stddev_samp(x) / sqrt(count(x)), 6) END AS ci_low, CASE WHEN count(x) > 5 THEN round(avg(x) + 1.96 * stddev_samp(x) / sqrt(count(x)), 6) END AS ci_high FROM g GROUP BY gm, gc, model, condition""")
+def levels(spark, sf_dir):
+    """A32 (own definition)"""
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("condition"), F.col("l_partkey").alias("q"), "l_discount")
+    return _rounded(stats.levels(rows, [[], ["model"], ["model", "condition"]], "q", "l_discount"), "mean", "se", "ci_low", "ci_high")
+
+
+@query("""WITH g AS (SELECT n_chars, count(*) FILTER (toxic = 1) AS p, count(*) AS k FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL GROUP BY 1),
+    w AS (SELECT n_chars, sum(p) OVER (ORDER BY n_chars DESC) AS tp, sum(k) OVER (ORDER BY n_chars DESC) AS called, sum(p) OVER () AS all_p FROM g)
+    SELECT n_chars, round(tp / called, 9) AS precision, round(tp / nullif(all_p, 0), 9) AS recall FROM w""")
+def precision_recall(spark, sf_dir):
+    """A36 (own definition)"""
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("n_chars", (F.col("toxic") == 1).alias("p"))
+    return _rounded(stats.precision_recall(rows, [], "n_chars", "p"), "precision", "recall", digits=9)
+
+
+@query("""WITH c AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 * 0.0001 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+    b AS (SELECT *, t - i + min(5 - t + i - 1) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS tokens FROM c)
+    SELECT user_id, event_id, round(tokens, 3) AS tokens, round(greatest(0, -tokens) / 0.0001, 0) AS wait_s FROM b""")
+def token_bucket(spark, sf_dir):
+    """R7 (own definition)"""
+    rows = journal.token_bucket(_t(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", ["event_id"], 0.0001, 5.0)
+    return rows.select("user_id", "event_id", F.round("tokens", 3).alias("tokens"), F.round("wait_s", 0).alias("wait_s"))
+
+
+_FLAG = lambda marks: " OR ".join(f"contains(t, '{m}')" for m in marks)
+_SAID = {
+    "refusal": ["i cannot", "i can''t", "i''m sorry", "i apologize", "as an ai", "as a language model", "i''m not able to", "i must decline", "i''m unable to", "it would be inappropriate"],
+    "eval_aware": ["this is a test", "being evaluated", "benchmark", "being tested", "being assessed", "evaluation", "appears to be a", "seems like a test"],
+    "error": ["error:", "traceback", "exception", "permission denied", "timeout", "rate limit", "connection refused", "404", "500", "oom", "out of memory", "killed"],
+}
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}\x0b\x1c-\x1f\x85]+|[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '', 'g') AS x FROM conversations), l AS (SELECT *, lower(x) AS t, length(x) AS n FROM s),
+    m AS (SELECT role, quantile_cont(n, 0.5) AS expected FROM l GROUP BY role)
+    SELECT conv_id, turn, l.role, n AS n_chars, expected, {_FLAG(_SAID["refusal"])} AS refusal, {_FLAG(_SAID["eval_aware"])} AS eval_aware, {_FLAG(_SAID["error"])} AS error,
+    ends_with(t, '[truncated]') OR ends_with(t, '...') OR (NOT regexp_matches(x, '[.!?:;"''`)\]}}]$') AND n < 0.5 * expected) AS truncated FROM l JOIN m ON l.role IS NOT DISTINCT FROM m.role""")
+def red_flags(spark, sf_dir):
+    """P32"""
+    turns = _t(spark, sf_dir, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    rows = checks.red_flags(turns, ["role"], "id", "text")
+    return rows.select("id.conv_id", "id.turn", "role", F.col("n_chars").cast("bigint").alias("n_chars"), "expected", "refusal", "eval_aware", "error", "truncated")
+
+
+@query("""WITH s AS (SELECT n_nationkey, any_value(n_regionkey) AS r, count(s_suppkey) AS k FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+    g AS (SELECT *, dense_rank() OVER (ORDER BY r) AS titles, sum(k + 1) OVER (ORDER BY r, n_nationkey) AS upto FROM s),
+    h AS (SELECT n_nationkey, r, CAST(1 + titles + upto - k AS BIGINT) AS first_page, CAST(1 + titles + upto AS BIGINT) AS last_page FROM g)
+    SELECT 'nation-' || n_nationkey AS deck, first_page, last_page FROM h UNION ALL SELECT 'region-' || r, min(first_page) - 1, max(last_page) FROM h GROUP BY r UNION ALL SELECT 'all', 1, max(last_page) FROM h""")
+def page_offsets(spark, sf_dir):
+    """A43"""
+    nations = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_regionkey").agg(F.count("s_suppkey").cast("int").alias("k"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}-"), F.col(c).cast("string"))
+    deck = lambda title, imports: F.concat_ws("\n---\n", F.lit(title), F.transform(F.array_sort(F.collect_list(imports)), lambda x: F.concat(F.lit("src: "), x["deck"])))
+    low = nations.select(name("nation", "n_nationkey").alias("deck"), F.concat(F.lit("a nation"), F.repeat(F.lit("\n---\na supplier"), F.col("k"))).alias("text"))
+    mid = nations.groupBy("n_regionkey").agg(deck("a region", F.struct("n_nationkey", name("nation", "n_nationkey").alias("deck"))).alias("text")).select(name("region", "n_regionkey").alias("deck"), "text")
+    top = nations.select("n_regionkey").distinct().agg(deck("all", F.struct("n_regionkey", name("region", "n_regionkey").alias("deck"))).alias("text")).select(F.lit("all").alias("deck"), "text")
+    return lines.page_offsets(low.unionByName(mid).unionByName(top), "all").select("deck", "first_page", "last_page")
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> ''))), lambda n: n > 0) AS s,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM documents WHERE text IS NOT NULL),
+    m AS (SELECT *, list_avg(s) AS mean, CASE WHEN len(s) > 1 THEN list_stddev_samp(s) END AS sd, len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*+•]|[0-9]+[.)])\s'))) AS items FROM w)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, round(mean, 6) AS mean_words, round(sd, 6) AS sd_words, round(1000 * (len(regexp_split_to_array(text, '—| - ')) - 1) / nullif(words, 0), 6) AS dashes,
+    round(items / nullif(len(l), 0), 6) AS list_share, len(s) >= 5 AND coalesce(sd < 0.3 * mean, false) AS uniform, coalesce(items > 0.3 * len(l), false) AS lists_overused FROM m""")
+def style(spark, sf_dir):
+    """A42 (own definition)"""
+    rows = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.style(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return _rounded(rows, "mean_words", "sd_words", "dashes", "list_share")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,16 +170,91 @@ def corpus_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
-    """Append (key, response) records; readers take the last of a key (journal.last_wins)."""
+    """Append (key, response) records; readers take the last of a key."""
     entries.select("key", "response").write.mode("append").json(path)
 
 
+_CACHE = "key string, response string"
+
+
+def _folder(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def _generation(spark: SparkSession, path: str) -> int:
+    """The number of the newest generation; 0 if there is none."""
+    fs, folder = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return max([int(n[5:]) for n in names if n.startswith("_gen-")], default=0)
+
+
+def _cache_rows(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """key, response, order, file of a generation and of the appended files that it does not hold. What was appended since
+    comes after the generation; within it the newest file counts."""
+    order = lambda later, at, file, pos: F.struct(F.lit(later).alias("later"), at.cast("timestamp").alias("at"), file.cast("string").alias("file"), pos.cast("bigint").alias("pos")).alias("order")
+    file, none = F.col("_metadata.file_name"), F.lit(None)
+    loose = spark.read.schema(_CACHE).json(path).select("*", order(1, F.col("_metadata.file_modification_time"), file, F.monotonically_increasing_id()), file.alias("file"))
+    if not generation:
+        return loose
+    held = f"{path}/_gen-{generation}"
+    loose = loose.join(spark.read.schema("file string").json(f"{held}/merged"), "file", "left_anti").select(loose.columns)
+    return loose.unionByName(spark.read.schema(_CACHE).json(f"{held}/entries").select("*", order(0, none, none, none), none.cast("string").alias("file")))
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.max_by("response", "order").alias("response"))
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache's entries: of each key the record in the newest file."""
+    """The cache's entries: of each key the last record. Two records that one append gives to a key are in no order."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], "key string, response string")
-    rows = spark.read.schema("key string, response string").json(path).select("*", F.col("_metadata.file_modification_time").alias("at"), F.monotonically_increasing_id().alias("pos"))
-    return rows.groupBy("key").agg(F.max_by("response", F.struct("at", "pos")).alias("response"))
+        return spark.createDataFrame([], _CACHE)
+    return _last(_cache_rows(spark, path, _generation(spark, path)))
+
+
+def compact_cache(spark: SparkSession, path: str, before_switch: Callable[[], None] = lambda: None) -> int:
+    """Merge the cache into its next generation, and return that one's number. It is written aside, with the names of the
+    files that went in, and becomes visible by one rename: a reader sees the old generation with all appended files, or the new
+    one with those that came later. An append meanwhile is in neither list and stays. What a generation replaced is
+    removed by the compaction after it, so readers that began before the switch can end. Of two compactions at a time
+    the second fails with ValueError and changes nothing. before_switch is called before the rename, for tests."""
+    fs, folder = _folder(spark, path)
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    now = _generation(spark, path)
+    if now:
+        for row in spark.read.schema("file string").json(f"{path}/_gen-{now}/merged").toLocalIterator():
+            fs.delete(at(row["file"]), False)
+        fs.delete(at(f"_gen-{now - 1}"), True)
+    names = [f.getPath().getName() for f in fs.listStatus(folder) if f.isFile()]
+    merged = spark.createDataFrame([(n,) for n in names if n[0] not in "._"], "file string")
+    rows = _cache_rows(spark, path, now)
+    inside = rows.join(merged, "file", "left_semi").select(rows.columns).unionByName(rows.where("file is null"))
+    aside = f"_new-{uuid.uuid4().hex}"
+    _last(inside).write.json(f"{path}/{aside}/entries")
+    merged.coalesce(1).write.json(f"{path}/{aside}/merged")
+    before_switch()
+    if fs.exists(at(f"_gen-{now + 1}")) or not fs.rename(at(aside), at(f"_gen-{now + 1}")):
+        fs.delete(at(aside), True)
+        raise ValueError(f"{path} was compacted meanwhile")
+    return now + 1
+
+
+def audit_sink(found: DataFrame, path: str, checkpoint: str, phase: str, at: Column, name: str = "audit", **more):
+    """Append a stream of events() as audit rows (see audit_rows) below path: JSON lines in records/, and the human lines of ENDs as
+    text in human/. A batch has folders named by the stream and its number, which a replay of the batch writes over, so nothing is
+    written twice, whichever of the two was whole when the job was lost. Runs until all that is there is done."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        made = audit_rows(rows, phase, at, **more)
+        made.select("ts", "exit", "cmd", "cwd").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/records/stream={name}/batch={number}")
+        made.where("human is not null").select("human").write.mode("overwrite").text(f"{path}/human/stream={name}/batch={number}")
+
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ts string, exit int, cmd string, cwd string, stream string, batch bigint").json(f"{path}/records")
 
 
 # What a run's specification must state, and what it should.

@@ -63,3 +63,34 @@ def monitored_runs(runs: DataFrame, budget: float, most_failures: int = 3, key:
     return runs.select(key, "ts", F.col("cost").cast("double").alias("cost"), "ok").groupBy(key).applyInPandasWithState(
         update, f"{key} {kind}, runs bigint, spent double, failures int, stop boolean", "spent double, failures int, runs bigint", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def token_bucket_stream(calls: DataFrame, by: str, at: str, order: str, rate: float, size: float):
+    """journal.token_bucket over a stream, with transformWithState: by, at, order, tokens, wait_s for each call as it comes. A key's
+    state is two numbers, the calls so far and the least of the running minimum; a key's calls of one trigger are put in
+    order together, so a trigger's size bounds them (maxFilesPerTrigger). A call that comes in a later trigger than a younger one
+    counts as made after it. Calls without a time are left out. Needs the RocksDB state store provider."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class Bucket(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("bucket", "calls bigint, low double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = pd.concat(list(rows)).sort_values([at, order], kind="stable")
+            before, low = self.state.get() if self.state.exists() else (0, np.inf)
+            i = before + 1 + np.arange(len(held))
+            t = held[at].astype("datetime64[us]").astype("int64").to_numpy() / 1e6 * rate
+            lows = np.minimum(np.minimum.accumulate(size - t + i - 1), low)
+            self.state.update((int(i[-1]), float(lows[-1])))
+            tokens = t - i + lows
+            yield pd.DataFrame({by: held[by], at: held[at], order: held[order], "tokens": tokens, "wait_s": np.maximum(0.0, -tokens) / rate})
+
+        def close(self) -> None:
+            pass
+
+    rows = calls.select(by, F.col(at).cast("timestamp_ntz").alias(at), order).where(F.col(at).isNotNull())
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(by).transformWithStateInPandas(Bucket(), f"{by} {kinds[by]}, {at} {kinds[at]}, {order} {kinds[order]}, tokens double, wait_s double", "append", "none")

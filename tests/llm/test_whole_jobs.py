@@ -87,3 +87,54 @@ def test_warc_heads_of_any_length(noisy, payload):
         got = [reader._row(h, b) for h, b in read(warc.Stream(io.BytesIO(blob)), lambda h: (True, payload))]
         assert [x[2] for x in got] == [url, None, "u"] and [x[6] for x in got] == [9000] * 3
         assert [x[8] for x in got] == ([b"p" * 9000] * 3 if payload else [None] * 3)
+
+
+def crowd(seed, groups, each, changed):
+    """Texts of 100 words, of which `changed` are replaced in each copy."""
+    r = random.Random(seed)
+    out = []
+    for g in range(groups):
+        root = [f"g{g}w{r.randrange(10**6)}" for _ in range(100)]
+        for c in range(each):
+            made = list(root)
+            for k in r.sample(range(100), changed):
+                made[k] = f"own{g}x{c}x{k}"
+            out.append(" ".join(made))
+    return out
+
+
+def pairs_tried(spark, monkeypatch, texts):
+    """Components of the texts, and the candidate pairs that were compared."""
+    tried, plain = [], simhash.written
+
+    def counting(df):
+        out = plain(df)
+        if out.columns == ["a", "b"]:
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    roots = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    monkeypatch.setattr(simhash, "written", plain)
+    return [roots[k] for k in range(len(texts))], sum(tried)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_a_crowd_that_is_alike_but_not_near_makes_no_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "COMMON", 10**9)  # no shingle is common from the start
+    monkeypatch.setattr(simhash, "MOST_LATE", most)
+    tried = []
+    for g in (150, 300):
+        roots, n = pairs_tried(spark, monkeypatch, crowd(g, 1, g, 4))
+        assert roots == list(range(g))
+        tried.append(n)
+    assert max(tried) <= 300  # all pairs would be 11,175 and 44,850
+
+
+def test_crowds_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 10**9)
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    texts = [*crowd(1, 3, 30, 1), *crowd(2, 3, 30, 2), *crowd(3, 2, 30, 4), None, "", "a b c"]
+    roots, _ = pairs_tried(spark, monkeypatch, texts)
+    assert roots == jaccard_groups(texts)

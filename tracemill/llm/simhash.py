@@ -37,8 +37,11 @@ BALL = 1 + 64 + 64 * 63 // 2
 DENSE = BALL
 #: Fingerprints in a task that gives each its 64 bucket keys.
 NODES_A_TASK = 16384
-#: Rows of the sample that tells common shingles, how many of them make one common, and the most that are broadcast.
+#: Rows of the sample that tells common shingles, how many of them make one common, and the most that are taken from it.
 SAMPLE, COMMON, MOST_COMMON = 8192, 4, 1 << 17
+#: Sets that share a shingle of their prefixes from which on it is moved to the end of the order, and the most such shingles
+#: that are broadcast; more meet the sets in a join.
+CROWD, MOST_LATE = 32, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -93,7 +96,7 @@ def _pair(x: str, y: str, key: str) -> str:
     upto = lambda k, n: f"shiftrightunsigned({_ring(z, str(STARTS[k]))}, {64 - sum((WIDTHS * 2)[k : k + n])})"
     chains = " ".join(f"when {' and '.join(f'bit_count({upto(k, n)}) <= {4 * n // 5}' for n in range(1, 5))} then {k}" for k in range(5))
     two = f"case {i} {' '.join(f'when {k} then {upto(k, 2)}' for k in range(5))} end"
-    return f"bit_count({z}) <= 4 and {i} = case {chains} end and {two} = if({p} = 0 and {two} = 0, 0L, shiftleft(1L, {p}))"
+    return f"{i} = case {chains} end and {two} = if({p} = 0 and {two} = 0, 0L, shiftleft(1L, {p})) and bit_count({z}) <= 4"
 
 
 def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -225,12 +228,41 @@ def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float,
 def common_shingles(documents: DataFrame, text: str, words: int, seed: int) -> np.ndarray:
     """Shingles that COMMON or more distinct texts of a sample hold. It only sets an order, so no result depends on it."""
     parts = -(-documents.count() // SAMPLE) or 1
-    read = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where(f"pmod(mark, {parts}) = 0")
+    read = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where(f"pmod(mark, {parts}) = 0").dropDuplicates(["mark"])
     each = read.select("mark", shingle_sets(words, seed)(F.col("text")).alias("s")).select("mark", F.explode("s.held").alias("hash")).distinct()
     found = each.groupBy("hash").count().where(f"count >= {COMMON}").orderBy(F.desc("count"), "hash").limit(MOST_COMMON)
     return np.sort(found.select("hash").toArrow()["hash"].to_numpy())
 
 
+def _uncrowded(spark: SparkSession, sets: DataFrame, common: np.ndarray, texts_of, words: int, share: float, seed: int) -> DataFrame:
+    """sets (node, size, prefix) with prefixes cut anew until no shingle that could stand elsewhere is in more than CROWD of
+    them. Of texts that have such a shingle in their prefixes all shingles are counted; those that more than CROWD of them hold
+    become late: they move to the end of the order, and every set with one of them in its prefix is cut anew, so all sets
+    keep to one order. A group of texts that are alike, but less than `share`, so meets in what each has of its own, which is
+    nothing, and not in what all have. Each round makes at least one more shingle late; a few rounds will do, as the first
+    counts whole texts. Shingles that stay crowded are those of texts with little else: near copies, which find their hub."""
+    late = written(spark.createDataFrame(pa.table({"hash": pa.array(common, pa.int64())})))
+    while True:
+        flat = sets.select("node", F.explode("prefix").alias("hash"))
+        crowded = written(flat.groupBy("hash").count().where(f"count > {CROWD}").select("hash").join(late, "hash", "left_anti"))
+        if not crowded.take(1):
+            return sets
+        crowd = written(flat.join(small(crowded), "hash").select("node").distinct())
+        each = texts_of(crowd, shingle_sets(words, seed), "held").select(F.explode("held").alias("hash"))
+        more = written(each.groupBy("hash").count().where(f"count > {CROWD}").select("hash").union(crowded).distinct().join(late, "hash", "left_anti"))
+        late = written(late.unionByName(more))
+        touched = written(flat.join(small(more), "hash").select("node").distinct())
+        if late.count() <= MOST_LATE:
+            order = np.sort(late.toArrow()["hash"].to_numpy())
+            anew = texts_of(touched, prefixes(spark, order, words, share, seed), "size", "prefix")
+        else:
+            whole = texts_of(touched, shingle_sets(words, seed), "held")
+            marked = whole.select("node", F.explode_outer("held").alias("hash")).join(late.withColumn("late", F.lit(True)), "hash", "left")
+            ordered = F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct(F.coalesce("late", F.lit(False)).alias("late"), "hash"))))  # one text's
+            anew = marked.groupBy("node").agg(ordered.alias("o")).select("node", F.size("o").alias("size"), F.expr(f"transform(slice(o, 1, size(o) - cast(ceil({share!r}D * size(o) - 1e-9) as int) + 1), x -> x.hash)").alias("prefix"))
+        sets = written(sets.join(small(touched), "node", "left_anti").unionByName(anew.select("node", "size", "prefix")))
+
+
 def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, component_id for each row of documents. Two texts are linked if the Jaccard similarity of their sets of
     shingles (64-bit hashes) is `share` or more; no other link is made and none is lost. See _near_copies."""
@@ -242,7 +274,8 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
     """In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
     most n - share / (1 + share) * (n + m) before it in the set of n, and likewise in that of m: an equi-join on prefixes
     finds every pair. The order puts shingles that a sample finds common last, so a line that many texts hold makes few
-    candidates. Candidates are thinned by a bound from the two prefixes, then decided on the whole sets.
+    candidates, and then those that crowd (see _uncrowded). Candidates are thinned by a bound from the two prefixes, then decided
+    on the whole sets.
     Equal sets are one node. Nodes are first compared with one member of each bucket, that with fewest rare shingles (it is
     the most like the others), and joined to components; then members outside a bucket's largest component look for
     partners in it. In a dense group few are left by then, as each that can have a partner has met the one most alike.
@@ -250,7 +283,8 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
     Defined cases: null and wordless texts are equal sets (empty ones) and linked; a text of fewer words than a shingle is
     one shingle. Repeated rows share a component. A component's id is its smallest non-null key. Empty table: empty result."""
     spark = documents.sparkSession
-    made = prefixes(spark, common_shingles(documents, text, words, seed), words, share, seed)
+    common = common_shingles(documents, text, words, seed)
+    made = prefixes(spark, common, words, share, seed)
     marked = documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p"))
     marked = written(marked.select("doc_id", "mark", "p.*", F.monotonically_increasing_id().alias("row")))
     nodes = written(marked.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("n")))
@@ -269,12 +303,17 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
         wanted = lambda df: written(df.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         short = written(sets.join(small(wanted(pairs)), "node", "left_semi").select("node", "size", F.col("prefix").alias("held")))
         pairs = overlapping(pairs, short, "greatest(na - size(sa), nb - size(sb))")
-        marks = written(nodes.join(small(wanted(pairs)), "node", "left_semi").select("node", "sig", "mark"))
-        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(small(marks.select("mark")), "mark", "left_semi")
-        whole = texts.select(shingle_sets(words, seed)(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
-        whole = written(whole.join(marks.select("node", "sig"), "sig"))
+        whole = texts_of(wanted(pairs), shingle_sets(words, seed), "held")
         return overlapping(pairs, whole.select("node", F.size("held").alias("size"), "held"), "0")
 
+    def texts_of(wanted: DataFrame, read, *columns: str) -> DataFrame:
+        """node and what the column function `read` gives for its text, for the nodes of wanted (written)."""
+        marks = written(nodes.join(small(wanted), "node", "left_semi").select("node", "sig", "mark"))
+        texts = documents.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(small(marks.select("mark")), "mark", "left_semi")
+        whole = texts.select(read(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
+        return written(whole.join(marks.select("node", "sig"), "sig").select("node", *columns))
+
+    sets = _uncrowded(spark, sets, common, texts_of, words, share, seed)
     flat = sets.select("node", "size", F.posexplode("prefix").alias("at", "hash"))
     shared = written(flat.groupBy("hash").count().where("count > 1").select("hash"))
     members = written(flat.join(shared, "hash"))

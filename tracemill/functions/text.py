@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # What marks a line as holding a credential, and how long an encoded run is too long to keep.
 SECRET_MARKS = r"(KEY=|SECRET=|PASSWORD=|TOKEN=|Authorization:|Bearer |token=|api_key=)"
 ENCODED_RUN = r"[A-Za-z0-9+/=]{100,}"
+# What stands where something was cut, outputs that must match.
+CHARS_CUT = (" ... [", " chars] ... ")
+LINES_CUT = ("... [", " chars, ", " lines truncated] ...")
+STDERR_CUT = "... [stderr truncated] ...\n\n"
 
 
 def strip(text: Column) -> Column:
@@ -32,7 +36,7 @@ def lines(text: Column) -> Column:
 
 def truncate_line(line: Column, limit: int = 500, head: int = 200, tail: int = 100) -> Column:
     """A longer line becomes its head, a marker with its length, and its tail."""
-    marked = F.concat(F.substring(line, 1, head), F.lit(" ... ["), F.length(line).cast("string"), F.lit(" chars] ... "), F.right(line, F.lit(tail)))
+    marked = F.concat(F.substring(line, 1, head), F.lit(CHARS_CUT[0]), F.length(line).cast("string"), F.lit(CHARS_CUT[1]), F.right(line, F.lit(tail)))
     return F.when(F.length(line) > limit, marked).otherwise(line)
 
 
@@ -40,7 +44,7 @@ def truncate_stdout(text: Column, limit: int = 500, chars: int = 1500, most: int
     """Lines cut one by one; of more than `most` lines in over `chars` characters only the first and the last stay."""
     each = F.transform(lines(text), lambda x: truncate_line(x, limit))
     n = F.size(lines(text))
-    marker = F.concat(F.lit("... ["), F.length(text).cast("string"), F.lit(" chars, "), n.cast("string"), F.lit(" lines truncated] ..."))
+    marker = F.concat(F.lit(LINES_CUT[0]), F.length(text).cast("string"), F.lit(LINES_CUT[1]), n.cast("string"), F.lit(LINES_CUT[2]))
     cut = F.concat(F.slice(each, 1, head), F.array(F.lit(""), marker, F.lit("")), F.slice(each, F.greatest(n - (tail - 1), F.lit(1)), F.lit(tail)))
     return F.array_join(F.when((F.length(text) > chars) & (n > most), cut).otherwise(each), "\n")
 
@@ -50,7 +54,7 @@ def truncate_stderr(text: Column, limit: int = 500, chars: int = 500, tail: int
     n = F.size(lines(text))
     cut = lambda x: F.array_join(F.transform(x, lambda y: truncate_line(y, limit)), "\n")
     last = F.slice(lines(text), F.greatest(n - (tail - 1), F.lit(1)), F.lit(tail))
-    return F.when(F.length(text) > chars, F.concat(F.lit("... [stderr truncated] ...\n\n"), cut(last))).otherwise(cut(lines(text)))
+    return F.when(F.length(text) > chars, F.concat(F.lit(STDERR_CUT), cut(last))).otherwise(cut(lines(text)))
 
 
 def redact_lines(text: Column, marks: str = SECRET_MARKS, encoded: str | None = ENCODED_RUN) -> Column:

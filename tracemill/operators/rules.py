@@ -48,6 +48,14 @@ LONG = (
 MAYBE_LONG = (r"\bpytest\b", r"\bdocker\s+(exec|run)\b", r"\b(wget|curl)\b.*\.(tar|zip|gz)\b", r"\b(rsync|scp)\b", r"\bmake\b", r"\btsc(\s|$)")
 SHORT_TIMEOUT_MS = 30000
 
+PAGER = r"\|\s*(less|more)\b"
+GIT_LOG_HEAD = r"\bgit\s+log\b.*\|\s*head\b"
+KUBECTL_LOGS_TAIL = r"\bkubectl\s+logs\b.*\|\s*tail\b"
+DOCKER_LOGS_TAIL = r"\bdocker\s+logs\b.*\|\s*tail\b"
+DOCKER_LOGS = r"\bdocker\s+logs\b"
+JOURNALCTL = r"\bjournalctl\b"
+JOURNALCTL_LIMIT = r"(\s-n\b|--lines)"
+
 OWN_TOOLS = ("check_transcripts", "scout scan", "transcript_review")
 EXPERIMENTS = (
     r"run_[a-zA-Z0-9_]*\.(py|sh)", r"inspect\s+eval", r"(python3?|uv\s+run\s+python3?)\s+(run_|run\s)",
@@ -85,12 +93,12 @@ def pipe_advice(command: Column) -> Column:
     piped = command.rlike(r"\|")
     return cascade(
         [
-            (command.rlike(r"\|\s*(less|more)\b"), "pager"),
-            (command.rlike(r"\bgit\s+log\b.*\|\s*head\b"), "git_log_head"),
-            (command.rlike(r"\bkubectl\s+logs\b.*\|\s*tail\b"), "kubectl_logs_tail"),
-            (command.rlike(r"\bdocker\s+logs\b.*\|\s*tail\b"), "docker_logs_tail"),
-            (command.rlike(r"\bdocker\s+logs\b") & ~F.contains(command, F.lit("--tail")) & ~piped, "docker_logs_unlimited"),
-            (command.rlike(r"\bjournalctl\b") & ~command.rlike(r"(\s-n\b|--lines)") & ~piped, "journalctl_unlimited"),
+            (command.rlike(PAGER), "pager"),
+            (command.rlike(GIT_LOG_HEAD), "git_log_head"),
+            (command.rlike(KUBECTL_LOGS_TAIL), "kubectl_logs_tail"),
+            (command.rlike(DOCKER_LOGS_TAIL), "docker_logs_tail"),
+            (command.rlike(DOCKER_LOGS) & ~F.contains(command, F.lit("--tail")) & ~piped, "docker_logs_unlimited"),
+            (command.rlike(JOURNALCTL) & ~command.rlike(JOURNALCTL_LIMIT) & ~piped, "journalctl_unlimited"),
         ],
         "none",
     )
@@ -140,10 +148,14 @@ def folder_check(cwd: Column, root: Column) -> Column:
     return cascade([(root.isNotNull() & (root != "") & (cwd != root), "warn")])
 
 
+# The hint's wording, an output that must match; with and without the folder's name.
+HINTS = ('Glob("**/%s/%s") first, then Glob("**/%s") if no results', 'Glob("**/%s") or fd -H "%s"')
+
+
 def missing_file_hint(tool: Column, response: Column, path: Column) -> Column:
     """Where to look for a file that was not found; null where that is not the matter."""
     name, folder = base_name(path), dir_name(path)
-    hint = F.when(folder != "", F.format_string('Glob("**/%s/%s") first, then Glob("**/%s") if no results', folder, name, name)).otherwise(F.format_string('Glob("**/%s") or fd -H "%s"', name, name))
+    hint = F.when(folder != "", F.format_string(HINTS[0], folder, name, name)).otherwise(F.format_string(HINTS[1], name, name))
     return F.when((tool == "Read") & response.rlike(NOT_FOUND) & (name != ""), hint)
 
 
@@ -168,6 +180,11 @@ def confidence_tier(confidence: Column) -> Column:
     return F.when(confidence >= 90, "definite").when(confidence >= 70, "likely").when(confidence >= 50, "ambiguous")
 
 
+def report_part(confidence: Column) -> Column:
+    """The part of a report that a finding goes to: high above 85, medium from 70 on; null below, which is not reported."""
+    return F.when(confidence > 85, "high").when(confidence >= 70, "medium")
+
+
 def edit_complexity(comment: Column) -> Column:
     """complex, medium or simple by the words of a review comment; null if none is there."""
     low = F.lower(comment)

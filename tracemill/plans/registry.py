@@ -91,21 +91,26 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(_samples(spark, sf_dir)).select("id", F.col("score_label").alias("label"), "stratum")
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, record: each conversation as one record of no fixed shape. A conversation's turns fit a record."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    return rows.select("conv_id", F.parse_json(F.to_json(F.struct("messages"))).alias("record"))
+
+
 @query("""SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS first_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant,
     count(*) AS turns FROM conversations GROUP BY conv_id""")
 def first_last_turn(spark, sf_dir):
     """P7"""
-    role = F.col("role")
-    at = lambda f, r: f("text", F.when(role == r, F.col("turn")))
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(at(F.min_by, "user").alias("first_user"), at(F.max_by, "assistant").alias("last_assistant"), F.count("*").alias("turns"))
+    rows = _conversations(spark, sf_dir).select("conv_id", records.messages(F.col("record")).alias("m"))
+    return rows.select("conv_id", records.first_user(F.col("m")).alias("first_user"), records.last_assistant(F.col("m")).alias("last_assistant"), F.size("m").cast("bigint").alias("turns"))
 
 
 @query("SELECT conv_id, string_agg(coalesce(role, 'unknown') || ':' || text, '|' ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
 def messages_array(spark, sf_dir):
     """P6"""
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), "text")))
-    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m"))
-    return rows.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("messages"))
+    rows = _conversations(spark, sf_dir).select("conv_id", records.messages(F.col("record")).alias("m"))
+    return rows.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("messages"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS experiment_id, round(coalesce(sum(value), 0), 4) AS cost, count(*) AS tokens_in, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens_out,
@@ -428,7 +433,7 @@ def _any(marks) -> str:
     return " OR ".join(f"contains(command, '{m}')" for m in marks)
 
 
-@query(f"WITH {_CMD} SELECT o_orderkey, CASE WHEN regexp_matches(command, '{rules.SUDO}') OR regexp_matches(command, '{rules.XARGS}') THEN 'block' WHEN regexp_matches(command, '{rules.COMPOUND_KILL}') THEN 'warn' ELSE 'allow' END AS decision FROM c")
+@query(f"WITH {_CMD} SELECT o_orderkey, CASE WHEN regexp_matches(command, '\\bsudo\\s+(rm\\s+-r|kill|killall|pkill|shutdown|reboot|halt|mkfs|fdisk|wipefs|dd)\\b') OR regexp_matches(command, '\\bxargs\\s+.*(rm\\s+-r|kill|killall|pkill)\\b') THEN 'block' WHEN regexp_matches(command, '(&&|;|\\|\\||`|\\$\\()\\s*(kill|killall|pkill)\\b') THEN 'warn' ELSE 'allow' END AS decision FROM c")
 def destructive_commands(spark, sf_dir):
     """P12"""
     return _commands(spark, sf_dir).select("o_orderkey", rules.destructive(F.col("command")).alias("decision"))
@@ -576,7 +581,7 @@ def calibration_by_bin(spark, sf_dir):
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def status_tally(spark, sf_dir):
-    """S17 A16"""
+    """A16"""
     return journal.status_tally(_t(spark, sf_dir, "orders"), "o_orderstatus")
 
 
@@ -747,3 +752,168 @@ def style(spark, sf_dir):
     """A42 (own definition)"""
     rows = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.style(F.col("text")).alias("s")).select("doc_id", "s.*")
     return _rounded(rows, "mean_words", "sd_words", "dashes", "list_share")
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN text WHEN 'system' THEN 'None' ELSE '' END AS input, CASE role WHEN 'assistant' THEN text ELSE '' END AS output,
+    CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'none' END AS id FROM conversations""")
+def records_by_alias(spark, sf_dir):
+    """Each turn as a record that names its fields in one of several ways"""
+    role, name = F.col("role"), F.concat_ws("-", "conv_id", "turn")
+    text = lambda r: F.when(role == r, F.col("text"))
+    fields = F.map_filter(F.create_map(F.lit("question"), text("user"), F.lit("completion"), text("assistant"), F.lit("sample_id"), F.when(F.col("turn") % 2 == 0, name)), lambda k, v: v.isNotNull())
+    fields = F.when(role == "system", F.map_concat(fields, F.create_map(F.lit("task"), F.lit(None).cast("string")))).otherwise(fields)
+    record = F.parse_json(F.to_json(fields, {"ignoreNullFields": "false"}))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", record.alias("record"))
+    read = lambda names, default="": records.first_present(F.col("record"), names, default)
+    return rows.select("conv_id", "turn", read(records.INPUT).alias("input"), read(records.OUTPUT).alias("output"), read(records.ID, "none").alias("id"))
+
+
+@query("""SELECT doc_id, CAST(quality AS DOUBLE) AS quality, CASE toxic WHEN 1 THEN 1.0 WHEN 0 THEN 0.0 END AS toxic, CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN 0.0 END AS word, CAST(doc_id AS DOUBLE) / 8 AS stated, CAST(NULL AS DOUBLE) AS odd FROM labels""")
+def grades(spark, sf_dir):
+    """P5"""
+    rows = _t(spark, sf_dir, "labels")
+    letter = F.when(F.col("toxic") == 1, "c").when(F.col("toxic") == 0, "i")
+    word = F.when(F.col("quality") == 1, "Correct").when(F.col("quality") == 0, "FALSE")
+    stated, odd = F.concat(F.lit(" "), (F.col("doc_id") / 8).cast("string")), F.concat(F.col("doc_id").cast("string"), F.lit("_0"))
+    return rows.select("doc_id", records.grade(F.col("quality").cast("string")).alias("quality"), records.grade(letter).alias("toxic"), records.grade(word).alias("word"), records.grade(stated).alias("stated"), records.grade(odd).alias("odd"))
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'system') AS said FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system') > 0")
+def content_parts(spark, sf_dir):
+    """A conversation as one message of many parts, of which some are no text"""
+    part = F.struct("turn", F.when(F.col("role") == "system", "image").otherwise("text").alias("type"), "text")
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.parse_json(F.to_json(F.array_sort(F.collect_list(part)))).alias("content"))
+    return rows.select("conv_id", records.content_text(F.col("content")).alias("said")).where("said <> ''")
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'de' OR len(string_split(text, chr(10))) - 1 < 12 THEN 'allow' ELSE 'warn' END AS decision, CASE WHEN lang = 'de' OR len(string_split(text, chr(10))) - 1 < 12 THEN 'allow' ELSE 'block' END AS strict FROM documents""")
+def read_sizes(spark, sf_dir):
+    """P17"""
+    n, limit = F.size(F.split("text", "\n", -1)) - 1, F.when(F.col("lang") == "de", F.col("n_chars"))
+    ask = lambda strict: rules.read_size(F.lit("Read"), n, limit, 12, strict)
+    return _t(spark, sf_dir, "documents").select("doc_id", ask(False).alias("decision"), ask(True).alias("strict"))
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '20260101_000000_UTC_' ELSE '' END || regexp_extract(url, '([^/]*)/*$', 1) AS name, regexp_extract(url, '^(https?://[^/]*)', 1) AS host FROM pages),
+    q AS (SELECT *, host || '/' || name AS path FROM p)
+    SELECT page_id, CASE WHEN starts_with(path, 'http://') THEN 'error' WHEN NOT regexp_matches(regexp_extract(path, '([^/]*)/*$', 1), '^[0-9]{8}_[0-9]{6}_UTC') THEN 'warn_name' WHEN host NOT LIKE '%.com' THEN 'warn_place' ELSE 'allow' END AS plan,
+    CASE WHEN starts_with(path, 'http://') THEN 'error' ELSE 'allow' END AS task, CASE WHEN host LIKE '%.com' THEN 'allow' ELSE 'warn' END AS folder FROM q""")
+def locations(spark, sf_dir):
+    """Pages as files below their hosts"""
+    host = F.regexp_extract("url", r"^(https?://[^/]*)", 1)
+    name = F.concat(F.when(F.col("page_id") % 3 == 0, "20260101_000000_UTC_").otherwise(""), F.regexp_extract("url", r"([^/]*)/*$", 1))
+    path, home = F.concat(host, F.lit("/"), name), F.when(F.endswith(host, F.lit(".com")), host).otherwise(F.lit("https://elsewhere"))
+    return _t(spark, sf_dir, "pages").select("page_id", rules.plan_location(path, "http://", home).alias("plan"), rules.task_location(path, "http://").alias("task"), rules.folder_check(host, home).alias("folder"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS name, regexp_extract(url, '([^/]+)/+[^/]+/*$', 1) AS folder FROM pages WHERE url IS NOT NULL)
+    SELECT page_id, CASE WHEN page_id % 4 < 2 OR name = '' THEN NULL WHEN folder <> '' THEN 'Glob("**/' || folder || '/' || name || '") first, then Glob("**/' || name || '") if no results' ELSE 'Glob("**/' || name || '") or fd -H "' || name || '"' END AS hint FROM p""")
+def missing_file_hints(spark, sf_dir):
+    """P20"""
+    k = F.col("page_id") % 4
+    tool, said = F.when(k == 0, "Edit").otherwise("Read"), F.when(k == 1, "1: fine").when(k == 2, "File does NOT EXIST.").otherwise("enoent")
+    return _t(spark, sf_dir, "pages").where("url is not null").select("page_id", rules.missing_file_hint(tool, said, F.col("url")).alias("hint"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS command, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS timeout, true AS run_in_background FROM events""")
+def overridden_inputs(spark, sf_dir):
+    """P28"""
+    fields = F.struct(F.col("event_type").alias("command"), F.get_json_object("props", "$.k").cast("bigint").alias("timeout"), F.lit(None).cast("boolean").alias("run_in_background"))
+    given = F.when(F.col("event_type") != "error", fields)
+    made = rules.with_override(given, "command string, timeout bigint, run_in_background boolean", run_in_background=F.lit(True))
+    return _t(spark, sf_dir, "events").select("event_id", made.alias("i")).select("event_id", "i.*")
+
+
+@query("""WITH c AS (SELECT c_custkey AS spec, c_name AS h, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END AS o, CASE WHEN c_acctbal >= 0 THEN 'x' END AS m, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE 'y' END AS r FROM customer)
+    SELECT spec, CAST(7 + (CASE WHEN trim(o) <> '' THEN 1 ELSE 0 END) + (CASE WHEN m IS NOT NULL THEN 1 ELSE 0 END) AS INT) AS passed, CASE WHEN r = '' THEN 'random_seeds' ELSE '' END AS warnings,
+    array_to_string(list_filter([CASE WHEN trim(o) = '' THEN 'output_path' END, CASE WHEN m IS NULL THEN 'metrics' END], lambda x: x IS NOT NULL), ',') AS missing, CASE WHEN trim(o) <> '' AND m IS NOT NULL THEN 'PASS' ELSE 'STOP' END AS verdict FROM c""")
+def specifications(spark, sf_dir):
+    """P34"""
+    from tracemill.sources.records import validated
+
+    full = {n: F.col("c_name") for n in ("hyperparameters", "hypothesis", "datasets", "graphs", "caching", "concurrency", "error_handling", "resources", "baseline")}
+    part = {"output_path": F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.col("c_mktsegment")), "metrics": F.when(F.col("c_acctbal") >= 0, "x"), "random_seeds": F.when(F.col("c_nationkey") % 5 == 0, "").otherwise("y")}
+    specs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spec"), *[c.alias(n) for n, c in (full | part).items()])
+    return validated(specs, "spec").select("spec", "passed", F.array_join("warnings", ",").alias("warnings"), F.array_join("missing", ",").alias("missing"), "verdict")
+
+
+@query("""WITH o AS (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT c_custkey, n IS NOT NULL AS code, c_acctbal > 0 AS docs, coalesce(n > 8, false) AS active, coalesce(date_diff('day', last, TIMESTAMP '2001-08-01'), 0) AS days, c_nationkey % 4 = 0 AS stale FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+    SELECT c_custkey, CASE WHEN code AND NOT docs THEN 'MISSING' WHEN active AND days > 14 THEN 'ABANDONED' WHEN stale THEN 'STALE' ELSE 'OK' END AS state FROM c""")
+def doc_states(spark, sf_dir):
+    """P35"""
+    last = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"), F.count("*").alias("n"))
+    rows = _t(spark, sf_dir, "customer").join(last, "c_custkey", "left")
+    days = F.coalesce(F.date_diff(F.lit("2001-08-01").cast("date"), F.col("last").cast("date")), F.lit(0))
+    state = rules.doc_state(F.col("n").isNotNull(), F.col("c_acctbal") > 0, F.coalesce(F.col("n") > 8, F.lit(False)), days, F.col("c_nationkey") % 4 == 0)
+    return rows.select("c_custkey", state.alias("state"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY AND event_type = 'view'")
+def recent_sessions(spark, sf_dir):
+    """P37"""
+    events = _t(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return journal.since(events, "ts", now, 5, "view", "event_type").select("event_id", "user_id")
+
+
+@query("""WITH t AS (SELECT doc_id, length(text) AS chars, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) > 500 THEN substr(x, 1, 200) || ' ... [' || length(x) || ' chars] ... ' || right(x, 100) ELSE x END), chr(10)) AS cut, length(source) * 400 AS errors FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR chars + errors < 5000 THEN 'none' WHEN length(cut) <= 9000 THEN 'truncate' WHEN floor(errors * 100 / (chars + errors)) >= 40 THEN 'truncate' ELSE 'aside' END AS route FROM t""")
+def output_routes(spark, sf_dir):
+    """Texts as what a command printed"""
+    tool, errors = F.when(F.col("doc_id") % 5 == 0, "Read").otherwise("Bash"), F.repeat(F.col("source"), F.lit(400))
+    cut = F.length(F.array_join(F.transform(text.lines(F.col("text")), lambda x: text.truncate_line(x)), "\n"))
+    route = rules.output_route(tool, F.col("text"), errors, cut, 5000, 9000, "aside", 40)
+    return _t(spark, sf_dir, "documents").select("doc_id", route.alias("route"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(t, 'restructure') OR contains(t, 'move to') THEN 'complex' WHEN contains(t, 'rewrite') OR contains(t, 'clarify') THEN 'medium' WHEN contains(t, 'typo') OR contains(t, 'nit') THEN 'simple' END AS edit FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def edit_complexities(spark, sf_dir):
+    """P41"""
+    return _t(spark, sf_dir, "documents").select("doc_id", rules.edit_complexity(F.col("text")).alias("edit"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 12 > 500 OR l_discount * 12 > 1 THEN 'async' ELSE 'sync' END AS route FROM lineitem")
+def review_routes(spark, sf_dir):
+    """P45"""
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.review_route(F.col("l_quantity") * 12, F.col("l_discount") * 12).alias("route"))
+
+
+@query("""WITH l AS (SELECT ts, event_type AS cmd, user_id AS cwd, CASE WHEN event_id % 2 = 1 THEN event_id % 3 END AS exit FROM events),
+    w AS (SELECT *, lead(ts) OVER o AS e, lead(exit) OVER o AS x FROM l WINDOW o AS (PARTITION BY cmd, cwd ORDER BY ts, exit IS NOT NULL))
+    SELECT ts, cmd, cwd, CASE WHEN x IS NOT NULL THEN e END AS end_ts, x AS end_exit FROM w WHERE exit IS NULL""")
+def phase_pairs(spark, sf_dir):
+    """Events as STARTs and ENDs of commands"""
+    log = _t(spark, sf_dir, "events").select("ts", F.col("event_type").alias("cmd"), F.col("user_id").alias("cwd"), F.when(F.col("event_id") % 2 == 1, F.col("event_id") % 3).alias("exit"))
+    return journal.phase_pairs(log)
+
+
+@query("""SELECT conv_id, CAST(turn AS INT) AS num, role = 'assistant' AS done, length(text) AS chars FROM conversations""")
+def review_threads(spark, sf_dir):
+    """Conversations as review files, a thread for each turn"""
+    from tracemill.sources.records import review_threads as threads
+
+    head = F.concat(F.lit("## Thread "), F.col("turn").cast("string"), F.lit(" c"), F.col("conv_id").cast("string"), F.when(F.col("role") == "assistant", " ✅").otherwise(""))
+    part = F.concat(head, F.lit("\n"), F.regexp_replace("text", r"(?m)^## Thread ", "Thread "))
+    files = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    out = threads(files.select(F.concat(F.lit("# review\n"), F.array_join(F.col("parts.part"), "\n")).alias("value")))
+    own = F.regexp_extract("content", r"^\d+ c(\d+)", 1).cast("bigint")
+    return out.select(own.alias("conv_id"), "num", "done", F.length(F.regexp_extract("content", r"(?s)^[^\n]*\n(.*?)\n?$", 1)).alias("chars"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS date, event_type AS tag, 'value ' || event_id AS description, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id END AS source, user_id % 3 = 0 AS revised FROM events""")
+def journal_entries(spark, sf_dir):
+    """Events as lines of a journal"""
+    from tracemill.sources.records import journal_entries as entries
+
+    line = F.concat(F.lit("- "), F.col("ts").cast("date").cast("string"), F.when(F.col("user_id") % 3 == 0, ": [REVISED] [").otherwise(": ["), "event_type", F.lit("] value "), F.col("event_id").cast("string"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(" (source: u"), F.col("user_id").cast("string"), F.lit(")"))).otherwise(""))
+    files = _t(spark, sf_dir, "events").select(F.concat(F.lit("# journal\n"), line, F.lit("\nno entry")).alias("value"))
+    return entries(files)
+
+
+@query("""WITH s AS (SELECT CASE confidence WHEN 95 THEN 'high' WHEN 88 THEN 'high' ELSE 'medium' END AS part, times FROM (SELECT [95, 75, 88][k] AS confidence, len(string_split(line, ['password=', 'All rights reserved', 'License'][k])) - 1 AS times FROM
+    (SELECT line, CASE WHEN contains(line, 'password=') THEN 1 WHEN contains(line, 'All rights reserved') THEN 2 WHEN contains(line, 'License') THEN 3 END AS k FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE k IS NOT NULL))
+    SELECT part, count(*) AS lines, CAST(sum(times) AS BIGINT) AS times FROM s GROUP BY 1""")
+def phrase_report(spark, sf_dir):
+    """The report's parts"""
+    found = lines.phrase_lint(_t(spark, sf_dir, "documents"), PHRASES)
+    return found.groupBy(rules.report_part(F.col("confidence")).alias("part")).agg(F.count("*").alias("lines"), F.sum("times").cast("bigint").alias("times"))

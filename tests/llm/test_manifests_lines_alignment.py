@@ -179,7 +179,8 @@ def test_alignment_query_equals_libraries(spark, odd):  # noqa: F811
 
 
 def test_alignment_of_odd_characters(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "SHARD", 3000)
+    for name, value in {"SHARD": 3000, "REMEMBERED": 50, "MOST_GROUPS": 300, "LONG": 200}.items():
+        monkeypatch.setattr(alignment, name, value)
     r = random.Random(9)
     parts = ["a", "Hello", "don't", " ", "  ", "\n", "\t", " ", " ", "\u0085", "\x1c", "\x00", "\x7f", "é", "é", "漢字", "👍🏽", "123", "45.6", "...", "<|endoftext|>", "<s>", "<0x41>", "tokenization", "ﬁ", "x" * 300, "!!", "\r\n", "'s", "ß", "​", "�"]
     docs = [(i, "".join(r.choice(parts) for _ in range(r.randint(1, 30)))) for i in range(400)]
@@ -187,3 +188,13 @@ def test_alignment_of_odd_characters(spark, monkeypatch):
     docs += [(2000, " "), (2001, "  "), (2002, "a "), (2003, " a"), (2004, "▁a b"), (2005, "\n"), (2006, "a\n  b"), (2007, "a \n b "), (None, "a b"), (None, None), (2008, ""), (2009, "ab" * 20000), (2010, "q ▁")]
     got = alignment.aligned(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model"))
     assert sorted(str(tuple(x)) for x in got.select(*NAMES).collect()) == by_libraries(docs)
+
+
+def test_both_ways_to_tokens_of_a_agree():
+    made = alignment.aligner(queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model"))
+    r = random.Random(2)
+    letters = "abcdefghij XYZ'0123456789.,!?éß漢👍\n\t-_"
+    for k in range(3000):
+        data = " " + "".join(r.choice(letters if k % 2 else "etaoinshr") for _ in range(r.randint(1, 60)))
+        long = [t.id for w in alignment.pre_tokens(data) for t in made.model.tokenize(w.encode().decode("latin-1").translate(made.stand_in))]
+        assert made.a.encode_ordinary(data) == long

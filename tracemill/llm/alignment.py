@@ -23,8 +23,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.base import _trim, scratch, small_batches, written
-from tracemill.llm.tokens import Words, byte_symbols, pre_tokens
+from tracemill.llm.tokens import PATTERN, byte_symbols, pre_tokens
 
-#: Characters of text from which on a shard ends, and words in a generation of those that a worker remembers.
-SHARD, REMEMBERED = 8 << 20, 100_000
+#: Characters of text from which on a shard ends, words in a generation of those that a worker remembers, and the groups that
+#: it numbers before it forgets both at the end of a shard.
+SHARD, REMEMBERED, MOST_GROUPS = 8 << 20, 250_000, 200_000
+#: Characters from which on a word goes to the library that takes words of any length.
+LONG = 400
 #: Two spaces, or a space beside another blank or control character: there words are put together one by one.
 _ODD = re.compile(r"  |[^\S ] |[\x00-\x1f] ").search
 #: Fixed value: how the sentencepiece vocabulary writes a space.
@@ -46,43 +50,86 @@ SCHEMA = (
     " group string, number int, a int, b int, documents bigint"
 )
 DOCUMENT, GROUP, PAIR = 0, 1, 2
+#: What is remembered of a word: (A tokens, B tokens, groups, links), the groups as text, their numbers. None: bytes differ.
+Word = tuple[tuple[int, int, int, int], str, tuple[int, ...]]
 
 
 class Aligner:
-    """Groups of words by both tokenizers. Group numbers are the worker's own."""
+    """Groups of words by both tokenizers. Group numbers are the worker's own, and hold until forget() is called."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.model, self.stand_in = Tokenizer.from_file(path_a).model, {b: c for c, b in byte_symbols().items()}
+        stand_in = {b: c for c, b in byte_symbols().items()}
+        tokenizer = Tokenizer.from_file(path_a)
+        special = tokenizer.get_added_tokens_decoder()
+        byte = {chr(c): b for b, c in stand_in.items()}
+        ranks = {bytes([byte[c] for c in t]): i for t, i in tokenizer.get_vocab(with_added_tokens=True).items() if i not in special}
+        # The same vocabulary by the faster of two libraries; ids are in the order of merges. Long words go to the other.
+        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.model, self.stand_in = tokenizer.model, stand_in
+        self.size_a = {i: len(t) for t, i in ranks.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.words = Words(self.align, REMEMBERED)
-
-    def tokens_a(self, data: str) -> list[tuple[int, int]]:
-        """(id, bytes) of each A token. A token's symbols stand for one byte each."""
-        out = []
-        for word in pre_tokens(data):
-            symbols = word.encode("utf-8").decode("latin-1").translate(self.stand_in)
-            out += [(t.id, len(t.value)) for t in self.model.tokenize(symbols)]
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.pairs: list[frozenset[int]] = []
+        self.young: dict[str, Word] = {}
+        self.old: dict[str, Word] = {}
+
+    def tokens_a(self, data: str) -> list[int]:
+        if len(data) <= LONG:
+            return self.a.encode_ordinary(data)
+        words = (w.encode("utf-8").decode("latin-1").translate(self.stand_in) for w in pre_tokens(data))
+        return [t.id for w in words for t in self.model.tokenize(w)]
+
+    def number(self, group: str) -> int:
+        found = self.numbers.get(group)
+        if found is None:
+            found = self.numbers[group] = len(self.pairs)
+            self.pairs.append(pairs_of(group))
+        return found
 
-    def align(self, word: str) -> tuple[int, int, int, str, tuple[str, ...]] | None:
-        """A tokens, B tokens, links, all groups joined, and each group, of space + word; None if bytes differ."""
-        whole = (" " + word).encode("utf-8")
-        a, b = self.tokens_a(" " + word), self.b.encode(word)
-        if b"".join([self.bytes_b[i] for i in b]) != whole or sum(n for _, n in a) != len(whole):
+    def align(self, word: str, b: list[int]) -> Word | None:
+        """The groups of space + word, whose B tokens are given."""
+        data, bytes_b, size_a = " " + word, self.bytes_b, self.size_a
+        whole, a = data.encode("utf-8"), self.tokens_a(data)
+        if b"".join([bytes_b[x] for x in b]) != whole or sum([size_a[x] for x in a]) != len(whole):
             return None
-        ends_a, ends_b = np.cumsum([n for _, n in a]), np.cumsum([len(self.bytes_b[i]) for i in b])
-        _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, links, i, j = [], 0, 0, 0
-        for u, v in zip((cut_a + 1).tolist(), (cut_b + 1).tolist()):
-            groups.append(",".join([str(k) for k, _ in a[i:u]]) + "|" + ",".join(map(str, b[j:v])))
-            links += (u - i) * (v - j)
-            i, j = u, v
-        return len(a), len(b), links, ";".join(groups), tuple(groups)
+        said, links, i, j, end_b, end_a, k = [], 0, 0, 0, 0, 0, 0
+        for n, x in enumerate(a, 1):
+            end_a += size_a[x]
+            while end_b < end_a:
+                end_b += len(bytes_b[b[k]])
+                k += 1
+            if end_b == end_a:
+                said.append(f"{a[i]}|{b[j]}" if n - i == 1 == k - j else ",".join(map(str, a[i:n])) + "|" + ",".join(map(str, b[j:k])))
+                links += (n - i) * (k - j)
+                i, j = n, k
+        return (len(a), len(b), len(said), links), ";".join(said), tuple([self.number(g) for g in said])
+
+    def known(self, words: Iterable[str]) -> list[Word | None]:
+        """The groups of each word, remembered in two generations: once the younger is full, the older is let go."""
+        young, old, out, new = self.young, self.old, [], []
+        for w in words:
+            found = young.get(w, young)
+            if found is young and (found := old.get(w, young)) is not young:
+                young[w] = found
+            out.append(found)
+            if found is young:
+                new.append(w)
+        if new:
+            made = iter([self.align(w, b) for w, b in zip(new, self.b.encode(new, num_threads=1))])
+            out = [next(made) if x is young else x for x in out]
+            young.update((w, x) for w, x in zip(words, out) if len(w) <= 64)
+        if len(young) >= REMEMBERED:
+            self.young, self.old = {}, young
+        return out
 
 
 def words(text: str) -> list[str]:
@@ -108,61 +155,58 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def pairs_of(group: str) -> set[int]:
+def pairs_of(group: str) -> frozenset[int]:
     """The id pairs of a group, each as one number."""
     a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
-    return {x << 32 | y for x in set(a) for y in set(b)}
+    return frozenset([x << 32 | y for x in a for y in b]) if len(a) == 1 or len(b) == 1 else frozenset([x << 32 | y for x in set(a) for y in set(b)])
 
 
 class Shard:
-    """Documents with their groups' local numbers, the distinct groups, and the documents that hold each pair."""
+    """Documents with their groups' numbers, and the number of documents that hold each pair."""
 
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.pairs: list[set[int]] = []
+    def __init__(self, found: Aligner):
+        self.found = found
         self.held: Counter[int] = Counter()
         self.documents: list[tuple] = []
         self.size = 0
 
-    def number(self, group: str) -> int:
-        found = self.numbers.get(group)
-        if found is None:
-            found = self.numbers[group] = len(self.pairs)
-            self.pairs.append(pairs_of(group))
-        return found
-
-    def add(self, key: object, text: str | None, found: Words) -> None:
+    def add(self, key: object, text: str | None) -> None:
         self.size += len(text or "") + 64
-        each = Counter(words(text)) if text else {}
-        known = {w: found[w] for w in each}
-        if not text or None in known.values():
-            self.documents.append((key, 0, 0, 0, 0, "", [], []))
+        ordered = words(text) if text else []
+        each = Counter(ordered)
+        known = self.found.known(each)
+        if not text or None in known:
+            self.documents.append((key, 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
             return
-        local: Counter[int] = Counter()
-        totals = [0, 0, 0, 0]
-        for w, n in each.items():
-            a, b, links, _, groups = known[w]
-            for k, v in enumerate((a, b, len(groups), links)):
-                totals[k] += n * v
-            for g in groups:
-                local[self.number(g)] += n
-        self.held.update(set().union(*[self.pairs[k] for k in local]))
-        sha = hashlib.sha256(";".join([known[w][3] for w in words(text)]).encode()).hexdigest()
-        self.documents.append((key, *totals, sha, list(local), list(local.values())))
+        n = np.fromiter(each.values(), np.int64, len(each))
+        sizes = np.array([x[0] for x in known], np.int64)
+        numbers = np.fromiter(chain.from_iterable([x[2] for x in known]), np.int64)
+        own, place = np.unique(numbers, return_inverse=True)
+        times = np.bincount(place, np.repeat(n, sizes[:, 2])).astype(np.int64)
+        pairs = self.found.pairs
+        self.held.update(set().union(*[pairs[k] for k in own.tolist()]))
+        said = dict(zip(each, [x[1] for x in known]))
+        sha = hashlib.sha256(";".join([said[w] for w in ordered]).encode()).hexdigest()
+        self.documents.append((key, *(n @ sizes).tolist(), sha, own, times))
 
     def rows(self, shard: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         def batch(kind: int, n: int, **columns):
-            known = {"kind": np.full(n, kind, np.int32), "shard": np.full(n, shard, np.int64)} | columns
-            return pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(n, f.type) for f in schema], schema=schema)
+            held = {"kind": np.full(n, kind, np.int32), "shard": np.full(n, shard, np.int64)} | columns
+            return pa.RecordBatch.from_arrays([x if isinstance(x := held.get(f.name), pa.Array) else pa.nulls(n, f.type) if x is None else pa.array(x, f.type) for f in schema], schema=schema)
+
+        def lists(arrays: list[np.ndarray]) -> pa.Array:
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int32()))
 
-        names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "local", "times")
+        used = np.unique(np.concatenate([x[6] for x in self.documents]))  # the shard's numbers are places in this
+        names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
         for first in range(0, len(self.documents), 256):
             some = self.documents[first : first + 256]
-            yield batch(DOCUMENT, len(some), **dict(zip(names, map(list, zip(*some)))))
-        groups = list(self.numbers)
-        for first in range(0, len(groups), 1 << 14):
-            some = groups[first : first + (1 << 14)]
-            yield batch(GROUP, len(some), group=some, number=np.arange(first, first + len(some), dtype=np.int32))
+            yield batch(DOCUMENT, len(some), **{k: [x[i] for x in some] for i, k in enumerate(names)}, local=lists([np.searchsorted(used, x[6]) for x in some]), times=lists([x[7] for x in some]))
+        groups = dict(zip(self.found.numbers.values(), self.found.numbers))
+        for first in range(0, len(used), 1 << 14):
+            some = used[first : first + (1 << 14)]
+            yield batch(GROUP, len(some), group=[groups[k] for k in some.tolist()], number=np.arange(first, first + len(some), dtype=np.int32))
         codes, counts = np.fromiter(self.held.keys(), np.int64, len(self.held)), np.fromiter(self.held.values(), np.int64, len(self.held))
         for first in range(0, len(codes), 1 << 16):
             some = codes[first : first + (1 << 16)]
@@ -179,13 +223,16 @@ def read_shards(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        found, task, k, shard = aligner(path_a, path_b).words, TaskContext.get().partitionId(), 0, Shard()
+        found, task, k = aligner(path_a, path_b), TaskContext.get().partitionId(), 0
+        shard = Shard(found)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard.add(key, text, found)
+                shard.add(key, text)
                 if shard.size >= SHARD:
                     yield from shard.rows(task << 32 | k, schema)
-                    k, shard = k + 1, Shard()
+                    if len(found.pairs) > MOST_GROUPS:
+                        found.forget()
+                    k, shard = k + 1, Shard(found)
                     _trim()(0)
         if shard.documents:
             yield from shard.rows(task << 32 | k, schema)

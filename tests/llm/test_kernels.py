@@ -376,3 +376,26 @@ def test_warc_members():
     plain = list(warc._plain_records(warc.Stream(io.BytesIO(data * 3)), every))
     assert len(plain) == 3 and plain[2][1].endswith(b"p" * 9000)
     assert zlib.crc32(b"") == 0
+
+
+@pytest.mark.parametrize("between", [" ", "\n", "\t", ",", " .\n", "4", ""])
+def test_slices_change_nothing(monkeypatch, between):
+    from tracemill.llm import base, langid, toxicity
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdéßXYZ漢") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts = [between.join(words), between.join(words[:50]) + between, between * 300 + "end", None, "", "one", between.join(words[:20]) + " " + "long" * 100 + " a b"]
+    whole = [(set(toxicity.bag(x or "").tolist()), langid.bag(x or "")) for x in texts]
+    model = langid.LanguageModel(["a", "b"], np.random.default_rng(1).normal(0, 1, (langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    scores = langid.predicted(model, texts)[1]
+    weights = toxicity.ToxicityModel(np.unique(np.array(sorted(whole[0][0]), np.uint64)), np.random.default_rng(2).normal(0, 0.05, len(whole[0][0])).astype(np.float32), 0.1)
+    toxic = toxicity.scored(weights, texts)
+    monkeypatch.setattr(base, "SLICE", 64)
+    assert len(list(base.pieces(texts[:1], 2))) > 10 or between == ""
+    assert "".join(x for _, held in base.pieces(texts[:1]) for x in held) == texts[0]
+    for x, (features, (found, share)) in zip(texts, whole):
+        assert set(toxicity.bag(x or "").tolist()) == features
+        again = langid.bag(x or "")
+        assert again[0].tolist() == found.tolist() and np.allclose(again[1], share, rtol=1e-12)
+    assert np.allclose(langid.predicted(model, texts)[1], scores, rtol=1e-6)
+    assert np.allclose(toxicity.scored(weights, texts), toxic, rtol=1e-6)

@@ -144,9 +144,12 @@ def letters() -> np.ndarray:
 
 
 @lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * SLICE + 2)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15 | 1
-    n = 2 * SLICE + 2
     inverse = pow(base, -1, 1 << 64)
     out = []
     for b in (base, inverse):
@@ -166,25 +169,39 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _slice_end(text: str, at: int) -> int:
+    """Where the slice that begins at `at` ends: behind its last character that is no letter, so no word is cut. A word that
+    is longer than a slice is taken whole."""
+    size = SLICE
+    while True:
+        found = np.flatnonzero(letters()[code_points(text[at : at + size])] == 0)
+        if len(found):
+            return at + int(found[-1 if size == SLICE else 0]) + 1
+        if at + size >= len(text):
+            return len(text)
+        size *= 2
+
+
+def _last_words(text: str, begin: int, end: int, words: int) -> int:
+    """Where the last `words` words of text[begin:end] begin."""
+    inside = letters()[code_points(text[begin:end])] != 0
+    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+    return begin + int(starts[-words]) if len(starts) >= words else begin
+
+
 def pieces(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Groups of (row numbers, texts) with about SLICE characters each. A longer text comes in several pieces, cut
-    behind white space where there is any; each but its first begins with the words in the overlap characters before the cut."""
+    """Groups of (row numbers, texts) with about SLICE characters each. A longer text comes in several pieces, cut between
+    words; each but its first begins with the `overlap` words before the cut, so that words, and runs of overlap + 1 words, are
+    those of the whole text."""
     rows: list[int] = []
     held: list[str] = []
     size = 0
     for k, text in enumerate(texts):
         if not text:
             continue
-        at = 0
+        begin = at = 0
         while at < len(text):
-            end = len(text)
-            if end - at > SLICE:
-                end = at + SLICE
-                cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-                end = cut + 1 if cut > at else end
-            begin = at
-            if overlap and at:
-                begin = text.find(" ", max(0, at - overlap), at) + 1 or at
+            end = len(text) if len(text) - at <= SLICE else _slice_end(text, at)
             part = text[begin:end]
             if held and size + len(part) > SLICE:
                 yield np.array(rows), held
@@ -192,6 +209,7 @@ def pieces(texts: list[str | None], overlap: int = 0) -> Iterator[tuple[np.ndarr
             rows.append(k)
             held.append(part)
             size += len(part)
+            begin = _last_words(text, begin, end, overlap) if overlap and end < len(text) else end
             at = end
     if held:
         yield np.array(rows), held
@@ -212,7 +230,7 @@ def word_hashes(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first, last = edges[::2], edges[1::2]
     if len(first) == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power, inverse = _powers()
+    power, inverse = _usual_powers() if len(chars) <= 2 * SLICE + 2 else _powers(len(chars))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(chars.astype(np.uint64) * power[: len(chars)], dtype=np.uint64)))
     hashes = (sums[last] - sums[first]) * inverse[first]
     return mixed(hashes), np.searchsorted(starts, first, side="right") - 1

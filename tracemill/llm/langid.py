@@ -38,6 +38,7 @@ class LanguageModel:
 def subwords(held: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each n-gram length the buckets and whether they are subwords, by position; and each text's first position."""
     chars, starts = folded(held)
+    chars = np.append(chars, 0)  # the last text ends like the others
     keep = chars != 0
     keep[1:] |= chars[:-1] != 0
     keep[starts] = True

@@ -157,5 +157,5 @@ def packed(documents: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     docs = documents.where(F.lit(True) if where is None else where).select(F.col(key).alias("doc_id"), cut(vocabulary, size, end)(F.col(text)).alias("c"))
     flat = docs.select("doc_id", F.col("c.tokens").alias("doc_tokens"), F.explode("c.pieces").alias("p"))
-    pieces = written(flat.select("doc_id", F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.col("p.crc").alias("ids_crc32"), "doc_tokens"))
-    return pack(pieces, ["doc_id", "start", "ids_crc32", "doc_tokens"], size=size)
+    pieces = written(flat.select("doc_id", F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.col("p.crc").alias("ids_crc32"), "doc_tokens", F.monotonically_increasing_id().alias("row")))
+    return pack(pieces, ["doc_id", "start", "ids_crc32", "doc_tokens", "row"], size=size).drop("row")  # the row spreads equal ones over salts

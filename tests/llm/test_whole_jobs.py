@@ -138,3 +138,56 @@ def test_crowds_equal_brute_force(spark, monkeypatch):
     texts = [*crowd(1, 3, 30, 1), *crowd(2, 3, 30, 2), *crowd(3, 2, 30, 4), None, "", "a b c"]
     roots, _ = pairs_tried(spark, monkeypatch, texts)
     assert roots == jaccard_groups(texts)
+
+
+def damage(kind, tmp_path):
+    """A folder with one file of three records, of which the last is damaged, and the byte at which that begins."""
+    import gzip
+
+    row = {"record_id": "<urn:x>", "record_type": "response", "target_uri": "u", "warc_date": None, "payload_digest": None, "refers_to": None, "payload_bytes": 5000, "payload": bytes(random.Random(1).randbytes(5000))}
+    plain = [warc.record(row | {"record_id": f"<{k}>"}) for k in range(3)]
+    held = {"own": [warc.member(x) for x in plain], "other": [gzip.compress(x) for x in plain]}.get(kind.split("-")[0], plain)
+    how = kind.split("-")[1]
+    last = {"body": held[2][:2085], "head": held[2][:60], "start": held[2][:11], "odd": b"\x00odd" + held[2]}[how]
+    (tmp_path / ("a.warc" if held is plain else "a.warc.gz")).write_bytes(held[0] + held[1] + last)
+    return str(tmp_path), len(held[0]) + len(held[1])
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("kind", [f"{file}-{how}" for file in ("own", "other", "plain") for how in ("body", "head", "start", "odd")])
+def test_damaged_archives(kind, payload, tmp_path):
+    path, at = damage(kind, tmp_path)
+
+    def found(**more):
+        reader = warc.WarcReader({"path": path, "payload": str(payload), **more})
+        return [r for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()]
+
+    with pytest.raises(warc.Damaged, match=rf"a\.warc.* at byte {at}\b"):
+        found()
+    assert [r["record_id"] for r in found(damaged="skip")] == ["<0>", "<1>"]
+
+
+def test_blank_lines_are_no_record_and_damage_reaches_the_job(spark, tmp_path):
+    row = {"record_id": "<a>", "record_type": "response", "target_uri": "u", "warc_date": None, "payload_digest": None, "refers_to": None, "payload_bytes": 2, "payload": b"ok"}
+    (tmp_path / "a.warc").write_bytes(warc.record(row) + b"\r\n\n\r\n")
+    assert warc.read_warc(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.warc").write_bytes(warc.record(row)[:-40])
+    assert warc.read_warc(spark, str(tmp_path), damaged="skip").count() == 1
+    with pytest.raises(Exception, match="b.warc: the WARC record at byte 0 is damaged"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_items_that_share_a_passage_meet_few_documents(spark, monkeypatch):
+    from tracemill.llm import decontam
+
+    r = random.Random(6)
+    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(60))
+    own = [" ".join(f"i{k}x{j}" for j in range(30)) for k in range(40)]
+    items = spark.createDataFrame([(k, f"{passage} {x}") for k, x in enumerate(own)], "item_id bigint, text string")
+    docs = [(k, f"a b c {passage} d e {k}") for k in range(200)] + [(1000 + k, f"x {passage} {own[k]} y") for k in range(5)]
+    found = []
+    plain = decontam.written
+    monkeypatch.setattr(decontam, "written", lambda df: found.append(out) or out if "text_key" in (out := plain(df)).columns and "item" in out.columns else out)
+    got = decontam.contained(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1000 + k, k) for k in range(5)]
+    assert sum(x.count() for x in found) <= 5  # 8,200 pairs of a document and an item share the passage

@@ -1,7 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are put into size classes by their number of distinct shingles (powers of two). An item's sketch is its k lowest
-shingle hashes, k set by its class: if at most m shingles of an item may be missing, k = m(class) + 2. A document that
+Items are put into size classes by their number of distinct shingles (powers of two). An item's sketch is its k shingle
+hashes that fewest items hold (then the lowest), so a passage that many items share makes few candidates; k is set by its class: if at most m shingles of an item may be missing, k = m(class) + 2. A document that
 holds the asked share of an item's shingles misses at most m of them, so at least k - m of the sketch are in it: the
 search, by an equi-join of the document's shingle hashes with the sketches, loses no pair however long the document is.
 Candidates are verified on the shingles themselves. All steps are DataFrame functions.
@@ -40,7 +40,11 @@ def sketches(items: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
     """item (a number that tells rows apart by id and text), q (distinct shingles), need, sketch, shingles."""
     read = items.select(F.col("item_id"), _words(F.col("text")).alias("w")).where(f"size(w) >= {words}").distinct()
     held = read.select("item_id", "w", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
-    held = held.select("item_id", F.xxhash64("item_id", "w").alias("item"), F.array_sort(F.array_distinct(_hashes(words))).alias("hashes"), _shingles(words).alias("shingles"))
+    held = held.select("item_id", F.xxhash64("item_id", "w").alias("item"), F.array_distinct(_hashes(words)).alias("hashes"), _shingles(words).alias("shingles"))
+    each = held.select("item", F.explode("hashes").alias("hash"))
+    rarity = each.groupBy("hash").agg(F.count("*").alias("n"))
+    rarest = each.join(rarity, "hash").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("o"))  # one item's
+    held = held.drop("hashes").join(rarest, "item").withColumn("hashes", F.col("o.hash"))
     sized = held.withColumn("q", F.size("hashes")).withColumn("most", F.expr("cast(shiftleft(1, cast(floor(log2(q)) as int) + 1) - 1 as int)"))
     missing = f"cast(floor((1 - {share}D) * {{}} + 1e-9) as int)"
     sized = sized.withColumn("k", F.expr(f"least(q, {missing.format('most')} + 2)"))
@@ -49,11 +53,11 @@ def sketches(items: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
 
 def contained(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, item_id, item_shingles, matched, containment for each pair that reaches the share."""
-    items = written(sketches(items, words, share))
+    items = written(sketches(written(items.select("item_id", "text")), words, share))
     sketch = written(items.select("item", "need", F.explode("sketch").alias("hash")))
     docs = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     hashed = docs.select(F.xxhash64("text").alias("text_key"), F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    flat = hashed.select("text_key", F.explode(_hashes(words)).alias("hash"))
+    flat = hashed.select("text_key", F.explode(F.array_distinct(_hashes(words))).alias("hash"))
     hits = flat.join(sketch, "hash").groupBy("text_key", "item", "need").agg(F.count_distinct("hash").alias("hits"))
     candidates = written(hits.where("hits >= need").select("text_key", "item"))
     keys = written(candidates.select("text_key").distinct())

@@ -11,7 +11,10 @@ final names, so a lost executor's files never count. The folder must be one that
 any address that pyarrow's file systems open).
 
 Defined cases: an empty folder or table gives no records; a null payload is written as an empty one; header values that
-are null are left out and read as null."""
+are null are left out and read as null. Repeated rows are records of their own. Only the named columns of pages are read, so
+others may have any name. Blank lines after the last record of a plain file are no record. A file that is damaged (cut
+within a record, or no WARC record where one should begin) raises Damaged, a ValueError that names the file and the byte
+where the record begins; with damaged="skip" the records before that place count and the rest of the file is left out."""
 
 from __future__ import annotations
 
@@ -75,18 +78,35 @@ def member(data: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, total, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+class Damaged(ValueError):
+    """A file that does not hold whole WARC records."""
+
+
 def parsed(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
-        raise ValueError(f"no WARC record: {lines[0][:40]!r}")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
+        raise Damaged(f"no WARC record: {lines[0][:40]!r}")
+    found = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
+    if not found.get("content-length", "").isdigit():
+        raise Damaged("it does not state its content's length")
+    return found
 
 
 class Stream:
-    """A file read forwards in large steps; skipping moves ahead without reading."""
+    """A file read forwards in large steps; skipping moves ahead without reading. `record` is where the last record began."""
 
     def __init__(self, file):
-        self.file, self.held, self.at = file, b"", 0
+        self.file, self.held, self.at, self.record = file, b"", 0, 0
+        self.total = file.seek(0, 2)
+        file.seek(0)
+
+    def place(self) -> int:
+        return self.file.tell() - (len(self.held) - self.at)
+
+    def need(self, n: int) -> None:
+        """Damaged, unless n more bytes are there."""
+        if self.place() + n > self.total:
+            raise Damaged("the file ends within it")
 
     def peek(self, n: int) -> bytes:
         while len(self.held) - self.at < n and (more := self.file.read(max(n, 1 << 20))):
@@ -135,14 +155,15 @@ def _inflated(stream: Stream, total: int) -> Iterator[bytes]:
 
 def _gzip_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]:
     while start := stream.peek(24):
+        stream.record = stream.place()
         if start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"sl" and struct.unpack("<H", start[10:12])[0] == 12:
-            total = struct.unpack("<I", start[16:20])[0]
+            stream.need(total := struct.unpack("<I", start[16:20])[0])
             begun = _inflated(stream, total)
             data = next(begun)
             while not (parts := _split(data)) and (more := next(begun, b"")):
                 data += more
             if not parts:
-                raise ValueError("a WARC record without an end of its headers")
+                raise Damaged("its headers have no end")
             headers = parsed(parts[0])
             keep, payload = wanted(headers)
             if not keep:
@@ -162,31 +183,40 @@ def _gzip_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]
             while not inflate.eof and (more := stream.take(1 << 16)):
                 data.append(inflate.decompress(more))
             stream.at -= len(inflate.unused_data)
-            head, block = _split(b"".join(data))
-            headers = parsed(head)
+            parts = _split(b"".join(data))
+            if not inflate.eof or not parts:
+                raise Damaged("the file ends within it" if not inflate.eof else "its headers have no end")
+            headers = parsed(parts[0])
+            if len(parts[1]) < int(headers["content-length"]):
+                raise Damaged("its content is shorter than stated")
             if wanted(headers)[0]:
-                yield headers, block[: int(headers["content-length"])]
+                yield headers, parts[1][: int(headers["content-length"])]
 
 
 def _plain_records(stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]:
-    while stream.peek(1):
-        read = HEAD
+    while True:
+        while stream.peek(1) in (b"\r", b"\n"):  # after the record before, or at the end
+            stream.skip(1)
+        if not stream.peek(1):
+            return
+        stream.record, read = stream.place(), HEAD
         while not (parts := _split(stream.peek(read))) and len(stream.peek(read)) == read:
             read *= 4
+        if not parts:
+            raise Damaged("its headers have no end")
         headers = parsed(parts[0])
         stream.skip(len(parts[0]) + 4)
-        length = int(headers["content-length"])
+        stream.need(length := int(headers["content-length"]))
         keep, payload = wanted(headers)
         if keep and payload:
             yield headers, stream.take(length)
-            stream.skip(4)
         else:
             if keep:
                 read = min(length, HEAD)
                 while _http(headers) and not _split(stream.peek(read)) and read < length and len(stream.peek(read)) == read:
                     read = min(length, read * 4)
                 yield headers, (_split(stream.peek(read)) or (b"", b""))[0] + b"\r\n\r\n"
-            stream.skip(length + 4)
+            stream.skip(length)
 
 
 @dataclass
@@ -199,6 +229,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.bytes = int(options.get("partition_bytes", 32 << 20))
+        self.skip_damaged = options.get("damaged", "fail") == "skip"
         self.push = {c: frozenset(v) for c, v in json.loads(options.get("push", "{}")).items() if c in HEADERS}
         self.filters: list[tuple[str, frozenset]] = []
 
@@ -236,6 +267,13 @@ class WarcReader(DataSourceReader):
         right = base32_sha1(body) == value["payload_digest"] if whole and value["payload_digest"] else None
         return (*value.values(), size, right, body if whole else None)
 
+    def _records(self, path: str, stream: Stream, wanted) -> Iterator[tuple[dict, bytes | None]]:
+        try:
+            yield from (_gzip_records if path.endswith(".gz") else _plain_records)(stream, wanted)
+        except (Damaged, zlib.error) as e:
+            if not self.skip_damaged:
+                raise Damaged(f"{path}: the WARC record at byte {stream.record} is damaged: {e}") from e
+
     def read(self, partition: Files):
         def wanted(headers: dict) -> tuple[bool, bool]:
             for column, allowed in self.filters:
@@ -251,8 +289,7 @@ class WarcReader(DataSourceReader):
         system = opened(self.path)[0]
         for path in partition.paths:
             with system.open_input_file(path) as file:
-                records = (_gzip_records if path.endswith(".gz") else _plain_records)(Stream(file), wanted)
-                for headers, block in records:
+                for headers, block in self._records(path, Stream(file), wanted):
                     rows.append(self._row(headers, block))
                     if len(rows) == ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -327,16 +364,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict[str, list[str]] | None = None) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict[str, list[str]] | None = None, damaged: str = "fail") -> DataFrame:
     """Records of a folder. where: for header columns the values that are wanted, as in
     {"record_type": ["response"]}; these conditions are pushed into the reader. Conditions that are put on the result
     later are not: Spark 4.1 keeps the pushed filters of a loaded relation for all frames made from it, so a second
-    frame would see the first one's filters. Those of `where` are the same for all."""
+    frame would see the first one's filters. Those of `where` are the same for all. damaged: "fail" or "skip"."""
     register(spark)
     where = {c: sorted(v) for c, v in (where or {}).items()}
     if odd := set(where) - set(HEADERS):
         raise ValueError(f"no header columns: {sorted(odd)}")
-    rows = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("push", json.dumps(where)).load()
+    rows = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("push", json.dumps(where)).option("damaged", damaged).load()
     for column, values in where.items():
         rows = rows.where(F.col(column).isin(*values) if values else F.lit(False))
     return rows

@@ -173,9 +173,9 @@ def test_exact_quantiles_without_a_whole_group(spark, monkeypatch):
 
     import numpy as np
 
-    from tracemill.operators import stats
+    from tracemill.operators import segments, stats
 
-    monkeypatch.setattr(stats, "RANGE_ROWS", 20)
+    monkeypatch.setattr(segments, "HOT_ROWS", 20)
     r = random.Random(3)
     held = [(k % 3, r.choice([r.random(), 0.5, float(r.randint(0, 9))])) for k in range(900)] + [(0, None)]
     df = spark.createDataFrame(held, "g int, v double")
@@ -197,3 +197,38 @@ def test_strip_and_cache_key(spark):
     assert spark.createDataFrame([(blanks + "a　b" + blanks,)], "t string").select(strip(F.col("t"))).first()[0] == (blanks + "a　b" + blanks).strip()
     df = spark.createDataFrame([(2, 1, None, (5, None, "x"))], "b int, a int, c string, d struct<z:int,y:string,k:string>")
     assert df.select(cache_key("b", "a", "c", "d")).first()[0] == hashlib.sha1(b'{"a":1,"b":2,"d":{"k":"x","z":5}}').hexdigest()
+
+
+def test_spelled_cache_key_is_that_of_default_json(spark):
+    import hashlib
+    import json
+
+    from tracemill.operators.journal import spelled_cache_key
+
+    rows = [("a: b, \"c\\d\" é👍\n", 1, None), ("", -5, "x"), (None, None, "漢,:"), ("k" * 30000 + '\\"', 3, '","')]
+    df = spark.createDataFrame(rows, "z string, a bigint, m string")
+    nested = F.struct("z", F.array("a", "a").alias("l")).alias("n")
+    got = [r[0] for r in df.select(spelled_cache_key("z", "a", nested, "m")).collect()]
+    expected = [hashlib.sha1(json.dumps({"z": z, "a": a, "n": {"z": z, "l": [a, a]}, "m": m}, sort_keys=True).encode()).hexdigest() for z, a, m in rows]
+    assert got == expected
+
+
+def test_several_globs_and_context_of_many_turns(spark, tmp_path):
+    import json
+
+    from tracemill.sources import records as r
+    from tracemill.sources.transcripts import lines_with_numbers, malformed_documents, read_json
+
+    for name in ("a.jsonl", "b.log", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert sorted(f.path.rsplit("/")[-1] for f in r.newest_files(spark, str(tmp_path), ["*.jsonl", "*.log"], 5).collect()) == ["a.jsonl", "b.log"]
+    turns = [json.dumps({"type": "user", "message": {"content": str(k)}}) for k in range(3000)]
+    (tmp_path / "s.jsonl").write_text("\n".join(turns))
+    found = r.session_titles(lines_with_numbers(spark, str(tmp_path / "s.jsonl"))).first()
+    assert found["context"] == "\n".join(map(str, range(3000)))[:1500] and found["title"] is None
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name, text in {"ok.json": '[{"output": "a"}]', "cut.json": '[{"output": ', "text.json": '"x"', "blank.json": " \n", "numbers.json": "[1, 2]"}.items():
+        (docs / name).write_text(text)
+    assert read_json(spark, str(docs)).count() == 1
+    assert {x.file.rsplit("/")[-1]: x.reason for x in malformed_documents(spark, str(docs)).collect()} == {"cut.json": "no JSON", "text.json": "neither list nor object", "numbers.json": "no samples"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +23,8 @@ def strip(text: Column) -> Column:
 
 
 def contains_any(text: Column, marks: Sequence[str]) -> Column:
-    """Whether the lower-cased text holds one of the (lower-case) marks."""
-    low = F.lower(text)
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.contains(low, F.lit(m))
-    return found
+    """Whether the lower-cased text holds one of the (lower-case) marks. The text is lower-cased once, not for each mark."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(m)) for m in marks], F.lit(False)))
 
 
 def lines(text: Column) -> Column:

@@ -116,6 +116,18 @@ def cache_key(*values: Column) -> Column:
     return F.sha1(F.to_json(F.parse_json(F.to_json(F.struct(*values)))))
 
 
+def spelled_cache_key(*values: Column) -> Column:
+    """SHA-1 of the named values as JSON with a space behind each comma and colon, nulls kept, names sorted, and characters
+    beyond ASCII as \\u escapes: what the common encoders write by default."""
+    text = F.to_json(F.parse_json(F.to_json(F.struct(*values), {"ignoreNullFields": "false"})), {"ignoreNullFields": "false"})
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    spaced = F.regexp_replace(text, rf'\G((?:{quoted}|[^":,])++)([:,])', "$1$2 ")
+    unit = lambda n: F.lower(F.concat(F.lit("\\u"), F.lpad(F.hex(n), 4, "0")))
+    pair = lambda n: F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+    escaped = F.array_join(F.transform(F.split(spaced, ""), lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 0x10000, unit(F.ascii(c))).otherwise(pair(F.ascii(c)))), "")
+    return F.sha1(F.when(spaced.rlike(r"[^\x00-\x7f]"), escaped).otherwise(spaced))
+
+
 def first_existing(rows: DataFrame, key: str, places: Sequence[DataFrame], value: str) -> DataFrame:
     """rows with the value of the first place (in order) that has the key."""
     for i, place in enumerate(places):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.functions.records import content_text, text_at
 from tracemill.functions.text import base_name, strip
@@ -77,21 +78,31 @@ def audit_rows(found: DataFrame, phase: str, at: Column, branch: Column | None =
     return rows.withColumn("human", F.when(F.lit(phase) == "END", human))
 
 
-def newest_files(spark: SparkSession, path: str, glob: str = "*.jsonl", n: int = 1) -> DataFrame:
-    """path, modified of the n newest files. Contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("modificationTime").alias("modified"))
+def newest_files(spark: SparkSession, path: str, glob: str | Sequence[str] = "*.jsonl", n: int = 1) -> DataFrame:
+    """path, modified of the n newest files of one or several patterns. Contents are not read."""
+    pattern = glob if isinstance(glob, str) else "{" + ",".join(glob) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.col("modificationTime").alias("modified"))
     return files.orderBy(F.desc("modified"), "path").limit(n)
 
 
+#: Characters of what the user said that a session's context has.
+CONTEXT = 1500
+
+
 def session_titles(lines: DataFrame, by: str = "file", pos: str = "idx", line: str = "line") -> DataFrame:
-    """by, title (the last one set), done (it begins with a tick), context (first 1500 characters of the user's words)."""
+    """by, title (the last one set), done (it begins with a tick), context (first CONTEXT characters of the user's words). Of a
+    session's turns the first CONTEXT are gathered: each adds a character at least, so no later one can be in the context."""
     rows = lines.withColumn("e", F.try_parse_json(line)).where(F.col("e").isNotNull())
     kind, title = text_at(F.col("e"), "type"), text_at(F.col("e"), "customTitle")
     said = content_text(F.try_variant_get("e", "$.message.content", "variant"))
     rows = rows.select(by, pos, F.when(kind == "custom-title", title).alias("title"), F.when(kind == "user", said).alias("said"))
-    words = F.transform(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct(pos, F.substring("said", 1, 1500).alias("said"))))), lambda x: x["said"])
-    out = rows.groupBy(by).agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col(pos))).alias("title"), F.substring(F.array_join(words, "\n"), 1, 1500).alias("context"))
-    return out.select(by, "title", F.coalesce(F.startswith("title", F.lit("✅ ")), F.lit(False)).alias("done"), "context")
+    titles = rows.groupBy(by).agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col(pos))).alias("title"))
+    first = rows.where("said is not null").select(by, pos, F.substring("said", 1, CONTEXT).alias("said"))
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(pos))).where(F.col("rank") <= CONTEXT)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("rank", "said"))), lambda x: x["said"])
+    context = first.groupBy(by).agg(F.substring(F.array_join(words, "\n"), 1, CONTEXT).alias("context"))
+    out = titles.join(context, by, "left")
+    return out.select(by, "title", F.coalesce(F.startswith("title", F.lit("✅ ")), F.lit(False)).alias("done"), F.coalesce("context", F.lit("")).alias("context"))
 
 
 def read_front_matter(spark: SparkSession, path: str, fields: tuple[str, ...] = ("title", "date", "status", "dataset", "method", "priority")) -> DataFrame:

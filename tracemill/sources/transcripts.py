@@ -72,9 +72,19 @@ def malformed(spark: SparkSession, paths: str | list[str], glob: str | None = No
     return rows.where(F.col("record").isNull() | ~records.is_object(F.col("record"))).select("file", "idx", "line")
 
 
+def malformed_documents(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """file, reason of the files that read_json gives no sample of, although they are not blank: no JSON, neither a list nor
+    an object, a wrapper that holds null, or no object among the items."""
+    files = whole_files(spark, paths, glob).where(strip(F.col("value")) != "").select("file", F.try_parse_json("value").alias("document"))
+    found = read_json(spark, paths, glob=glob).select("file").distinct()
+    kind = F.when(F.col("document").isNull(), "no JSON").when(records.is_array(F.col("document")) | records.is_object(F.col("document")), "no samples").otherwise("neither list nor object")
+    return files.select("file", kind.alias("reason")).join(found, "file", "left_anti")
+
+
 def read_json(spark: SparkSession, paths: str | list[str], score_field: str = "score", threshold: float = 0.5, glob: str | None = None) -> DataFrame:
     """One document a file: a list, or an object's samples, results or data (the object itself, if that is no list).
-    An object without these has no samples. Items that are no objects are left out, but take a number."""
+    An object without these has no samples. Items that are no objects are left out, but take a number; files that give no
+    sample are listed by malformed_documents()."""
     files = whole_files(spark, paths, glob).select("file", F.try_parse_json("value").alias("document"))
     whole, held = F.col("document"), records.keys(F.col("document"))
     inner = F.lit(None).cast("variant")

@@ -47,15 +47,19 @@ def monitored_runs(runs: DataFrame, budget: float, most_failures: int = 3, key:
     """Over a stream of runs (key, ts, cost, ok): for each key the runs so far, what they spent, how many of the last
     failed in a row, and whether to stop (budget used up, or too many failures). State is three numbers a key; runs of a
     batch are taken in order of ts, and a null ok counts as a failure, a null cost as 0."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(name, batches, state: GroupState):
         spent, streak, n = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for cost, ok in zip(rows["cost"].fillna(0.0), rows["ok"]):
-            spent, n = spent + float(cost), n + 1
-            streak = 0 if ok is not None and not pd.isna(ok) and bool(ok) else streak + 1
+        marks = []  # of each run its time and whether it is all right: only the streak needs their order
+        for rows in batches:
+            spent, n = spent + float(rows["cost"].fillna(0.0).sum()), n + len(rows)
+            marks.append((rows["ts"].to_numpy(), np.array([x is not None and not pd.isna(x) and bool(x) for x in rows["ok"]], bool)))
+        order = np.argsort(np.concatenate([t for t, _ in marks]), kind="stable")
+        good = np.flatnonzero(np.concatenate([ok for _, ok in marks])[order])
+        streak = len(order) - 1 - int(good[-1]) if len(good) else streak + len(order)
         state.update((spent, streak, n))
         yield pd.DataFrame([(*name, n, spent, streak, spent >= budget or streak >= most_failures)], columns=[key, "runs", "spent", "failures", "stop"])
 

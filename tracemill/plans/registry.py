@@ -917,3 +917,58 @@ def phrase_report(spark, sf_dir):
     """The report's parts"""
     found = lines.phrase_lint(_t(spark, sf_dir, "documents"), PHRASES)
     return found.groupBy(rules.report_part(F.col("confidence")).alias("part")).agg(F.count("*").alias("lines"), F.sum("times").cast("bigint").alias("times"))
+
+
+_T_BY_TYPE = f"""c AS (SELECT event_type, count(*) AS n, corr(value, user_id) AS r FROM events GROUP BY 1), t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c),
+    p AS (SELECT event_type, {_t_p('t', 'df')} AS p FROM t)"""
+
+
+@query(f"""WITH {_T_BY_TYPE}, k AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p) AS r FROM p)
+    SELECT event_type, round(p, 9) AS p, round(least(1.0, p * n), 9) AS bonferroni, round(least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS fdr FROM k""")
+def adjusted_p(spark, sf_dir):
+    """P-values of several tests, corrected (own definition)"""
+    tests = stats.correlation_test(_t(spark, sf_dir, "events"), ["event_type"], "value", "user_id").select("event_type", "p")
+    return _rounded(stats.adjusted(tests), "p", "bonferroni", "fdr", digits=9)
+
+
+@query(ORACLE_SQL["stratified_sample"].replace("SELECT id, label, stratum FROM p UNION ALL SELECT id, label, 'random' FROM o, k WHERE", ", x AS (SELECT stratum FROM p UNION ALL SELECT 'random' FROM o, k WHERE") + """)
+    SELECT (SELECT total FROM c) AS total_samples, (SELECT np FROM c) AS passed, (SELECT nf FROM c) AS failed, (SELECT total - np - nf FROM c) AS unscored, (SELECT count(*) FROM x) AS samples_extracted,
+    count(*) FILTER (stratum = 'failures') AS failures, count(*) FILTER (stratum = 'successes') AS successes, count(*) FILTER (stratum = 'random') AS random FROM x""")
+def extraction_summary(spark, sf_dir):
+    """A12"""
+    samples = _samples(spark, sf_dir)
+    row = checks.summary(samples, "documents", "table", sampling.stratified_sample(samples))
+    part = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0).cast("bigint"))
+    each = {"passed": ("score_distribution", "pass"), "failed": ("score_distribution", "fail"), "unscored": ("score_distribution", "error")} | {k: ("extraction_breakdown", k) for k in ("failures", "successes", "random")}
+    return row.select("total_samples", "samples_extracted", *[part(F.col(c), k).alias(n) for n, (c, k) in each.items()])
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN '✅ talk ' || conv_id ELSE 'talk ' || conv_id END AS title, conv_id % 2 = 0 AS done,
+    substr(coalesce(string_agg(substr(text, 1, 1500), chr(10) ORDER BY turn) FILTER (role = 'user'), ''), 1, 1500) AS context FROM conversations GROUP BY conv_id""")
+def session_titles(spark, sf_dir):
+    """Conversations as session files, titled twice"""
+    from tracemill.sources.records import session_titles as titles
+
+    turns = _t(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    said = turns.select("conv_id", F.col("turn").alias("idx"), line.alias("line"))
+    name = F.concat(F.when(F.col("conv_id") % 2 == 0, "✅ ").otherwise(""), F.lit("talk "), F.col("conv_id").cast("string"))
+    named = lambda at, c: F.to_json(F.struct(F.lit("custom-title").alias("type"), c.alias("customTitle")))
+    ids = turns.select("conv_id").distinct()
+    early, late = ids.select("conv_id", F.lit(-1).cast("bigint").alias("idx"), named(0, F.lit("untitled")).alias("line")), ids.select("conv_id", F.lit(10**6).cast("bigint").alias("idx"), named(1, name).alias("line"))
+    return titles(said.unionByName(early).unionByName(late), "conv_id").select("conv_id", "title", "done", "context")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS tool, 'run ' || user_id AS command, CAST(json_extract(props, '$.k') AS BIGINT) AS timeout, user_id % 2 = 0 AS background,
+    CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 2 = 0 THEN 'said ' || event_id ELSE '' END AS response, CAST(CASE WHEN event_type = 'error' OR event_id % 2 = 1 THEN event_id % 3 END AS VARCHAR) AS exit_code FROM events""")
+def tool_events(spark, sf_dir):
+    """Events as JSON lines of tool use, with responses that are texts or objects"""
+    from tracemill.sources.records import events as read
+
+    e = _t(spark, sf_dir, "events")
+    kind, code = F.col("event_type"), (F.col("event_id") % 3)
+    given = F.struct(F.concat(F.lit("run "), F.col("user_id").cast("string")).alias("command"), F.get_json_object("props", "$.k").cast("bigint").alias("timeout"), (F.col("user_id") % 2 == 0).alias("run_in_background"), F.col("event_id").cast("string").alias("file_path"))
+    full = F.to_json(F.struct(F.when(kind != "view", kind).alias("tool_name"), given.alias("tool_input"), F.struct(F.when(kind == "error", "failed").alias("error"), code.alias("exit_code")).alias("tool_response")))
+    said = F.to_json(F.struct(F.when(kind != "view", kind).alias("tool_name"), given.alias("tool_input"), F.concat(F.lit("said "), F.col("event_id").cast("string")).alias("tool_response")))
+    rows = read(e.select(F.when((kind == "error") | (F.col("event_id") % 2 == 1), full).otherwise(said).alias("value")))
+    return rows.select(F.col("file_path").cast("bigint").alias("event_id"), "tool", "command", "timeout", "background", "response", "exit_code")

@@ -232,3 +232,12 @@ def test_several_globs_and_context_of_many_turns(spark, tmp_path):
         (docs / name).write_text(text)
     assert read_json(spark, str(docs)).count() == 1
     assert {x.file.rsplit("/")[-1]: x.reason for x in malformed_documents(spark, str(docs)).collect()} == {"cut.json": "no JSON", "text.json": "neither list nor object", "numbers.json": "no samples"}
+
+
+def test_defaults_stand_in_for_false(spark):
+    import json
+
+    rows = [{"tool_name": False, "tool_input": {"command": False, "cwd": False, "run_in_background": False}, "tool_response": {"stdout": False, "exit_code": False}, "tool_output": {"exit_code": 2}}, {"tool_name": "false", "tool_response": {"exit_code": 0, "error": True}}]
+    got = [r.asDict() for r in r.events(spark.createDataFrame([(json.dumps(x),) for x in rows], "value string")).collect()]
+    assert (got[0]["tool"], got[0]["command"], got[0]["cwd"], got[0]["stdout"], got[0]["exit_code"], got[0]["background"]) == ("", "", None, "", "2", False)
+    assert (got[1]["tool"], got[1]["exit_code"], got[1]["response"]) == ("false", "0", "true")

@@ -53,9 +53,15 @@ def usage_totals(usage: DataFrame, experiment: str | None = None, by: str | None
 
 
 def events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Tool events of JSON lines (batch or streaming): the fields that rules use, with their defaults."""
+    """Tool events of JSON lines (batch or streaming): the fields that rules use, with their defaults. A default also stands
+    in for a field that is false, as the logs' own tools have it."""
     e = F.try_parse_json(line)
-    get = lambda p, kind="string": F.try_variant_get("e", p, kind)
+
+    def get(p: str, kind: str = "string") -> Column:
+        found = F.try_variant_get("e", p, kind)
+        off = (F.schema_of_variant(F.try_variant_get("e", p, "variant")) == "BOOLEAN") & (F.try_variant_get("e", p, "string") == "false")
+        return F.when(~F.coalesce(off, F.lit(False)), found) if kind == "string" else found
+
     rows = lines.withColumn("e", e).where(F.col("e").isNotNull())
     text = lambda p: F.coalesce(get(p), F.lit(""))
     error = F.when(F.schema_of_variant(F.try_variant_get("e", "$.tool_response", "variant")).startswith("OBJECT"), text("$.tool_response.error")).otherwise(text("$.tool_response"))

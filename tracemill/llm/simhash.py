@@ -41,7 +41,7 @@ NODES_A_TASK = 16384
 SAMPLE, COMMON, MOST_COMMON = 8192, 4, 1 << 17
 #: Sets that share a shingle of their prefixes from which on it is moved to the end of the order, and the most such shingles
 #: that are broadcast; more meet the sets in a join.
-CROWD, MOST_LATE = 32, 1 << 20
+CROWD, MOST_LATE = 128, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:

@@ -124,6 +124,7 @@ def pairs_tried(spark, monkeypatch, texts):
 def test_a_crowd_that_is_alike_but_not_near_makes_no_pairs(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "COMMON", 10**9)  # no shingle is common from the start
     monkeypatch.setattr(simhash, "MOST_LATE", most)
+    monkeypatch.setattr(simhash, "CROWD", 32)  # the library's bound is four times that, for groups as large in proportion
     tried = []
     for g in (150, 300):
         roots, n = pairs_tried(spark, monkeypatch, crowd(g, 1, g, 4))
@@ -132,6 +133,12 @@ def test_a_crowd_that_is_alike_but_not_near_makes_no_pairs(spark, monkeypatch, m
     assert max(tried) <= 300  # all pairs would be 11,175 and 44,850
 
 
+def test_a_crowd_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 10**9)
+    roots, n = pairs_tried(spark, monkeypatch, crowd(5, 1, 500, 4))
+    assert roots == list(range(500)) and n <= 500  # all pairs would be 124,750
+
+
 def test_crowds_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COMMON", 10**9)
     monkeypatch.setattr(simhash, "CROWD", 8)

@@ -78,6 +78,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
+        self.ones: dict[int, tuple[str, int]] = {}  # groups of one token each
         self.pairs: list[frozenset[int]] = []
         self.young: dict[str, Word] = {}
         self.old: dict[str, Word] = {}
@@ -97,21 +98,34 @@ class Aligner:
 
     def align(self, word: str, b: list[int]) -> Word | None:
         """The groups of space + word, whose B tokens are given."""
-        data, bytes_b, size_a = " " + word, self.bytes_b, self.size_a
+        data = " " + word
         whole, a = data.encode("utf-8"), self.tokens_a(data)
-        if b"".join([bytes_b[x] for x in b]) != whole or sum([size_a[x] for x in a]) != len(whole):
+        bytes_b = [self.bytes_b[x] for x in b]
+        sizes_a, sizes_b = [self.size_a[x] for x in a], [len(x) for x in bytes_b]
+        if sum(sizes_a) != len(whole) or b"".join(bytes_b) != whole:
             return None
-        said, links, i, j, end_b, end_a, k = [], 0, 0, 0, 0, 0, 0
-        for n, x in enumerate(a, 1):
-            end_a += size_a[x]
-            while end_b < end_a:
-                end_b += len(bytes_b[b[k]])
+        ones, said, numbers, links, i, j, n, k, ahead = self.ones, [], [], 0, 0, 0, 0, 0, 0
+        for size in sizes_a:  # ahead: bytes by which the B tokens so far pass the A tokens
+            n += 1
+            ahead -= size
+            while ahead < 0:
+                ahead += sizes_b[k]
                 k += 1
-            if end_b == end_a:
-                said.append(f"{a[i]}|{b[j]}" if n - i == 1 == k - j else ",".join(map(str, a[i:n])) + "|" + ",".join(map(str, b[j:k])))
-                links += (n - i) * (k - j)
+            if not ahead:
+                if n - i == 1 == k - j:
+                    pair = a[i] << 16 | b[j]
+                    if pair not in ones:
+                        ones[pair] = (group := f"{a[i]}|{b[j]}"), self.number(group)
+                    group, number = ones[pair]
+                    links += 1
+                else:
+                    group = ",".join(map(str, a[i:n])) + "|" + ",".join(map(str, b[j:k]))
+                    number = self.number(group)
+                    links += (n - i) * (k - j)
+                said.append(group)
+                numbers.append(number)
                 i, j = n, k
-        return (len(a), len(b), len(said), links), ";".join(said), tuple([self.number(g) for g in said])
+        return (n, k, len(said), links), ";".join(said), tuple(numbers)
 
     def known(self, words: Iterable[str]) -> list[Word | None]:
         """The groups of each word, remembered in two generations: once the younger is full, the older is let go."""

@@ -5,7 +5,9 @@ leftmost and non-overlapping; a proposal that its validator refuses is dropped w
 only where a span can start (at an `@`, `+`, or the first digit of a run), so a text costs time in proportion to its
 length. A span's score is its kind's base score, raised by a fitting word in the 40 characters before or after it.
 
-Offsets are code points, ends exclusive. A null text is an empty one. Texts are read whole."""
+Offsets are code points, ends exclusive. A null text is an empty one. Texts are read whole. Repeated rows give equal
+results, each for itself; an empty table gives an empty result. A column function reads its own column alone, so other columns
+may have any name."""
 
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ Python worker keeps a bounded table of counts; its size changes speed and nothin
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens). Strings of added special tokens inside a text count
 as one token each, as the tokenizers library takes them by default. Texts are read whole; a pre-token of any length
-costs n log n."""
+costs n log n. Repeated rows are counted alike, each for itself; an empty table gives an empty result. A column function reads its
+own column alone, so other columns may have any name."""
 
 from __future__ import annotations
 

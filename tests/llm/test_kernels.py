@@ -55,6 +55,36 @@ def test_token_ids_equal_the_library(tokenizer):
         assert np.frombuffer(encode(x), "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_encoded_whole(tokenizer):
+    encoder = packing.Encoder(vocabulary())
+    latin = [chr(c) for c in range(0x250) if tokens._is_latin(chr(c))]
+    short = [*texts(3, 1000, latin, 80), *texts(4, 1000, " '\n\t\rstred ll_é1-", 80), "a" * 400 + " " * 400 + "b"]
+    for x in short:
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
+    assert not encoder.words and not encoder.words.old  # none of their pre-tokens went to the library one by one
+    for k, x in enumerate(["a" * 401 + " b", " " * 401 + "b", "b c" + "\n" * 401, "日本 b"]):
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
+        assert encoder.words
+        encoder.words.clear()
+
+
+@pytest.mark.parametrize("merges", [["bc", "ab", "ab c"], ["ab", "ab c", "bc"]])
+def test_vocabularies_that_rank_alone_does_not_give(tmp_path, merges):
+    """In the first, `a bc` makes a token that is no merge, so merging by rank alone would give another id for abc."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pairs = [tuple(m.split(" ")) if " " in m else tuple(m) for m in merges]
+    known = [*map(chr, tokens.byte_symbols()), *("".join(p) for p in pairs)]
+    own = Tokenizer(models.BPE({t: k for k, t in enumerate(known)}, pairs))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(str(tmp_path / "own.json"))
+    encoder = packing.Encoder(str(tmp_path / "own.json"))
+    assert (encoder.whole is None) == (merges[0] == "bc")
+    for x in texts(5, 300, "abc ", 12):
+        x = x.removesuffix("<|endoftext|>x")
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == own.encode(x).ids, repr(x)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_patterns_place_every_length_once(seed):
     r = random.Random(seed)

@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages from tracemill.llm: toxicity, near-duplicates, benchmark decontamination, personal data,
-packing. Four are operators of it as they are; near-duplicates are linked by the exact similarity of shingle sets
-(simhash.near_copies), since fingerprints can't find a similarity of 0.8. A stage takes (spark, docs, sf_dir) and works on
+packing. Four are operators of it as they are; near-duplicates are linked by fingerprints and pigeonring, then an exact check of
+shingle sets, and an exact search for what fingerprints can't find at a similarity of 0.8 (simhash.near_copies). A stage takes (spark, docs, sf_dir) and works on
 all that its predecessor kept; run() writes each stage's result as Parquet to the shared folder, reads it for the next, and
 removes all but the last when it is done.
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (texts linked by a Jaccard similarity of 0.8 or more of their five-word
-    shingles): the one with the smallest id (null ids last; null texts are one group). Rows are told apart by id and text;
+    shingles; found by SimHash with pigeonring, checked exactly, and completed by an exact search): the one with the smallest id (null ids last; null texts are one group). Rows are told apart by id and text;
     of rows that repeat both, one stays. Texts meet the list of what goes in an anti-join, which is broadcast up to base.SMALL rows."""
     mark = identity(F.col("doc_id"), F.col("text"))
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), mark.alias("mark")).alias("key"), "text")

@@ -4,6 +4,7 @@ import io
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from tracemill.llm import quality, simhash, warc
 
@@ -63,6 +64,46 @@ def test_pipeline_drops_every_near_copy(spark):
     assert sorted(d.doc_id for d in kept) == sorted({ids[g] for g in groups})
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_near_copies_by_fingerprint(spark, monkeypatch, far):
+    """Fingerprints' links are used, and nothing is lost or added where they tell nothing: where all are equal or none near."""
+    texts = [*copies(1, 10, 6, 40, 300), *copies(2, 3, 10, 80, 90), None, "", "a b", "A  b", "a b c d e", "a b c d e f"]
+    asked, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes: asked.append({r.fp for r in nodes.collect()}) or plain(nodes))
+    if far:  # the sum of a set's hashes: another one for every set
+        monkeypatch.setattr(simhash, "majorities", lambda held: np.array([h.sum() for h in held], np.uint64))
+    else:
+        monkeypatch.setattr(simhash, "majorities", lambda held: np.zeros(len(held), np.uint64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = dict(tuple(x) for x in simhash.near_copies(df).collect())
+    assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
+    assert len(asked) == 1 and (len(asked[0]) > 40 if far else asked[0] == {0})
+
+
+def test_fingerprints_link_before_the_search(spark, monkeypatch):
+    """Long texts that differ in a word: their pair is decided by their fingerprints, so the search for others tries none."""
+    base = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["first", *base[1:]]), " ".join(f"x{k}" for k in range(50))]
+    fps = simhash.majorities([simhash.shingle_set(t, 5, 42).view(np.uint64) for t in texts]).tolist()
+    assert all(bin(fps[0] ^ f).count("1") <= 4 for f in fps[1:3])
+    found, plain = [], simhash._by_fingerprint
+    monkeypatch.setattr(simhash, "_by_fingerprint", lambda nodes: found.append(plain(nodes)) or found[-1])
+    tried, write = [], simhash.written
+
+    def counting(df):
+        out = write(df)
+        if found and out.columns == ["a", "b"]:
+            tried.append(sorted((r.a, r.b) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
+    assert tried[0] == tried[1] and len(tried[0]) == 2  # both pairs pass the exact check
+    assert [] in tried  # and the search has none left to try
+
+
 def test_quality_keeps_good_text_that_was_not_learned(spark):
     r = random.Random(4)
     stock = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(1500)]

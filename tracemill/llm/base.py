@@ -32,12 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files at its end (from 4.1 on; earlier ones do not look at it).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: lineage ends there, lost executors do not
-    recompute it, and Catalyst knows its true size when it chooses between broadcast and shuffled joins. See scratch."""
+    recompute it, and Catalyst knows its true size when it chooses between broadcast and shuffled joins. What was shuffled for
+    it is of no use once it is written, and removed at once rather than at some collection of garbage. See scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if _made:
         _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,8 +15,8 @@ Defined cases: a null text, or one without a word, has fingerprint zero and is l
 words than a shingle is one shingle. Repeated rows share a component. The id of a component is its smallest non-null
 doc_id (null if it has none). An empty table gives an empty result.
 
-near_copies links texts by the Jaccard similarity of their shingle sets itself, by prefix filtering, which loses no pair:
-see there."""
+near_copies links texts by the Jaccard similarity of their shingle sets. Fingerprints and their links come first, an exact check
+of the sets follows; pairs too far apart for 4 bits are found by prefix filtering, which loses none: see there."""
 
 from __future__ import annotations
 
@@ -59,11 +59,16 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
 
 def fingerprints(texts: list[str | None], words: int = 4, seed: int = 42) -> np.ndarray:
     """A bit is 1 if it is set in over half of the shingles' hashes, repeats included."""
-    out = np.zeros(len(texts), np.uint64)
-    for first in range(0, len(texts), 256):
-        hashes = [shingle_hashes(x, words, seed) for x in texts[first : first + 256]]
+    return majorities([np.array(shingle_hashes(x, words, seed), np.uint64) for x in texts])
+
+
+def majorities(held: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes (unsigned) the bits that are set in over half of them."""
+    out = np.zeros(len(held), np.uint64)
+    for first in range(0, len(held), 256):
+        hashes = held[first : first + 256]
         sizes = np.array([len(h) for h in hashes])
-        flat = np.array([h for hs in hashes for h in hs], np.uint64)
+        flat = np.concatenate(hashes)
         row = np.repeat(np.arange(len(hashes)), sizes)
         octets = flat.astype(">u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
         counts = np.empty((len(hashes), 8, 8))
@@ -204,10 +209,11 @@ def shingle_sets(words: int = 5, seed: int = 42):
 
 
 def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float, seed: int):
-    """A column function: text -> sig (128 bits of its shingle set), size, and the set's prefix, common shingles last."""
+    """A column function: text -> sig (128 bits of its shingle set), its fingerprint fp (each shingle once), size, and the set's
+    prefix, common shingles last."""
     held = spark.sparkContext.broadcast(common)
 
-    @text_udf("struct<sig: binary, size: int, prefix: array<bigint>>")
+    @text_udf("struct<sig: binary, fp: bigint, size: int, prefix: array<bigint>>")
     def prefix(text: pa.Array) -> pa.Array:
         sets = [shingle_set(x, words, seed) for x in text.to_pylist()]
         flat, common = np.concatenate([np.zeros(0, np.int64), *sets]), held.value
@@ -220,7 +226,8 @@ def prefixes(spark: SparkSession, common: np.ndarray, words: int, share: float,
             late = last[begin:end]
             rare_first.append(np.concatenate((own[~late], own[late]))[: len(own) - int(np.ceil(share * len(own) - 1e-9)) + 1])
         sigs = pa.array([xxhash.xxh128_digest(own.tobytes(), seed) for own in sets], pa.binary())
-        return pa.StructArray.from_arrays([sigs, pa.array([len(own) for own in sets], pa.int32()), _arrays(rare_first)], ["sig", "size", "prefix"])
+        fps = pa.array(majorities([own.view(np.uint64) for own in sets]).view(np.int64))
+        return pa.StructArray.from_arrays([sigs, fps, pa.array([len(own) for own in sets], pa.int32()), _arrays(rare_first)], ["sig", "fp", "size", "prefix"])
 
     return prefix
 
@@ -270,14 +277,30 @@ def near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", w
         return keep(written(_near_copies(documents, key, text, words, share, seed)))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b; distinct, written) of nodes (node, fp; written): each with the first of those that its fingerprint is
+    linked to, directly or by others. Linear, however many are linked."""
+    with scratch(nodes.sparkSession) as keep:
+        prints = written(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+        named = written(prints.join(links(prints), "fp"))
+        hubs = written(named.groupBy("root").agg(F.min("hub").alias("hub"), F.sum("n").alias("n")).where("n > 1").select("root", "hub"))
+        by_fp = written(named.select("fp", "root").join(hubs, "root").select("fp", "hub"))
+        return keep(written(nodes.select("node", "fp").join(by_fp, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+
+
 def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: float, seed: int) -> DataFrame:
-    """In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
+    """Each distinct set has a fingerprint of its shingles, and fingerprints are linked to components as those of near_duplicates
+    are, by pigeonring. A component's members are checked against its first on the whole sets; those that are similar are
+    linked to it. Fingerprints of similar sets differ in more than 4 bits as a rule (10 at a similarity of 0.8), and members
+    of a long chain need not be similar, so what they leave is looked for exactly:
+
+    In any one order of all shingles, two such sets of n and m shingles share one, and the first that they share has at
     most n - share / (1 + share) * (n + m) before it in the set of n, and likewise in that of m: an equi-join on prefixes
     finds every pair. The order puts shingles that a sample finds common last, so a line that many texts hold makes few
     candidates, and then those that crowd (see _uncrowded). Candidates are thinned by a bound from the two prefixes, then decided
     on the whole sets.
-    Equal sets are one node. Nodes are first compared with one member of each bucket, that with fewest rare shingles (it is
-    the most like the others), and joined to components; then members outside a bucket's largest component look for
+    Equal sets are one node. Nodes not linked by their fingerprints are first compared with one member of each bucket, that with fewest rare
+    shingles (it is the most like the others), and joined to components; then members outside a bucket's largest component look for
     partners in it. In a dense group few are left by then, as each that can have a partner has met the one most alike.
 
     Defined cases: null and wordless texts are equal sets (empty ones) and linked; a text of fewer words than a shingle is
@@ -287,7 +310,7 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
     made = prefixes(spark, common, words, share, seed)
     marked = documents.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), made(F.col(text)).alias("p"))
     marked = written(marked.select("doc_id", "mark", "p.*", F.monotonically_increasing_id().alias("row")))
-    nodes = written(marked.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.count("*").alias("n")))
+    nodes = written(marked.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.count("*").alias("n")))
     again = written(marked.select("row", "sig").join(nodes.where("n > 1").select("sig", "node"), "sig").where("row <> node").select("row"))
     sets = marked.select(F.col("row").alias("node"), "size", "prefix").join(small(again).withColumnRenamed("row", "node"), "node", "left_anti")
     most = lambda n, m: f"{n} - {share / (1 + share)!r}D * ({n} + {m}) + 1e-6"
@@ -313,6 +336,8 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
         whole = texts.select(read(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
         return written(whole.join(marks.select("node", "sig"), "sig").select("node", *columns))
 
+    linked = similar(_by_fingerprint(nodes))
+    known = components(linked)
     sets = _uncrowded(spark, sets, common, texts_of, words, share, seed)
     flat = sets.select("node", "size", F.posexplode("prefix").alias("at", "hash"))
     shared = written(flat.groupBy("hash").count().where("count > 1").select("hash"))
@@ -322,8 +347,11 @@ def _near_copies(documents: DataFrame, key: str, text: str, words: int, share: f
     members = written(members.select("hash", "node", "size", "at", "hub"))
     fit = lambda n, m, i, j: f"{n} >= {share}D * {m} - 1e-6 and {m} >= {share}D * {n} - 1e-6 and {i} <= {most(n, m)} and {j} <= {most(m, n)}"
     near = members.where("node <> hub.node and " + fit("size", "hub.size", "at", "hub.at"))
-    near = similar(written(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()))
-    first = components(near)
+    near = near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    for x in "ab":
+        near = near.join(small(known).select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left")
+    near = similar(written(near.where("ra is null or rb is null or ra <> rb").select("a", "b")))
+    first = components(near.unionByName(linked))
     rooted = written(nodes.select("node", "sig", "first").join(first, "node", "left").select("node", "sig", "first", F.coalesce("root", "node").alias("root")))
     members = written(members.join(rooted.select("node", "root"), "node").select("hash", "node", "size", "at", "root"))
     mixed = written(members.groupBy("hash").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("hash"))

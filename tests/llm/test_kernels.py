@@ -429,3 +429,17 @@ def test_slices_change_nothing(monkeypatch, between):
         assert again[0].tolist() == found.tolist() and np.allclose(again[1], share, rtol=1e-12)
     assert np.allclose(langid.predicted(model, texts)[1], scores, rtol=1e-6)
     assert np.allclose(toxicity.scored(weights, texts), toxic, rtol=1e-6)
+
+
+def test_quality_answers_move_in_few_bytes(spark):
+    r = random.Random(1)
+    rows = sorted({(k % 3 - 1, r.randrange(1 << 44)) for k in range(60_000)})
+    frame = spark.createDataFrame([(s, g, -(g % 50) / 7) for s, g in rows], "shard bigint, gram bigint, logp double")
+    held = quality.bundled(frame.repartition(2)).collect()
+    got = []
+    for x in held:
+        for b in pa.ipc.open_stream(x.rows):
+            assert b.num_rows <= quality.BUNDLE
+            got += [(x.shard, g, round(p * 7)) for g, p in zip(np.cumsum(b.column("step").to_numpy()).tolist(), b.column("logp").to_pylist())]
+    assert sorted(got) == [(s, g, -(g % 50)) for s, g in rows]
+    assert sum(len(x.rows) for x in held) < 10 * len(rows)  # a row each took 29 in the shuffle

@@ -52,6 +52,8 @@ SHARD_BYTES = 64 << 20
 HELD = 2_000_000
 #: n-grams that a task remembers to have asked for, by a hash: most of a text's are among the last ones met.
 SEEN, SEEN_SHARDS = 1 << 17, 64
+#: Answers that move together.
+BUNDLE = 1 << 14
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -287,6 +289,47 @@ def resolved(grams: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def _stream(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def bundled(answers: DataFrame) -> DataFrame:
+    """shard, rows: answers (shard, gram, logp) as compressed Arrow streams (step, logp), up to BUNDLE of a shard in each. They are sorted,
+    and a gram is told by its distance from the one before, which takes a fraction of the bytes of a row each."""
+
+    def bundle(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out():
+            shards, grams, logp = map(np.concatenate, zip(*held))
+            order = np.lexsort((grams, shards))
+            shards, grams, logp = shards[order], grams[order], logp[order]
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for first, end in zip(edges, edges[1:]):
+                for a in range(first, end, BUNDLE):
+                    b = min(end, a + BUNDLE)
+                    rows = pa.RecordBatch.from_arrays([pa.array(np.diff(grams[a:b], prepend=0)), pa.array(logp[a:b])], ["step", "logp"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(shards[a])]), pa.array([_stream(rows)], pa.binary())], ["shard", "rows"])
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy() for c in ("shard", "gram", "logp")))
+                size += batch.num_rows
+            if size > HELD // 2:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    small_batches(answers.sparkSession)
+    return answers.select("shard", "gram", F.col("logp").cast("float").alias("logp")).mapInArrow(bundle, "shard bigint, rows binary")
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """shard, rows: documents (shard, ...) as compressed Arrow streams, a shard's rows of a batch in each, to move few bytes."""
     names = [c for c in documents.columns if c != "shard"]
@@ -296,10 +339,7 @@ def packed(documents: DataFrame) -> DataFrame:
             shards = batch.column("shard").to_numpy()
             for at in np.unique(shards):
                 rows = batch.select(names).filter(pa.array(shards == at))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([int(at)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at)]), pa.array([_stream(rows)], pa.binary())], ["shard", "rows"])
 
     small_batches(documents.sparkSession)
     return documents.mapInArrow(pack, "shard bigint, rows binary")
@@ -312,10 +352,8 @@ def perplexities(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFram
     grams = written(asked(documents, number))
     answers = grams.join(resolved(grams.select("gram").distinct(), made), "gram")
     kind = dict(documents.dtypes)["doc_id"]
-    told = answers.select("shard", "gram", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("binary").alias("rows"))
     texts = packed(documents.select("shard", "doc_id", "lang", "part", "trusted", "text"))
-    texts = texts.select("shard", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("float").alias("logp"), "rows")
-    union = told.unionByName(texts).withColumn("doc", F.col("gram").isNull())
+    union = bundled(answers).withColumn("doc", F.lit(False)).unionByName(texts.withColumn("doc", F.lit(True)))
 
     def score(batches):
         at, table, keys, values = None, None, [], []
@@ -327,10 +365,10 @@ def perplexities(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFram
                     continue
                 if one.column("shard")[0].as_py() != at:
                     at, table, keys, values = one.column("shard")[0].as_py(), None, [], []
-                answers = one.filter(pc.invert(one.column("doc")))
-                if answers.num_rows:
-                    keys.append(answers.column("gram").to_numpy().view(np.uint64))
-                    values.append(answers.column("logp").to_numpy())
+                for blob in one.filter(pc.invert(one.column("doc"))).column("rows"):
+                    for answers in pa.ipc.open_stream(blob.as_buffer()):
+                        keys.append(np.cumsum(answers.column("step").to_numpy()).view(np.uint64))
+                        values.append(answers.column("logp").to_numpy())
                 for blob in one.filter(one.column("doc")).column("rows"):
                     if table is None:
                         table = _table(keys, values)

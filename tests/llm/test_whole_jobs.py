@@ -2,11 +2,14 @@
 
 import io
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from tracemill.llm import quality, simhash, warc
+from pyspark.sql import functions as F
+from tracemill.llm import quality, simhash, toxicity, warc
 
 
 def copies(seed, roots, each, least, most):
@@ -239,3 +242,15 @@ def test_items_that_share_a_passage_meet_few_documents(spark, monkeypatch):
     got = decontam.contained(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
     assert sorted((x.doc_id, x.item_id) for x in got) == [(1000 + k, k) for k in range(5)]
     assert sum(x.count() for x in found) <= 5  # 8,200 pairs of a document and an item share the passage
+
+
+def test_training_gives_the_drivers_memory_back(spark):
+    """The driver's Python lives beside its JVM: a fit over some 30 MB of hashes once left more than that behind for good."""
+    words = "transform(sequence(1, 400), k -> translate(cast(abs(xxhash64(id, k)) as string), '0123456789', 'abcdefghij'))"
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr(f"concat_ws(' ', {words})").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    anonymous = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    toxicity.train(docs.limit(100), labels)  # what is loaded once
+    before = anonymous()
+    toxicity.train(docs, labels)
+    assert anonymous() - before < 20

@@ -104,6 +104,17 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
 
 
+@contextmanager
+def given_back():
+    """For the driver's Python, which lives beside its JVM: within, Arrow's memory is the C library's, and on leaving all that is free
+    goes back to the system. Else what a fit took once would stay with the driver for good."""
+    trim = _trim()
+    try:
+        yield
+    finally:
+        trim(0)
+
+
 def text_udf(kind: str):
     """An Arrow UDF over a column of texts, fed in small batches. Workers live on and serve other operators, so each batch
     gives its memory back."""

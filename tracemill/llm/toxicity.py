@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import drawn, mixed, pieces, text_udf, word_hashes
+from tracemill.llm.base import drawn, given_back, mixed, pieces, text_udf, word_hashes
 
 #: Words of overlap between slices of a long text, so that pairs and skip pairs across a cut are seen.
 OVERLAP = 2
@@ -55,7 +55,8 @@ def fit(bags: list[np.ndarray], marks: list[int], alpha: float = 2.0, beta: floa
     if len(set(labels)) < 2:
         share = labels.mean() if len(labels) else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    bags = _admitted(list(bags), admit)
+    bags = list(bags)
+    bags = _admitted(bags, admit)
     known, counts = np.unique(np.concatenate(bags), return_counts=True)
     known = known[counts >= admit]
     bags = [_places(known, b).astype(np.int32) for b in bags]
@@ -165,8 +166,15 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", where:
     chosen = drawn(known.select("y", "h"), "y", "h", rows_per_class, 2)
     docs = documents.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null").withColumn("h", F.xxhash64("i", F.lit(seed)))
     texts = docs.join(F.broadcast(chosen), "h").groupBy("h", "y").agg(F.min("t").alias("t"))
-    got = texts.select("h", "y", bags("t").alias("b")).toArrow().sort_by([("h", "ascending")])
-    return fit([b.values.to_numpy().view(np.uint64) for b in got["b"]], got["y"].to_pylist(), seed=seed)
+    with given_back():
+        return fit(*_ordered(texts.select("h", "y", bags("t").alias("b")).toArrow()), seed=seed)
+
+
+def _ordered(got: pa.Table) -> tuple[list[np.ndarray], list[int]]:
+    """Bags and labels in the order of h. The bags are views: nothing is copied, and what holds them goes with the last."""
+    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    bags = [b.values.to_numpy().view(np.uint64) for b in got["b"]]
+    return [bags[i] for i in order], got["y"].to_numpy()[order].tolist()
 
 
 def toxicity(model: ToxicityModel, spark):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tracemill.llm import quality, simhash, toxicity, warc
+from tracemill.llm.base import shared_dir
 
 
 def copies(seed, roots, each, least, most):
@@ -254,3 +255,14 @@ def test_training_gives_the_drivers_memory_back(spark):
     before = anonymous()
     toxicity.train(docs, labels)
     assert anonymous() - before < 20
+
+
+def test_quality_moves_texts_when_model_and_ngrams_are_gone(spark, monkeypatch):
+    """When texts and answers are shuffled, which takes most of the disk, only the answers and the trusted ids are still there."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {p.name for p in folder.glob("tracemill-*")}
+    before, found, pack = tables(), [], quality.packed
+    monkeypatch.setattr(quality, "packed", lambda df: (found.append(tables() - before), pack(df))[1])
+    assert quality.classified(docs, labels).count() == docs.count()
+    assert [len(x) for x in found] == [2]

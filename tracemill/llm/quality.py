@@ -345,15 +345,24 @@ def packed(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(pack, "shard bigint, rows binary")
 
 
-def perplexities(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]], number: dict[tuple[str, int], int]) -> DataFrame:
-    """doc_id, lang, trusted, n, logp for each row of documents (doc_id, shard, lang, part, trusted, text): characters and
-    log-probability, null where there is no model or no text. Rows of a shard follow its log-probabilities through a task,
-    so that a task holds one shard's table and one batch of texts."""
+def answered(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]], number: dict[tuple[str, int], int]) -> DataFrame:
+    """shard, rows: what the n-grams of documents (shard, lang, part, text) got from the model, bundled and written."""
     grams = written(asked(documents, number))
-    answers = grams.join(resolved(grams.select("gram").distinct(), made), "gram")
+    return written(bundled(grams.join(resolved(grams.select("gram").distinct(), made), "gram")))
+
+
+def perplexities(documents: DataFrame, made: dict[int, tuple[DataFrame, DataFrame]], number: dict[tuple[str, int], int]) -> DataFrame:
+    """doc_id, lang, trusted, n, logp for each row of documents (doc_id, shard, lang, part, trusted, text). See told."""
+    return told(documents, answered(documents, made, number), number)
+
+
+def told(documents: DataFrame, answers: DataFrame, number: dict[tuple[str, int], int]) -> DataFrame:
+    """doc_id, lang, trusted, n, logp for each row of documents (doc_id, shard, lang, part, trusted, text) from the answers to
+    its n-grams: characters and log-probability, null where there is no model or no text. Rows of a shard follow its
+    log-probabilities through a task, so that a task holds one shard's table and one batch of texts."""
     kind = dict(documents.dtypes)["doc_id"]
     texts = packed(documents.select("shard", "doc_id", "lang", "part", "trusted", "text"))
-    union = bundled(answers).withColumn("doc", F.lit(False)).unionByName(texts.withColumn("doc", F.lit(True)))
+    union = answers.withColumn("doc", F.lit(False)).unionByName(texts.withColumn("doc", F.lit(True)))
 
     def score(batches):
         at, table, keys, values = None, None, [], []
@@ -417,7 +426,9 @@ def classified(documents: DataFrame, labels: DataFrame, trusted: Column | None =
         docs = docs.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
         good = docs.where("trusted and text is not null and text <> ''")
         number = models(good)
-        each = keep(written(perplexities(docs, model(counted(good, number)), number)))
+        with scratch(documents.sparkSession) as hold:  # before the texts move, the model and the n-grams are gone
+            answers = hold(answered(docs, model(counted(good, number)), number))
+        each = keep(written(told(docs, answers, number)))
     each = each.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
     bounds = each.where("trusted and perplexity is not null").groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", [low, high], 10000).alias("q"))
     bounds = bounds.select("l", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
